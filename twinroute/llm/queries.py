@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import chat_format, quality_rules, simhash_dedup
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
 }
 
 ORACLES = {
+    "op1_chat_format": chat_format.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
 }
