@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_rules, simhash_dedup
+from . import chat_format, packing, quality_rules, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
 }
