@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_rules, simhash_dedup, substring_dedup
+from . import chat_format, decontaminate, packing, quality_rules, simhash_dedup, substring_dedup
 
 QUERIES = {
+    "op10_decontaminate": decontaminate.op10_decontaminate,
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,

@@ -139,3 +139,13 @@ def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """docs without those that a smaller id of their group stands for, all columns unchanged.
+
+    Rows without an id stay.
+    """
+    found = groups(docs, shingle)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

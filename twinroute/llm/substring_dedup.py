@@ -252,3 +252,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def rewrite(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with repeated windows taken out of the texts, same columns; texts left empty by that go.
+
+    ``n_chars``, where there is one, follows the text.
+    """
+    names = docs.columns
+    texts = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).repartition("doc_id")
+    ranges = FingerprintIndex(window, gram).add(plain(docs), texts)
+    done = cut(texts, ranges, window).where("n_removed = 0 OR n_words > n_removed")
+    done = done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    if "n_chars" in names:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(names)
