@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, quality_rules, simhash_dedup, substring_dedup
+from . import chat_format, decontaminate, packing, quality_rules, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -11,9 +11,11 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_url_filters": url_filters.op7_url_filters,
 }
 
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op7_url_filters": url_filters.ORACLE,
 }
