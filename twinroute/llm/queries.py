@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, quality_rules, simhash_dedup, substring_dedup, url_filters
+from . import chat_format, decontaminate, language_id, packing, quality_rules, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,
