@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, packing, quality_rules, simhash_dedup, substring_dedup, toxicity, url_filters
+from . import chat_format, decontaminate, language_id, maxent_lm, packing, quality_rules, simhash_dedup, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_maxent_lm": maxent_lm.op8_maxent_lm,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 
