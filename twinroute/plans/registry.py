@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from twinroute.plans import position_queries, read_queries
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {**read_queries.QUERIES, **position_queries.QUERIES}
+
+ORACLES: dict[str, str] = {**read_queries.ORACLES, **position_queries.ORACLES}
