@@ -148,7 +148,7 @@ def train(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the winner's share of likelihood) of every row, and the columns given besides text."""
     sent = docs.sparkSession.sparkContext.broadcast(model.trees), tuple(model.langs)
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     letter = re.compile(r"[^\W\d_]")
 
     def run(batches):

@@ -148,4 +148,4 @@ def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     found = groups(docs, shingle)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

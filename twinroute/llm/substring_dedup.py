@@ -131,7 +131,7 @@ def merge(batch: DataFrame, history: list[DataFrame]) -> DataFrame:
 
 
 def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """docs with their ranges (arrays start, n; null if none) by doc_id."""
+    """docs with their ranges (arrays start, n; null if none) by doc_id; a document has no more ranges than words."""
     held = ranges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("r"))
     return docs.join(held.select(F.col("doc_id").alias("_id"), F.col("r.start").alias("_start"), F.col("r.n").alias("_n")), docs["doc_id"] == F.col("_id"), "left")
 
@@ -259,11 +259,11 @@ def rewrite(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
     ``n_chars``, where there is one, follows the text.
     """
-    names = docs.columns
-    texts = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).repartition("doc_id")
+    others = [c for c in docs.columns if c != "text"]
+    # the other columns travel as one, so no name of theirs can clash
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")).repartition("doc_id")
     ranges = FingerprintIndex(window, gram).add(plain(docs), texts)
     done = cut(texts, ranges, window).where("n_removed = 0 OR n_words > n_removed")
-    done = done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(names)
+    changed = {"text": F.col("text"), "n_chars": F.length("text")}
+    restored = lambda c: changed.get(c, F.col("others").getField(c)) if c != "text" else changed[c]
+    return done.select(*(restored(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
