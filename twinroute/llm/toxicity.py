@@ -79,17 +79,17 @@ def sample(labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_O
 
 
 def vectors(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """(doc_id, toxic, found): the distinct features of the sample's documents."""
+    """(doc_id, toxic, found): the distinct features of the sample's documents, as packed 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 doc, feature = features(part.column("text"))
-                rows = [np.unique(feature[doc == d]).view(np.int64) for d in range(part.num_rows)]
-                yield pa.record_batch([part.column("doc_id"), part.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "toxic", "found"])
+                rows = [np.unique(feature[doc == d]).tobytes() for d in range(part.num_rows)]
+                yield pa.record_batch([part.column("doc_id"), part.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "found"])
 
     # the sample has a fixed bound, so it may be broadcast
-    return text_and_id(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, found array<long>")
+    return text_and_id(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, found binary")
 
 
 @dataclass
@@ -119,6 +119,7 @@ def label_model(votes: Votes, given: np.ndarray, rounds: int = 12) -> tuple[np.n
         spread = np.sqrt((centred**2).sum(axis=0)) + 1e-9
         tied = np.abs((centred.T @ centred) / np.outer(spread, spread))
         np.fill_diagonal(tied, 0)
+        tied[annotator] = tied[:, annotator] = 0
         weights = 1 / (1 + np.where(tied > 0.3, tied, 0).sum(axis=1))
         # a lexicon or pattern voter abstains when it does not fire, the annotator never does
         fire, quiet = np.log(rates[1] / rates[0]), np.log((1 - rates[1, annotator]) / (1 - rates[0, annotator]))
@@ -127,14 +128,15 @@ def label_model(votes: Votes, given: np.ndarray, rounds: int = 12) -> tuple[np.n
     return post, rates, weights
 
 
-def fit(found: list[np.ndarray], toxic: np.ndarray, steps: int = 300, penalty: float = 2e-4) -> Linear:
+def fit(found: list[np.ndarray], toxic: np.ndarray, steps: int = 400, penalty: float = 2e-5) -> Linear:
     """The classifier from the sample's feature lists and labels."""
     n, n_toxic = len(found), int(toxic.sum())
     if not n_toxic or n_toxic == n:
         return Linear(np.zeros(0, np.uint64), np.zeros(0), -50.0)
     sizes = np.array([len(f) for f in found])
-    doc = np.repeat(np.arange(n), sizes)
-    keys, at = np.unique(np.concatenate(found).view(np.uint64), return_inverse=True)
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    keys, at = np.unique(np.concatenate(found), return_inverse=True)
+    at = at.astype(np.int32)
     df = np.bincount(at)
     keep = df >= MIN_DOCS
     new = np.cumsum(keep) - 1
@@ -154,8 +156,14 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, steps: int = 300, penalty: f
     votes = Votes(np.r_[doc[firing], noted], np.r_[place[at[firing]], np.full(len(noted), len(strong))], n, len(strong) + 1)
     post, _, _ = label_model(votes, toxic)
 
+    # the classifier sees features that speak for one class; the rest would only fit single texts
+    clear = np.abs(odds) > 1.5
+    new = np.cumsum(clear) - 1
+    hit = clear[at]
+    keys, doc, at = keys[clear], doc[hit], new[at[hit]]
+
     weights, bias = np.zeros(len(keys)), float(np.log(max(post.mean(), 1e-6) / max(1 - post.mean(), 1e-6)))
-    squares, bias_square = np.full(len(keys), 1e-8), 1e-8
+    squares = np.full(len(keys), 1e-8)
     cost = np.where(post > 0.5, 0.5 / max((post > 0.5).mean(), 1e-6), 0.5 / max((post <= 0.5).mean(), 1e-6)) ** 0.5
     for _ in range(steps):
         margin = bias + np.bincount(doc, weights=weights[at], minlength=n)
@@ -164,9 +172,8 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, steps: int = 300, penalty: f
         squares += slope**2
         weights -= 0.3 * slope / np.sqrt(squares)
         # rare evidence must not add up: small weights shrink to nothing
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - 0.002, 0)
-        bias_square += error.sum() ** 2
-        bias -= 0.3 * error.sum() / np.sqrt(bias_square)
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - 0.0005, 0)
+        bias -= 2 * error.sum()
     used = weights != 0
     return Linear(keys[used], weights[used], bias)
 
@@ -174,13 +181,13 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, steps: int = 300, penalty: f
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Linear:
     """Fitted on the bounded labelled sample."""
     rows = sorted(vectors(docs, sample(labels, max_toxic, max_other)).collect(), key=lambda r: (r["doc_id"], r["found"]))
-    return fit([np.array(r["found"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=float))
+    return fit([np.frombuffer(r["found"], dtype=np.uint64) for r in rows], np.array([r["toxic"] for r in rows], dtype=float))
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:
     """The columns besides text, and the score of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ("text", "score")]
 
     def run(batches):
         for batch in batches:
