@@ -137,11 +137,26 @@ class Model:
         return out
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """About the ``limit`` most frequent grams of each language, at most that many but for a hash's chance.
+
+    The count where a language reaches the limit is found on its histogram of counts, so no task orders the
+    grams themselves; of the grams with just that count a hash picks the share that fits.
+    """
+    levels = counts.groupBy("lang", "n").agg(F.count("*").alias("k"))
+    so_far = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(limit) - (so_far - F.col("k"))) / F.col("k")))
+    taken = levels.withColumn("share", share).where("share > 0").groupBy("lang").agg(F.min("n").alias("least"), F.min_by("share", "n").alias("share"))
+    pick = F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    # a row per language
+    joined = counts.join(F.broadcast(taken), "lang")
+    return joined.where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & pick)).select("lang", "gram", "n")
+
+
 def train(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
     """Trees from the texts and their non-null lang."""
     counts = count(labelled.where("lang IS NOT NULL AND text IS NOT NULL"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = counts.withColumn("rank", rank).where(F.col("rank") <= max_grams).select("lang", "gram", "n").toPandas()
+    kept = most_frequent(counts, max_grams).toPandas()
     return Model({lang: Tree(g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy().astype(float)) for lang, g in kept.groupby("lang")})
 
 
