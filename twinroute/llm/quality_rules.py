@@ -68,30 +68,27 @@ def without(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def measure(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep`` and ``MEASURES`` of every document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+def measures(text: Column) -> Column:
+    """``MEASURES`` of a text as one struct."""
+    text = F.coalesce(text, F.lit(""))
 
-    def counts(w: Column) -> Column:
-        return F.struct(
+    def counted(w: Column) -> list[Column]:
+        return [
             F.size(w).cast("long").alias("n_words"),
+            F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             repeated_words(w).alias("n_repeat_words"),
+            without(text, "\\p{Lu}+").alias("n_upper"),
+            without(text, "[0-9]+").alias("n_digits"),
             F.size(F.filter(w, lambda x: x.endswith("!!"))).cast("long").alias("n_shouted"),
-        )
-
-    counted = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        *keep,
-        let(words_of(text), counts).alias("w"),
-        let(lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        without(text, "\\p{Lu}+").alias("n_upper"),
-        without(text, "[0-9]+").alias("n_digits"),
-    )
-    found = {"n_words": F.col("w.n_words"), "n_repeat_words": F.col("w.n_repeat_words"), "n_shouted": F.col("w.n_shouted"), "n_dup_lines": F.col("l.dup"), "n_lines": F.col("l.n")}
-    return counted.select("doc_id", *keep, *(found.get(m, F.col(m)).alias(m) for m in MEASURES))
+        ]
+
+    def with_lines(w: Column, x: Column) -> Column:
+        lines = [F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")]
+        return F.struct(*counted(w), *lines)
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    return let(words_of(text), lambda w: let(lines, lambda x: with_lines(w, x)))
 
 
 @dataclass(frozen=True)
@@ -99,18 +96,18 @@ class Rule:
     """A named failure condition over the measurements; its place in RULES is its bit."""
 
     name: str
-    fails: str
+    fails: Callable[[Mapping[str, Column]], Column]
 
 
 #: Bits are never reused: a changed condition gets a new rule at the end.
 RULES = (
-    Rule("few_words", "n_words < 20"),
-    Rule("repeats", "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbols", "5 * n_symbols > n_words"),
-    Rule("upper_case", "10 * n_upper > 4 * word_chars"),
-    Rule("shouting", "3 * n_shouted > n_words"),
-    Rule("digits", "2 * n_digits > word_chars"),
-    Rule("duplicate_lines", "n_lines > 3 AND 2 * n_dup_lines > n_lines"),
+    Rule("few_words", lambda m: m["n_words"] < 20),
+    Rule("repeats", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
+    Rule("symbols", lambda m: 5 * m["n_symbols"] > m["n_words"]),
+    Rule("upper_case", lambda m: 10 * m["n_upper"] > 4 * m["word_chars"]),
+    Rule("shouting", lambda m: 3 * m["n_shouted"] > m["n_words"]),
+    Rule("digits", lambda m: 2 * m["n_digits"] > m["word_chars"]),
+    Rule("duplicate_lines", lambda m: (m["n_lines"] > 3) & (2 * m["n_dup_lines"] > m["n_lines"])),
 )
 
 BASE = ("few_words", "repeats")
@@ -128,12 +125,25 @@ def mask(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
     return sum(1 << at[n] for n in set(names))
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep``, the measurements and ``fail_bits``: bit i is set if rules[i] fails."""
-    bits = F.lit(0).cast("long")
-    for i, rule in enumerate(rules):
-        bits = bits + F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return measure(docs, keep).withColumn("fail_bits", bits)
+def judged(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """struct(m, fail_bits): the measures and the failure bits, every measure and rule computed once."""
+
+    def bits(m: Column) -> Column:
+        found = F.lit(0).cast("long")
+        for i, rule in enumerate(rules):
+            found = found + F.when(rule.fails({n: m[n] for n in MEASURES}), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        return F.struct(m.alias("m"), found.alias("fail_bits"))
+
+    return let(measures(text), bits)
+
+
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, the measurements and ``fail_bits``: bit i is set if rules[i] fails.
+
+    Write it before filtering on it more than once: a filter on a lazy ledger judges the texts again.
+    """
+    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text").cast("string"), rules).alias("j"))
+    return entries.select("doc_id", *(F.col(f"j.m.{m}").alias(m) for m in MEASURES), "j.fail_bits")
 
 
 def apply_policy(entries: DataFrame, names: tuple[str, ...], column: str = "kept") -> DataFrame:
@@ -163,10 +173,10 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
 
 
-def reject(docs: DataFrame, names: tuple[str, ...] = POLICIES["v2"]) -> DataFrame:
+def reject(docs: DataFrame, names: tuple[str, ...] = POLICIES["v2"], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that a policy keeps, all columns unchanged.  Judged row by row, without a join."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return apply_policy(ledger(rows, keep=("row",)), names).where("kept").select("row.*")
+    failed = judged(docs["text"].cast("string"), rules)["fail_bits"].bitwiseAND(F.lit(mask(names, rules)))
+    return docs.where(failed == 0)
 
 
 _SPLIT = r"[\x20\x09-\x0D]+"
