@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinroute.functions import columns as c
-from twinroute.operators import alignments, cluster, cohort, concordance, coords, counts, coverage, genes, intervals
+from twinroute.operators import alignments, annotate, cluster, cohort, concordance, coords, counts, coverage, genes, intervals, locus
 from twinroute.plans.read_queries import SELECTED_SQL, WIDTH, gene_counts5, inputs, rounded
 from twinroute.plans.views import cte, table, view
 
@@ -375,3 +375,87 @@ def composition_clusters(spark, d):
     renamed = gene_counts5(spark, d).select("gene_id", "n_union", *(F.col(m).alias(m.removeprefix("n_")) for m in genes.METRICS))
     labelled = cluster.grouped(cluster.composition(renamed, parts, "n_union", "gene_id"), parts, 4)
     return labelled.select("gene_id", "cluster", *(F.round(f"f_{p}", 9).alias(f"f_{p}") for p in parts))
+
+
+@query(
+    "locus_layers",
+    cte("aln_g", "aln_t") + """,
+tied AS (SELECT *, max(CASE WHEN NOT is_secondary THEN score END) OVER (PARTITION BY sample, read_id) AS ps FROM aln_g), top AS (SELECT *, CASE WHEN strand = '-' THEN epos - 1 ELSE pos END AS p5 FROM tied WHERE NOT is_secondary OR score = ps),
+here AS (SELECT DISTINCT sample, read_id FROM top WHERE chrom = 'chr2' AND pos < 60000 AND epos > 20000), m AS (SELECT top.* FROM top JOIN here USING (sample, read_id) WHERE qlen BETWEEN 25 AND 35),
+r AS (SELECT sample, read_id, max(nh) AS nh, count(DISTINCT p5) AS k, min(p5) AS site FROM m GROUP BY 1, 2), t AS (SELECT DISTINCT sample, read_id, true AS there FROM aln_t)
+SELECT sample, CASE WHEN nh = 1 AND there THEN 'shared_unique' WHEN there THEN 'shared_multi' WHEN nh = 1 THEN 'genome_only_unique' ELSE 'genome_only_multi' END AS layer, site AS pos, count(*) AS n FROM r LEFT JOIN t USING (sample, read_id) WHERE k = 1 GROUP BY 1, 2, 3""",
+)
+def locus_layers(spark, d):
+    aln, other = inputs(spark, d, "aln_g", "aln_t")
+    lengths = aln.select("sample").distinct().withColumn("qlen", F.explode(F.sequence(F.lit(25), F.lit(35))))
+    members, _ = locus.locus_reads(alignments.with_five_prime(aln), "chr2", 20000, 60000, lengths)
+    sites, _ = locus.placed_once(members, "p5")
+    return locus.layer_coverage(sites, locus.read_layers(members, other))
+
+
+@query(
+    "locus_audit",
+    cte("aln_g") + """,
+tied AS (SELECT *, max(CASE WHEN NOT is_secondary THEN score END) OVER (PARTITION BY sample, read_id) AS ps FROM aln_g), top AS (SELECT * FROM tied WHERE NOT is_secondary OR score = ps),
+here AS (SELECT DISTINCT sample, read_id FROM top WHERE chrom = 'chr2' AND pos < 60000 AND epos > 20000), r AS (SELECT sample, read_id, bool_or(qlen BETWEEN 25 AND 35) AS ok, max(nh) AS nh FROM top JOIN here USING (sample, read_id) GROUP BY 1, 2)
+SELECT sample, count(*) AS n_locus, count(*) FILTER (WHERE ok) AS n_members, count(*) FILTER (WHERE nh = 1) AS n_unique, count(*) FILTER (WHERE NOT ok) AS n_other_length FROM r GROUP BY 1""",
+)
+def locus_audit(spark, d):
+    aln = view(spark, d, "aln_g")
+    lengths = aln.select("sample").distinct().withColumn("qlen", F.explode(F.sequence(F.lit(25), F.lit(35))))
+    return locus.locus_reads(aln, "chr2", 20000, 60000, lengths)[1]
+
+
+@query(
+    "coordinate_violations",
+    cte("exons") + """, o AS (SELECT *, max(g_end) OVER (PARTITION BY transcript_id ORDER BY g_start, g_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM exons)
+SELECT transcript_id, 'overlapping_exons' AS problem FROM o GROUP BY 1 HAVING bool_or(coalesce(before > g_start, false)) UNION ALL SELECT transcript_id, 'several_chromosomes' FROM o GROUP BY 1 HAVING count(DISTINCT chrom) > 1
+UNION ALL SELECT transcript_id, 'several_strands' FROM o GROUP BY 1 HAVING count(DISTINCT strand) > 1 UNION ALL SELECT transcript_id, 'empty_exon' FROM o GROUP BY 1 HAVING bool_or(g_end <= g_start)""",
+)
+def coordinate_violations(spark, d):
+    return coords.coordinate_violations(view(spark, d, "exons"))
+
+
+@query(
+    "region_sums",
+    cte("aln_t", "exons") + TX_SQL + """, reg AS (SELECT transcript_id, 'UTR5' AS label, 0 AS s, cds_start AS e FROM txc WHERE cds_start IS NOT NULL UNION ALL SELECT transcript_id, 'CDS', cds_start, CASE WHEN has_stop THEN cds_end - 3 ELSE cds_end END FROM txc WHERE cds_start IS NOT NULL
+  UNION ALL SELECT transcript_id, 'UTR3', CASE WHEN has_stop THEN cds_end - 3 ELSE cds_end END, transcript_len FROM txc WHERE cds_start IS NOT NULL)
+SELECT sample, transcript_id, label, count(*) AS n FROM aln_t JOIN reg USING (transcript_id) WHERE mapq >= 42 AND pos + 12 < 120 AND s <= pos + 12 AND pos + 12 < e GROUP BY 1, 2, 3""",
+)
+def region_sums(spark, d):
+    regions = coords.normalized_regions(with_cds(coords.transcript_table(view(spark, d, "exons"))))
+    return coverage.window_sums(point_coverage(spark, d), regions)
+
+
+@query(
+    "largest_overlap_class",
+    cte("exons") + """, p AS (SELECT transcript_id * 1000000 + g_start AS id, * FROM exons WHERE gene_type = 'processed_pseudogene'), c AS (SELECT * FROM exons WHERE gene_type <> 'processed_pseudogene'),
+o AS (SELECT p.id, c.gene_type AS category, max(least(p.g_end, c.g_end) - greatest(p.g_start, c.g_start)) AS n FROM p JOIN c ON p.chrom = c.chrom AND p.g_start < c.g_end AND c.g_start < p.g_end GROUP BY 1, 2)
+SELECT p.id, coalesce((SELECT category FROM o WHERE o.id = p.id ORDER BY n DESC, category LIMIT 1), 'unclassified') AS category FROM p""",
+)
+def largest_overlap_class(spark, d):
+    exons = view(spark, d, "exons")
+    ours = F.col("gene_type") == "processed_pseudogene"
+    spans = exons.where(ours).select((F.col("transcript_id") * 1000000 + F.col("g_start")).alias("id"), "chrom", F.col("g_start").alias("start"), F.col("g_end").alias("end"))
+    classes = exons.where(~ours).select("chrom", F.col("g_start").alias("c_start"), F.col("g_end").alias("c_end"), F.col("gene_type").alias("category"))
+    return annotate.largest_overlap(spans, classes, ["chrom"], width=WIDTH).select("id", "category")
+
+
+@query(
+    "omitted_boxes",
+    cte("exons") + SELECTED_SQL + """, ex_b AS (SELECT DISTINCT gene_id, unnest(range(g_start, g_end)) AS b FROM exons), se_b AS (SELECT DISTINCT e.gene_id, unnest(range(g_start, g_end)) AS b FROM exons e JOIN selected USING (gene_id, transcript_id)),
+f AS (SELECT gene_id, gene_type, 1 - (SELECT count(*) FROM se_b WHERE se_b.gene_id = g.gene_id)::DOUBLE / (SELECT count(*) FROM ex_b WHERE ex_b.gene_id = g.gene_id) AS x FROM (SELECT DISTINCT gene_id, gene_type FROM exons) g)
+SELECT gene_type, count(*) AS n, """ + ", ".join(f"round(quantile_cont(x, {p / 100}), 9) AS p{p:02d}" for p in (5, 25, 50, 75, 95)) + " FROM f GROUP BY 1",
+)
+def omitted_boxes(spark, d):
+    exons = view(spark, d, "exons")
+    kinds = exons.select("gene_id", "gene_type").distinct()
+    found = annotate.omitted_fraction(exons, genes.selected_transcripts(exons)).join(kinds, "gene_id")
+    return rounded(cohort.box_stats(found, "omitted_fraction", ["gene_type"]), "p05", "p25", "p50", "p75", "p95")
+
+
+@query("effect_density")
+def effect_density(spark, d):
+    """Local density of transcripts in the plane of both effects."""
+    known = counts.effects(scaled(spark, d)).where("d_te IS NOT NULL").select("transcript_id", "sample", "d_rna", "d_ribo")
+    return rounded(locus.point_density(known, "d_rna", "d_ribo"), "d_rna", "d_ribo", "density")
