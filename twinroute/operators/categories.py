@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from twinroute.functions.columns import biotype_rank, taxonomy_cell
 from twinroute.operators import intervals
 from twinroute.operators.alignments import READ, genome_reads, present_reads, tied_best, with_five_prime
+from twinroute.operators.reuse import shared
 
 CELLS = ("sh_u", "go_u", "sh_m", "go_m", "to")
 TIES = ("cross_pc_pp", "cross_pp_pc", "same_pc_pc", "same_pp_pp")
@@ -81,7 +82,8 @@ def numbered(aln: DataFrame) -> DataFrame:
 def tie_labels(aln_g: DataFrame, aln_t: DataFrame, exons: DataFrame, width: int = intervals.BIN) -> DataFrame:
     """sample, read_id and tie category (null for none) of multimapped reads that are on the other route too."""
     population = read_cells(aln_g, aln_t).where("cell = 'sh_m'").select(*READ)
-    typed = locus_biotype(with_five_prime(numbered(tied_best(aln_g).join(population, READ, "left_semi"))), exons, width=width)
+    places = shared(with_five_prime(numbered(tied_best(aln_g).join(population, READ, "left_semi"))))
+    typed = locus_biotype(places, exons, width=width)
     tied = F.col("is_secondary") & F.col("qualifies")
     flags = typed.groupBy(*READ).agg(
         F.min(F.when(~F.col("is_secondary"), F.col("biotype"))).alias("p"),
@@ -178,7 +180,7 @@ def genome_only_unique(aln_g: DataFrame, aln_t: DataFrame) -> DataFrame:
 
 def reach_rows(aln_g: DataFrame, aln_t: DataFrame, exons: DataFrame, selected: DataFrame, width: int = intervals.BIN) -> DataFrame:
     cells = read_cells(aln_g, aln_t).where("genome = 'unique'").groupBy("sample").agg(F.count("*").alias("n_genome_unique"), F.count_if("present").alias("n_sh_u"), F.count_if(~F.col("present")).alias("n_go_u"))
-    labels = reach_labels(genome_only_unique(aln_g, aln_t), exons, selected, width)
+    labels = reach_labels(shared(genome_only_unique(aln_g, aln_t)), exons, selected, width)
     counted = labels.groupBy("sample").agg(*(F.count_if(F.col("label") == c).alias(f"n_{c}") for c in REACH), F.count_if("on_omitted").alias("n_omitted_exon_overlap"))
     joined = cells.join(counted, "sample", "left").fillna(0)
     return joined.select("*", *(share(F.col(f"n_{c}"), F.col("n_go_u")).alias(f"pct_{c}") for c in (*REACH, "omitted_exon_overlap")))

@@ -10,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinroute.operators.reuse import shared
+
 
 def joint_histogram(points: DataFrame, keys: list[str], zeros: DataFrame | None = None) -> DataFrame:
     """(keys, g, t, w) of points (keys, g, t); zeros (keys, w) adds positions without any value."""
     counted = points.groupBy(*keys, "g", "t").agg(F.count("*").alias("w"))
-    if zeros is None:
-        return counted
+    return counted if zeros is None else with_zeros(counted, keys, zeros)
+
+
+def with_zeros(hist: DataFrame, keys: list[str], zeros: DataFrame) -> DataFrame:
     zero = zeros.where("w > 0").select(*keys, F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("t"), F.col("w").cast("long").alias("w"))
-    return counted.unionByName(zero).groupBy(*keys, "g", "t").agg(F.sum("w").alias("w"))
+    return hist.unionByName(zero).groupBy(*keys, "g", "t").agg(F.sum("w").alias("w"))
 
 
 def _ranked(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -41,6 +45,7 @@ def _corr(name: str) -> Column:
 
 def correlations(hist: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, spearman, pearson) of a joint histogram; Pearson is of log2(x + 1)."""
+    hist = shared(hist)
     both = hist.join(_ranked(hist, keys, "g"), [*keys, "g"]).join(_ranked(hist, keys, "t"), [*keys, "t"])
     w = F.col("w").cast("double")
     # ranks are centred on the mid rank, which keeps the sums small
@@ -57,8 +62,8 @@ def correlations(hist: DataFrame, keys: list[str]) -> DataFrame:
 
 def pooled(points: DataFrame, keys: list[str], zeros: DataFrame) -> DataFrame:
     """Counts and six correlations by key over bases covered on both routes, on either, and on all with the zero block."""
-    both = joint_histogram(points, keys)
-    parts = {"inter": both.where("g > 0 AND t > 0"), "union": both.where("g > 0 OR t > 0"), "all": joint_histogram(points, keys, zeros)}
+    both = shared(joint_histogram(points, keys))
+    parts = {"inter": both.where("g > 0 AND t > 0"), "union": both.where("g > 0 OR t > 0"), "all": with_zeros(both, keys, zeros)}
     out = both.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when((F.col("g") > 0) & (F.col("t") == 0), F.col("w"))), F.lit(0)).alias("n_bases_g_only"),
         F.coalesce(F.sum(F.when((F.col("g") == 0) & (F.col("t") > 0), F.col("w"))), F.lit(0)).alias("n_bases_t_only"),

@@ -1,0 +1,14 @@
+"""Results that several branches of one query read."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """df, computed once and kept by the executors in memory and then on disk; still lazy.
+
+    A part that is lost with an executor is computed again from its lineage.  The session's cache is the caller's to clear.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

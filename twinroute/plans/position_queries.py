@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinroute.functions import columns as c
 from twinroute.operators import alignments, annotate, cluster, cohort, concordance, coords, counts, coverage, genes, intervals, locus
+from twinroute.operators.reuse import shared
 from twinroute.plans.read_queries import SELECTED_SQL, WIDTH, gene_counts5, inputs, rounded
 from twinroute.plans.views import cte, table, view
 
@@ -196,7 +197,7 @@ def route_points(spark, d):
     first = coverage.to_transcript(coverage.first_hit(hits(spark, d)), exons)
     g = coverage.point_coverage(first, ["sample", "transcript_id"], "tpos")
     t = coverage.point_coverage(aln_t.join(lengths, "transcript_id").where("pos < transcript_len"), ["sample", "transcript_id"], "pos")
-    both = concordance.paired_points(g, t, ["sample", "transcript_id"])
+    both = shared(concordance.paired_points(g, t, ["sample", "transcript_id"]))
     return both, lengths
 
 
