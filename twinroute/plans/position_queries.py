@@ -205,7 +205,7 @@ def binned(spark, d):
     both, lengths = route_points(spark, d)
     pts = both.groupBy("sample", "transcript_id", F.floor(F.col("pos") / 30).alias("pos")).agg(F.sum("g").alias("g"), F.sum("t").alias("t"))
     known = pts.groupBy("sample", "transcript_id").agg(F.count("*").alias("k"))
-    grid = pts.select("sample").distinct().join(F.broadcast(lengths))  # samples are few
+    grid = lengths.join(F.broadcast(pts.select("sample").distinct()))  # samples are few
     zeros = grid.join(known, ["sample", "transcript_id"], "left").select("sample", "transcript_id", (F.ceil(F.col("transcript_len") / 30) - F.coalesce("k", F.lit(0))).alias("w"))
     return pts, zeros
 
