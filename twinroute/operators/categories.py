@@ -14,6 +14,7 @@ from twinroute.operators import intervals
 from twinroute.operators.alignments import READ, genome_reads, present_reads, tied_best, with_five_prime
 from twinroute.operators.reuse import shared
 
+# Fixed names of the cells, tie categories, biotypes and reach classes.
 CELLS = ("sh_u", "go_u", "sh_m", "go_m", "to")
 TIES = ("cross_pc_pp", "cross_pp_pc", "same_pc_pc", "same_pp_pp")
 CODING, PSEUDO = "protein_coding", "processed_pseudogene"
