@@ -39,12 +39,16 @@ CLASSES = GROUPS * WIDTH
 TOP = 192
 START = CLASSES
 PAIRS = 1 << 12
-N_FEATURES = 3 * (CLASSES + 1) + PAIRS
+#: First index of each kind of feature.
+LOW = (0, CLASSES + 1, 2 * (CLASSES + 1), 3 * (CLASSES + 1))
+N_FEATURES = LOW[-1] + PAIRS
 END = np.uint64(0x2545F4914F6CDD1D)
 BATCH = 1 << 14
 #: Tokens of a block: texts whose rarer tokens enter the join together.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 HELD_KEYS = 1 << 20
+#: Rows of an Arrow batch, and triples of a block row, at most.
+ROWS = 1 << 15
 
 
 @dataclass
@@ -139,27 +143,57 @@ def histories(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """Row softmax, in place; logits stay small, so only the row's mean is taken off."""
+    x -= x.mean(axis=1, keepdims=True)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def chances(m: Model, f: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group probabilities, class probabilities in the own group, log10 of the class's probability)."""
     group, inner = ids // WIDTH, ids % WIDTH
-    a = m.group_bias + m.group_weights[f].sum(axis=1)
+    a, b = np.tile(m.group_bias, (len(ids), 1)), m.class_bias.take(group, axis=0)
     flat = m.class_weights.reshape(-1, WIDTH)
-    b = m.class_bias[group] + flat[f * GROUPS + group[:, None]].sum(axis=1)
+    for k in range(f.shape[1]):
+        a += m.group_weights.take(f[:, k], axis=0)
+        b += flat.take(f[:, k] * GROUPS + group, axis=0)
     p, q = _softmax(a), _softmax(b)
     at = np.arange(len(ids))
     return p, q, np.log10(p[at, group] * q[at, inner] + 1e-300)
 
 
-def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """total[rows] += values, repeated rows included."""
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, their summed values)."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    total[rows[heads]] += np.add.reduceat(values[order], heads, axis=0)
+    return rows[heads], np.add.reduceat(values[order], heads, axis=0)
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
+    squares[rows] += slopes**2
+    weights[rows] -= rate * slopes / np.sqrt(squares[rows])
+
+
+def descend(m: Model, squares_a: np.ndarray, squares_b: np.ndarray, f: np.ndarray, group: np.ndarray, slopes: np.ndarray, rate: float) -> None:
+    """One adaptive gradient step of a batch on the rows it met; slopes: those of both softmaxes side by side.
+
+    The kinds of features have rows of their own, so each steps by itself.  Each is sorted once, by a
+    16-bit (feature, group) key: that groups the class rows, and those in turn the group rows.
+    """
+    flat = m.class_weights.reshape(-1, WIDTH)
+    for k, low in enumerate(LOW):
+        key = ((f[:, k] - low) * GROUPS + group).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        key = key[order].astype(np.int64)
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sums = np.add.reduceat(slopes.take(order, axis=0), heads, axis=0)
+        rows = key[heads] + low * GROUPS
+        _step(flat, squares_b, rows, sums[:, GROUPS:], rate)
+        rows, total = _row_sums(rows // GROUPS, sums[:, :GROUPS])
+        _step(m.group_weights, squares_a, rows, total, rate)
 
 
 def epoch(training: DataFrame, model: Model, rate: float) -> Model:
@@ -168,11 +202,10 @@ def epoch(training: DataFrame, model: Model, rate: float) -> Model:
     sent = spark.sparkContext.broadcast(model)
     width = GROUPS + CLASSES
 
-    def descend(batches):
+    def improve(batches):
         m = sent.value
         own = Model(**{**m.__dict__, "group_weights": m.group_weights.copy(), "class_weights": m.class_weights.copy()})
-        flat = own.class_weights.reshape(-1, WIDTH)
-        squares_a, squares_b = np.ones_like(own.group_weights), np.ones_like(flat)
+        squares_a, squares_b = np.ones_like(own.group_weights), np.ones_like(own.class_weights.reshape(-1, WIDTH))
         met = np.zeros(N_FEATURES)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -185,18 +218,11 @@ def epoch(training: DataFrame, model: Model, rate: float) -> Model:
                     at = np.arange(len(y))
                     p[at, y // WIDTH] -= 1
                     q[at, y % WIDTH] -= 1
-                    slope_a, slope_b = np.zeros_like(own.group_weights), np.zeros_like(flat)
-                    for k in range(f.shape[1]):
-                        _add_rows(slope_a, f[:, k], p)
-                        _add_rows(slope_b, f[:, k] * GROUPS + y // WIDTH, q)
-                        met += np.bincount(f[:, k], minlength=N_FEATURES)
-                    squares_a += slope_a**2
-                    squares_b += slope_b**2
-                    own.group_weights -= rate * slope_a / np.sqrt(squares_a)
-                    flat -= rate * slope_b / np.sqrt(squares_b)
+                    descend(own, squares_a, squares_b, f, y // WIDTH, np.concatenate([p, q], axis=1), rate)
+                    met += np.bincount(f.ravel(), minlength=N_FEATURES)
         used = np.flatnonzero(met)
         moved = np.concatenate([own.group_weights - m.group_weights, (own.class_weights - m.class_weights).reshape(N_FEATURES, CLASSES)], axis=1)
-        moved = (moved[used] * met[used, None]).astype("<f4")
+        moved = moved[used].astype("<f2")
         for lo in range(0, len(used), 1024):
             block = moved[lo : lo + 1024]
             yield pa.record_batch([pa.array(used[lo : lo + 1024]), pa.array(met[used[lo : lo + 1024]]), pa.array([r.tobytes() for r in block], pa.binary())], names=["feature", "met", "moved"])
@@ -206,14 +232,17 @@ def epoch(training: DataFrame, model: Model, rate: float) -> Model:
         for batch in batches:
             feature = batch.column("feature").to_numpy()
             if len(feature):
-                _add_rows(total, feature, np.frombuffer(b"".join(batch.column("moved").to_pylist()), "<f4").reshape(-1, width).astype(float))
-                met += np.bincount(feature, weights=batch.column("met").to_numpy(), minlength=N_FEATURES)
+                weight = batch.column("met").to_numpy()
+                moved = np.frombuffer(b"".join(batch.column("moved").to_pylist()), "<f2").reshape(-1, width) * weight[:, None]
+                rows, moved = _row_sums(feature, moved)
+                total[rows] += moved
+                met += np.bincount(feature, weights=weight, minlength=N_FEATURES)
         used = np.flatnonzero(met)
         rows = [r.tobytes() for r in (total[used] / met[used, None]).astype("<f4")]
         yield pa.record_batch([pa.array(used), pa.array(met[used]), pa.array(rows, pa.binary())], names=["feature", "met", "moved"])
 
     kinds = "feature long, met double, moved binary"
-    updates = training.select("text").mapInArrow(descend, kinds).repartition("feature").mapInArrow(add, kinds)
+    updates = training.select("text").mapInArrow(improve, kinds).repartition("feature").mapInArrow(add, kinds)
     group_weights, class_weights = model.group_weights.copy(), model.class_weights.copy()
     for row in updates.collect():  # N_FEATURES rows at most
         step = np.frombuffer(row["moved"], "<f4")
@@ -256,14 +285,16 @@ def train(training: DataFrame, epochs: int = 2, rate: float = 0.1) -> tuple[Mode
     return model, counts
 
 
-ENTERED = "kind string, block long, slot int, token long, places binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+#: A place in a block is block << PLACE_BITS | place.
+PLACE_BITS = 30
+ENTERED = "kind string, block long, slot int, token long, place long, places binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def enter(docs: DataFrame, model: Model) -> DataFrame:
     """Texts with what the model alone knows of them, and the places of their other tokens.
 
     ``text`` rows: the sums over frequent tokens and the class probabilities.  ``token`` rows, one for a token and
-    block: the (slot, times) of its texts.
+    block, with its place among the block's tokens.  ``block`` rows: the (place, slot, times) of its tokens in its texts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -272,8 +303,14 @@ def enter(docs: DataFrame, model: Model) -> DataFrame:
 
         m = sent.value
         floor = np.log10(m.train_tokens + m.vocabulary + 1)
-        names = [x.split()[0] for x in ENTERED.split(", ")]
-        block, slots, rare, where, size = TaskContext.get().partitionId() << 20, 0, [], [], 0
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+        fields = [x.split() for x in ENTERED.split(", ")]
+
+        def row_batch(kind, n, **columns):
+            columns["kind"] = pa.array([kind] * n, pa.string())
+            return pa.record_batch([columns.get(name, pa.nulls(n, kinds[k])) for name, k in fields], names=[name for name, _ in fields])
+
+        block, slots, rare, where, size = TaskContext.get().partitionId() << 12, 0, [], [], 0
         log_top = np.log10(m.top_count + 1)
 
         def flush():
@@ -282,18 +319,15 @@ def enter(docs: DataFrame, model: Model) -> DataFrame:
             keys, at = keys[order], at[order]
             heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])]) if len(keys) else np.zeros(0, np.int64)
             times = np.diff(np.r_[heads, len(keys)])
-            pairs = np.stack([at[heads], times], axis=1).astype("<u4")
             tokens = keys[heads]
-            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
-            offsets = np.r_[starts, len(tokens)].astype(np.int32) * 8
-            for lo in range(0, len(starts), 1 << 16):
-                hi = min(lo + (1 << 16), len(starts))
-                off = offsets[lo : hi + 1]
-                data = pairs.tobytes()[off[0] : off[-1]]
-                places = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((off - off[0]).astype(np.int32).tobytes()), pa.py_buffer(data)])
-                n = hi - lo
-                none = lambda kind: pa.nulls(n, kind)  # noqa: B023, E731
-                yield pa.record_batch([pa.array(["token"] * n), pa.array(np.full(n, block)), none(pa.int32()), pa.array(signed(tokens[starts[lo:hi]])), places, none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names=names)
+            new = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
+            tokens, place = tokens[new], np.cumsum(new) - 1
+            triples = np.stack([place, at[heads], times], axis=1).astype("<u4")
+            for lo in range(0, len(tokens), ROWS):
+                part = np.arange(lo, min(lo + ROWS, len(tokens)), dtype=np.int64)
+                yield row_batch("token", len(part), token=pa.array(signed(tokens[part])), place=pa.array(part | (block << PLACE_BITS)))
+            for lo in range(0, len(triples), ROWS):
+                yield row_batch("block", 1, block=pa.array([block]), places=pa.array([triples[lo : lo + ROWS].tobytes()], pa.binary()))
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -309,7 +343,10 @@ def enter(docs: DataFrame, model: Model) -> DataFrame:
                 base = np.bincount(doc[own], weights=log_top[place[own]], minlength=docs_here) - floor * np.diff(t.first)
                 score = np.bincount(doc, weights=logs - np.where(own, 0, m.inside[ids]), minlength=docs_here)
                 n = docs_here
-                yield pa.record_batch([pa.array(["text"] * n), pa.array(np.full(n, block)), pa.array(np.arange(slots, slots + n, dtype=np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(t.first)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=names)
+                yield row_batch(
+                    "text", n, block=pa.array(np.full(n, block)), slot=pa.array(np.arange(slots, slots + n, dtype=np.int32)), doc_id=part.column("doc_id"), held_out=part.column("held_out"),
+                    n_tokens=pa.array(np.diff(t.first)), n_known=pa.array(known.astype(np.int64)), base=pa.array(base), score=pa.array(score),
+                )
                 rare.append(t.hash[~own])
                 where.append((doc[~own] + slots).astype(np.uint32))
                 size += len(rare[-1])
@@ -324,37 +361,59 @@ def enter(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def gather(entered: DataFrame, counts: DataFrame) -> DataFrame:
-    """(block, slot, more, more_known): what the joined counts add to each text."""
+    """(block, slot, more, more_known): what the joined counts add to each text.
 
-    def run(batches):
-        held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    The counts of a block's tokens come back to the block and stream past in order, the block's places after them,
+    so a task holds the counts of one block and its sums, both of which are bounded.
+    """
+
+    def add(batches):
+        block, n, more, known = None, np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
 
         def out():
-            key, more, known = held
-            return pa.record_batch([pa.array(key >> 32), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(more), pa.array(known.astype(np.int64))], names=["block", "slot", "more", "more_known"])
+            return pa.record_batch([pa.array(np.full(len(more), block)), pa.array(np.arange(len(more), dtype=np.int32)), pa.array(more), pa.array(known.astype(np.int64))], names=["block", "slot", "more", "more_known"])
+
+        def grown(x, size):
+            return x if len(x) >= size else np.concatenate([x, np.zeros(max(size, 2 * len(x)) - len(x), x.dtype)])
 
         for batch in batches:
-            places = batch.column("places").to_pylist()
-            pairs = np.frombuffer(b"".join(places), "<u4").reshape(-1, 2).astype(np.int64)
-            per = np.array([len(p) // 8 for p in places], dtype=np.int64)
-            n = np.repeat(batch.column("n").to_numpy(zero_copy_only=False), per)
-            key = np.repeat(batch.column("block").to_numpy(zero_copy_only=False) << 32, per) | pairs[:, 0]
-            held = _merged(np.r_[held[0], key], np.r_[held[1], pairs[:, 1] * np.log10(n + 1)], np.r_[held[2], pairs[:, 1]])
-            if len(held[0]) > HELD_KEYS:
-                yield out()
-                held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-        if len(held[0]):
+            ids = batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if ids[lo] != block:
+                    if len(more):
+                        yield out()
+                    block, n, more, known = int(ids[lo]), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+                part = batch.slice(lo, hi - lo)
+                counted = part.filter(part.column("places").is_null())
+                if counted.num_rows:
+                    place = counted.column("place").to_numpy()
+                    n = grown(n, int(place.max()) + 1)
+                    n[place] = counted.column("n").to_numpy()
+                for places in part.column("places").drop_null():
+                    triples = np.frombuffer(places.as_buffer(), "<u4").reshape(-1, 3)
+                    slot, times = triples[:, 1], triples[:, 2]
+                    n = grown(n, int(triples[:, 0].max()) + 1)
+                    of, size = n[triples[:, 0]], int(slot.max()) + 1
+                    more, known = grown(more, size), grown(known, size)
+                    more[:size] += np.bincount(slot, weights=times * np.log10(of + 1), minlength=size)
+                    known[:size] += np.bincount(slot, weights=times * (of > 0), minlength=size)
+        if len(more):
             yield out()
 
     # unseen tokens add nothing: log10(0 + 1)
-    met = entered.where("kind = 'token'").select("token", "block", "places").join(counts.select("token", "n"), "token").select("block", "places", "n")
-    sums = met.mapInArrow(run, "block long, slot int, more double, more_known long")
-    return sums.groupBy("block", "slot").agg(F.sum("more").alias("more"), F.sum("more_known").alias("more_known"))
+    found = entered.where("kind = 'token'").select("token", "place").join(counts.select("token", "n"), "token")
+    back = found.select(F.shiftright("place", PLACE_BITS).alias("block"), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("place"), "n", F.lit(None).cast("binary").alias("places"))
+    blocks = entered.where("kind = 'block'").select("block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("n"), "places")
+    ordered = back.unionByName(blocks).repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
+    return ordered.mapInArrow(add, "block long, slot int, more double, more_known long")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, held_out, text)."""
-    entered = materialise(enter(docs, model), ["kind"])
+    entered = materialise(enter(docs, model))
     texts = entered.where("kind = 'text'")
     more = gather(entered, counts)
     plus = lambda c, m: (F.col(c) + F.coalesce(m, F.lit(0))).alias(c)
