@@ -310,6 +310,40 @@ def test_keep_first_keeps_columns(spark):
     assert simhash_dedup.keep_first(docs.limit(0)).count() == 0
 
 
+def test_keep_first_takes_similar_texts(spark):
+    """Copies with changed words go exactly from a similarity of 0.8 on, however far their fingerprints are."""
+    rng = np.random.default_rng(3)
+    words_ = [f"w{k}" for k in range(400)]
+    line = " ".join(f"same{k}" for k in range(12))
+    rows = [(9000, " ".join(f"s{k}" for k in range(8))), (9001, " ".join(f"S{k}" for k in range(9))), (9002, "x y"), (9003, "X  y"), (9004, "x y z")]
+    for base in range(30):
+        text = [words_[k] for k in rng.integers(0, 400, int(rng.integers(20, 200)))]
+        rows.append((100 * base, " ".join(text) + " " + line))
+        for copy in range(1, 5):
+            edited = list(text)
+            for at in rng.integers(0, len(text), int(rng.integers(1, 2 + len(text) // 20))):
+                edited[at] = f"new{rng.integers(1 << 30)}"
+            rows.append((100 * base + copy, " ".join(edited) + " " + line))
+    sets = {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    group = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(group[a], group[b])
+            if group[a] != low or group[b] != low:
+                group[a] = group[b] = low
+                changed = True
+    prints = {i: simhash_dedup.fingerprint(t.encode(), 5) for i, t in rows}
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in pairs) > 20
+    out = simhash_dedup.keep_first(frame(spark, rows), shingle=5)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i in group if group[i] == i)
+
+
 # ---- quality rules
 
 
@@ -499,3 +533,20 @@ def test_pipeline_equals_brute_force(spark, sf):
     lengths = {(r["doc_id"], r["piece"]): r["length"] for r in got}
     for i, t in docs.items():
         assert [lengths[(i, k)] for k in range(want[i])] == cut_lengths(len(e.ids(t)) + 1, 1024)
+
+
+def test_pipeline_takes_similar_texts(spark, sf):
+    """The near-duplicate stage equals brute force over five-word similarities of 0.8 or more."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    split = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items()}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    got = corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i in group if group[i] == i)

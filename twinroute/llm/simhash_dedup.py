@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import similar_sets
 from .components import components
 from .tables import materialise, table, text_and_id
 
@@ -144,8 +145,9 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without those that a smaller id of their group stands for, all columns unchanged.
 
-    Rows without an id stay.
+    Groups join texts whose sets of word shingles have a similarity of 0.8 or more, by ``similar_sets``: fingerprints of
+    such texts are often more than two bits apart.  Rows without an id stay.
     """
-    found = groups(docs, shingle)
+    found = similar_sets.groups(docs, shingle)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
