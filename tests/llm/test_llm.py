@@ -425,13 +425,57 @@ def test_model_chances_sum_to_one(spark):
     docs = frame(spark, [(1, "a b a c"), (2, "b b d"), (3, None)]).withColumn("held_out", F.lit(False))
     model, counts = maxent_lm.train(docs)
     ids = np.arange(maxent_lm.CLASSES)
-    f = np.repeat(maxent_lm.histories(np.array([5]), np.array([0, 1])), len(ids), axis=0)
-    assert abs((10 ** maxent_lm.chances(model, f, ids)[2]).sum() - 1) < 1e-5
+    f = np.repeat(maxent_lm.histories(np.array([5], np.uint64), np.array([0, 1])), len(ids), axis=1)
+    assert abs((10 ** maxent_lm.chances(model, maxent_lm.rows_of(f, ids // maxent_lm.WIDTH), ids)[2]).sum() - 1) < 1e-5
     out = maxent_lm.score(odd(spark).select("doc_id", "text", F.lit(True).alias("held_out")), model, counts).collect()
     assert len(out) == len(ODD) and all(np.isfinite(r["score"]) for r in out)
     assert maxent_lm.score(docs.limit(0), *maxent_lm.train(docs.limit(0))).count() == 0
 
 
+def test_scores_equal_brute_force_over_the_weights(spark):
+    """The score is the sum over tokens of the class's probability by plain softmaxes and the token's share of its class."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.2, 60) % 700)) for i in range(60)] + [(90, None), (91, "new unseen words w1")]
+    docs = frame(spark, rows).withColumn("held_out", F.col("doc_id") >= 50)
+    model, counts = maxent_lm.train(docs.where("NOT held_out"))
+    words_, of = [w for _, t in rows[:50] for w in [*t.split(), None]], {}
+    seen = Counter(words_)
+    for r in counts.collect():
+        of[r["token"] % (1 << 64)] = (r["n"], r["bucket"])
+    assert sorted(n for n, _ in of.values()) == sorted(seen.values()) and model.train_tokens == len(words_)
+    mass, kinds = Counter(), Counter()
+    for h, (n, bucket) in of.items():
+        if h not in set(model.top.tolist()):
+            mass[bucket] += n
+            kinds[bucket] += 1
+    m64, mult = (1 << 64) - 1, [int(x) for x in maxent_lm.KINDS]
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score(docs, model, counts).collect()}
+    for i, text in rows:
+        t = maxent_lm.tokenize(pa.array([text], pa.string()))
+        total = 0.0
+        for at, h in enumerate(t.hash.tolist()):
+            b = [int(t.hash[at - k]) if at >= k else int(maxent_lm.START) for k in (1, 2, 3)]
+            pair = int(words.mix(np.array([(b[0] * mult[1] + b[1]) & m64], np.uint64))[0])
+            f = [b[0] * mult[0] & m64, pair, b[1] * mult[2] & m64, b[2] * mult[3] & m64]
+            where = np.flatnonzero(model.top == np.uint64(h))
+            cls = int(model.top_class[where[0]]) if len(where) else int(t.bucket[at])
+            g, inner = divmod(cls, maxent_lm.WIDTH)
+            shift = 64 - maxent_lm.ROW_BITS
+            a = model.group_bias + sum(model.weights[(x * mult[1] & m64) >> shift] for x in f)
+            c = model.class_bias[g] + sum(model.weights[((x ^ ((g + 1) * int(maxent_lm.OF_GROUP) & m64)) * mult[0] & m64) >> shift] for x in f)
+            total += np.log10(softmax(a)[g] * softmax(c)[inner])
+            if not len(where):
+                total += np.log10((of.get(h, (0, 0))[0] + 1) / (mass[cls] + kinds[cls] + 1))
+        assert abs(got[i] - total) < 1e-3 * max(1, abs(total)), i
+
+
 # ---- toxicity
 
 

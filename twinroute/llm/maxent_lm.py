@@ -1,14 +1,16 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 P(token | history) = P(group | h) P(class | group, h) P(token | class).  The first two are
-softmaxes over hashed features of the history (the token before, the pair before, and the
-skipped second and third tokens before); frequent tokens are classes of their own and the rest fall
-into classes by their first bytes, with add-one counts inside a class and one share for
+softmaxes over features of the history: the token before, the pair before, and the skipped second and
+third tokens before, each as the hash of the tokens themselves.  A feature has a row of weights over the
+groups and one over the classes of each group; rows are picked by the hash of (feature) and of (feature,
+group) from one table of ``ROWS`` rows, whatever the vocabulary.  Frequent tokens are classes of their own
+and the rest fall into classes by their first bytes, with add-one counts inside a class and one share for
 unseen tokens, so the probabilities of all tokens sum to one.
 
 Training: every task runs gradient steps over its own training tokens from the sent
-weights; the updates are summed by feature, weighted by how often each task met the feature,
-and the next round starts from the result.  Counts come from all training tokens.  Scoring
+weights; the updates are summed by row, weighted by how often each task met the row,
+and the next round starts from the result (so weights depend a little on how rows are dealt to tasks).  Counts come from all training tokens.  Scoring
 turns slices of texts into sparse index batches; a token's corpus count reaches its texts by a join
 on the token, entered once a block of texts, so no table of the vocabulary is ever sent to the tasks.
 
@@ -23,7 +25,7 @@ result, and without training texts every token is unseen.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +34,26 @@ from pyspark.sql import functions as F
 
 from .language_id import remainder
 from .tables import materialise, table, text_and_id
-from .words import lower_ascii, signed, slices, split
+from .words import lower_ascii, mix, signed, slices, split
 
 GROUPS = WIDTH = 16
 CLASSES = GROUPS * WIDTH
 TOP = 192
-START = CLASSES
-PAIRS = 1 << 12
-#: First index of each kind of feature.
-LOW = (0, CLASSES + 1, 2 * (CLASSES + 1), 3 * (CLASSES + 1))
-N_FEATURES = LOW[-1] + PAIRS
+#: Rows of weights, and those of a packed block of updates.
+ROW_BITS = 17
+ROWS = 1 << ROW_BITS
+PACK = 256
 END = np.uint64(0x2545F4914F6CDD1D)
+START = np.uint64(0x9FB21C651E98DF25)
+#: Odd multipliers: one a kind of feature, one for the group.
+KINDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+OF_GROUP = np.uint64(0xA24BAED4963EE407)
 BATCH = 1 << 14
 #: Tokens of a block: texts whose rarer tokens enter the join together.
-BLOCK_TOKENS = 2_000_000
-HELD_KEYS = 1 << 20
+BLOCK_TOKENS = 1 << 18
+HELD_KEYS = 1 << 17
 #: Rows of an Arrow batch, and triples of a block row, at most.
-ROWS = 1 << 15
+BATCH_ROWS = 1 << 14
 
 
 @dataclass
@@ -95,7 +100,7 @@ def count(training: DataFrame) -> DataFrame:
                 own, at, n = np.unique(t.hash, return_index=True, return_counts=True)
                 held.append((own, t.bucket[at], n))
                 size += len(own)
-                if size > 2 * HELD_KEYS:
+                if size > HELD_KEYS:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -117,8 +122,7 @@ class Model:
     inside: np.ndarray  # log10 of the denominator inside each class
     group_bias: np.ndarray
     class_bias: np.ndarray  # (groups, width)
-    group_weights: np.ndarray  # (features, groups)
-    class_weights: np.ndarray  # (features, groups, width)
+    weights: np.ndarray  # (ROWS, 16): rows over groups and rows over the classes of a group
 
     def classes(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """(class, place among the frequent tokens or -1) of every token."""
@@ -127,19 +131,25 @@ class Model:
         return np.where(own, self.top_class[at], t.bucket), np.where(own, at, -1)
 
 
-def histories(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Feature indices of every position: (tokens, 4)."""
-    n = len(ids)
+def histories(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Feature hashes of every position: (4, tokens)."""
+    n = len(hashes)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
     back = []
     for k in (1, 2, 3):
         older = np.full(n, START)
-        older[k:] = ids[:-k]
+        older[k:] = hashes[:-k]
         older[place < k] = START
         back.append(older)
-    size = CLASSES + 1
-    pair = ((back[0] * size + back[1]) * 0x9E3779B1 >> 7) % PAIRS
-    return np.stack([back[0], size + back[1], 2 * size + back[2], 3 * size + pair], axis=1)
+    return np.stack([back[0] * KINDS[0], mix(back[0] * KINDS[1] + back[1]), back[1] * KINDS[2], back[2] * KINDS[3]])
+
+
+def rows_of(f: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Rows of weights of every position: (8, tokens), four over groups and then four over the classes of the group."""
+    shift = np.uint64(64 - ROW_BITS)
+    over_groups = (f * KINDS[1]) >> shift
+    over_classes = ((f ^ ((group.astype(np.uint64) + np.uint64(1)) * OF_GROUP)) * KINDS[0]) >> shift
+    return np.concatenate([over_groups, over_classes]).astype(np.int32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -151,104 +161,113 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chances(m: Model, f: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Room:
+    """Arrays that batches of one task use again and again: fresh ones cost more than the sums in them."""
+
+    def __init__(self):
+        self._held: dict[str, np.ndarray] = {}
+
+    def taken(self, name: str, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """values[at], rows, in the array of that name."""
+        held = self._held.get(name)
+        if held is None or len(held) < len(at):
+            held = self._held[name] = np.empty((max(len(at), BATCH), WIDTH), np.float32)
+        return np.take(values, at, axis=0, out=held[: len(at)], mode="clip")
+
+
+def chances(m: Model, rows: np.ndarray, ids: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group probabilities, class probabilities in the own group, log10 of the class's probability)."""
+    room = room or Room()
     group, inner = ids // WIDTH, ids % WIDTH
-    a, b = np.tile(m.group_bias, (len(ids), 1)), m.class_bias.take(group, axis=0)
-    flat = m.class_weights.reshape(-1, WIDTH)
-    for k in range(f.shape[1]):
-        a += m.group_weights.take(f[:, k], axis=0)
-        b += flat.take(f[:, k] * GROUPS + group, axis=0)
+    a, b = room.taken("a", m.group_bias[None], np.zeros(len(ids), np.int8)), room.taken("b", m.class_bias, group)
+    kinds = len(KINDS)
+    for k in range(kinds):
+        a += room.taken("row", m.weights, rows[k])
+        b += room.taken("row", m.weights, rows[kinds + k])
     p, q = _softmax(a), _softmax(b)
     at = np.arange(len(ids))
     return p, q, np.log10(p[at, group] * q[at, inner] + 1e-300)
 
 
-def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, their summed values)."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[heads], np.add.reduceat(values[order], heads, axis=0)
-
-
-def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
-    squares[rows] += slopes**2
-    weights[rows] -= rate * slopes / np.sqrt(squares[rows])
-
-
-def descend(m: Model, squares_a: np.ndarray, squares_b: np.ndarray, f: np.ndarray, group: np.ndarray, slopes: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step of a batch on the rows it met; slopes: those of both softmaxes side by side.
-
-    The kinds of features have rows of their own, so each steps by itself.  Each is sorted once, by a
-    16-bit (feature, group) key: that groups the class rows, and those in turn the group rows.
-    """
-    flat = m.class_weights.reshape(-1, WIDTH)
-    for k, low in enumerate(LOW):
-        key = ((f[:, k] - low) * GROUPS + group).astype(np.uint16)
-        order = np.argsort(key, kind="stable")
-        key = key[order].astype(np.int64)
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sums = np.add.reduceat(slopes.take(order, axis=0), heads, axis=0)
-        rows = key[heads] + low * GROUPS
-        _step(flat, squares_b, rows, sums[:, GROUPS:], rate)
-        rows, total = _row_sums(rows // GROUPS, sums[:, :GROUPS])
-        _step(m.group_weights, squares_a, rows, total, rate)
+def descend(m: Model, squares: np.ndarray, met: np.ndarray, rows: np.ndarray, p: np.ndarray, q: np.ndarray, rate: float, room: Room) -> None:
+    """One adaptive gradient step of a batch on the rows it met; p, q: slopes of both softmaxes; met: how often a row was met."""
+    n = rows.shape[1]
+    flat = rows.ravel()
+    order = np.argsort(flat)
+    flat = flat.take(order)
+    heads = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    own = flat.take(heads)
+    # the first half of the rows steps by p, the second by q
+    at = order % n
+    at += n * (order >= len(KINDS) * n)
+    slopes = room.taken("slopes", np.concatenate([p, q]), at)
+    sums = room.taken("sums", slopes, heads)
+    # most rows are met once in a batch; only the others are added up
+    times = np.diff(np.r_[heads, len(flat)])
+    often = np.flatnonzero(times > 1)
+    if len(often):
+        several = times[often]
+        parts = room.taken("parts", slopes, np.flatnonzero(np.repeat(times > 1, times)))
+        sums[often] = np.add.reduceat(parts, np.cumsum(several) - several, axis=0)
+    square = room.taken("square", squares, own)
+    square += np.multiply(sums, sums, out=slopes[: len(own)])
+    squares[own] = square
+    np.sqrt(square, out=square)
+    sums *= -rate
+    sums /= square
+    moved = room.taken("square", m.weights, own)
+    moved += sums
+    m.weights[own] = moved
+    met[own] += times
 
 
 def epoch(training: DataFrame, model: Model, rate: float) -> Model:
     """One round of distributed gradient updates over all training tokens."""
-    spark = training.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    width = GROUPS + CLASSES
+    sent = training.sparkSession.sparkContext.broadcast(model)
 
     def improve(batches):
         m = sent.value
-        own = Model(**{**m.__dict__, "group_weights": m.group_weights.copy(), "class_weights": m.class_weights.copy()})
-        squares_a, squares_b = np.ones_like(own.group_weights), np.ones_like(own.class_weights.reshape(-1, WIDTH))
-        met = np.zeros(N_FEATURES)
+        own = replace(m, weights=m.weights.copy())
+        squares, met, room = np.ones_like(own.weights), np.zeros(ROWS, dtype=np.float32), Room()
         for batch in batches:
             for part in slices(batch, "text"):
                 t = tokenize(part.column("text"))
                 ids, _ = own.classes(t)
-                feats = histories(ids, t.first)
+                feats = histories(t.hash, t.first)
                 for lo in range(0, len(ids), BATCH):
-                    y, f = ids[lo : lo + BATCH], feats[lo : lo + BATCH]
-                    p, q, _ = chances(own, f, y)
+                    y = ids[lo : lo + BATCH]
+                    rows = rows_of(feats[:, lo : lo + BATCH], y // WIDTH)
+                    p, q, _ = chances(own, rows, y, room)
                     at = np.arange(len(y))
                     p[at, y // WIDTH] -= 1
                     q[at, y % WIDTH] -= 1
-                    descend(own, squares_a, squares_b, f, y // WIDTH, np.concatenate([p, q], axis=1), rate)
-                    met += np.bincount(f.ravel(), minlength=N_FEATURES)
-        used = np.flatnonzero(met)
-        moved = np.concatenate([own.group_weights - m.group_weights, (own.class_weights - m.class_weights).reshape(N_FEATURES, CLASSES)], axis=1)
-        moved = moved[used].astype("<f2")
-        for lo in range(0, len(used), 1024):
-            block = moved[lo : lo + 1024]
-            yield pa.record_batch([pa.array(used[lo : lo + 1024]), pa.array(met[used[lo : lo + 1024]]), pa.array([r.tobytes() for r in block], pa.binary())], names=["feature", "met", "moved"])
+                    descend(own, squares, met, rows, p, q, rate, room)
+        own.weights -= m.weights
+        # a pack: its met rows (one byte each), how often, and their steps
+        for pack in np.unique(np.flatnonzero(met) // PACK):
+            here = slice(pack * PACK, (pack + 1) * PACK)
+            used = np.flatnonzero(met[here])
+            packed = (used.astype(np.uint8), met[here][used], own.weights[here][used].astype("<f2"))
+            yield pa.record_batch([pa.array([pack]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["pack", "used", "met", "moved"])
 
     def add(batches):
-        total, met = np.zeros((N_FEATURES, width)), np.zeros(N_FEATURES)
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            feature = batch.column("feature").to_numpy()
-            if len(feature):
-                weight = batch.column("met").to_numpy()
-                moved = np.frombuffer(b"".join(batch.column("moved").to_pylist()), "<f2").reshape(-1, width) * weight[:, None]
-                rows, moved = _row_sums(feature, moved)
-                total[rows] += moved
-                met += np.bincount(feature, weights=weight, minlength=N_FEATURES)
-        used = np.flatnonzero(met)
-        rows = [r.tobytes() for r in (total[used] / met[used, None]).astype("<f4")]
-        yield pa.record_batch([pa.array(used), pa.array(met[used]), pa.array(rows, pa.binary())], names=["feature", "met", "moved"])
-
-    kinds = "feature long, met double, moved binary"
-    updates = training.select("text").mapInArrow(improve, kinds).repartition("feature").mapInArrow(add, kinds)
-    group_weights, class_weights = model.group_weights.copy(), model.class_weights.copy()
-    for row in updates.collect():  # N_FEATURES rows at most
-        step = np.frombuffer(row["moved"], "<f4")
-        group_weights[row["feature"]] += step[:GROUPS]
-        class_weights[row["feature"]] += step[GROUPS:].reshape(GROUPS, WIDTH)
-    return Model(**{**model.__dict__, "group_weights": group_weights, "class_weights": class_weights})
+            for pack, used, met, moved in zip(*(batch.column(c).to_pylist() for c in ("pack", "used", "met", "moved")), strict=True):
+                steps, times = total.setdefault(pack, (np.zeros((PACK, WIDTH)), np.zeros(PACK)))
+                used, met = np.frombuffer(used, np.uint8), np.frombuffer(met, "<f4")
+                steps[used] += np.frombuffer(moved, "<f2").reshape(-1, WIDTH) * met[:, None]
+                times[used] += met
+        for pack, (steps, times) in total.items():
+            mean = (steps / np.maximum(times, 1)[:, None]).astype("<f4")
+            yield pa.record_batch([pa.array([pack]), pa.array([mean.tobytes()], pa.binary())], names=["pack", "moved"])
+
+    updates = training.select("text").mapInArrow(improve, "pack long, used binary, met binary, moved binary").repartition("pack").mapInArrow(add, "pack long, moved binary")
+    weights = model.weights.copy()
+    for row in updates.collect():  # ROWS / PACK rows at most
+        weights[row["pack"] * PACK : (row["pack"] + 1) * PACK] += np.frombuffer(row["moved"], "<f4").reshape(PACK, WIDTH)
+    sent.unpersist()
+    return replace(model, weights=weights)
 
 
 def start(counts: DataFrame) -> Model:
@@ -272,11 +291,11 @@ def start(counts: DataFrame) -> Model:
     return Model(
         top, np.array([own_class[h] for h in top]), np.array([found[h] for h in top]), int(total["n"]), int(total["v"]), inside,
         np.log(shared.sum(axis=1) / shared.sum()).astype(np.float32), np.log(shared / shared.sum(axis=1, keepdims=True)).astype(np.float32),
-        np.zeros((N_FEATURES, GROUPS), np.float32), np.zeros((N_FEATURES, GROUPS, WIDTH), np.float32),
+        np.zeros((ROWS, WIDTH), np.float32),
     )
 
 
-def train(training: DataFrame, epochs: int = 2, rate: float = 0.1) -> tuple[Model, DataFrame]:
+def train(training: DataFrame, epochs: int = 1, rate: float = 0.3) -> tuple[Model, DataFrame]:
     """The model and the counts (token, bucket, n) it stands on."""
     counts = materialise(count(training))
     model = start(counts)
@@ -285,9 +304,7 @@ def train(training: DataFrame, epochs: int = 2, rate: float = 0.1) -> tuple[Mode
     return model, counts
 
 
-#: A place in a block is block << PLACE_BITS | place.
-PLACE_BITS = 30
-ENTERED = "kind string, block long, slot int, token long, place long, places binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+ENTERED = "kind string, block long, slot int, token long, place int, places binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def enter(docs: DataFrame, model: Model) -> DataFrame:
@@ -310,8 +327,8 @@ def enter(docs: DataFrame, model: Model) -> DataFrame:
             columns["kind"] = pa.array([kind] * n, pa.string())
             return pa.record_batch([columns.get(name, pa.nulls(n, kinds[k])) for name, k in fields], names=[name for name, _ in fields])
 
-        block, slots, rare, where, size = TaskContext.get().partitionId() << 12, 0, [], [], 0
-        log_top = np.log10(m.top_count + 1)
+        block, slots, rare, where, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        log_top, room = np.log10(m.top_count + 1), Room()
 
         def flush():
             keys, at = np.concatenate(rare), np.concatenate(where)
@@ -323,11 +340,11 @@ def enter(docs: DataFrame, model: Model) -> DataFrame:
             new = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
             tokens, place = tokens[new], np.cumsum(new) - 1
             triples = np.stack([place, at[heads], times], axis=1).astype("<u4")
-            for lo in range(0, len(tokens), ROWS):
-                part = np.arange(lo, min(lo + ROWS, len(tokens)), dtype=np.int64)
-                yield row_batch("token", len(part), token=pa.array(signed(tokens[part])), place=pa.array(part | (block << PLACE_BITS)))
-            for lo in range(0, len(triples), ROWS):
-                yield row_batch("block", 1, block=pa.array([block]), places=pa.array([triples[lo : lo + ROWS].tobytes()], pa.binary()))
+            for lo in range(0, len(tokens), BATCH_ROWS):
+                part = np.arange(lo, min(lo + BATCH_ROWS, len(tokens)), dtype=np.int32)
+                yield row_batch("token", len(part), block=pa.array(np.full(len(part), block)), token=pa.array(signed(tokens[part])), place=pa.array(part))
+            for lo in range(0, len(triples), BATCH_ROWS):
+                yield row_batch("block", 1, block=pa.array([block]), places=pa.array([triples[lo : lo + BATCH_ROWS].tobytes()], pa.binary()))
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -335,8 +352,9 @@ def enter(docs: DataFrame, model: Model) -> DataFrame:
                 docs_here = part.num_rows
                 ids, place = m.classes(t)
                 doc = np.repeat(np.arange(docs_here), np.diff(t.first))
-                feats = histories(ids, t.first)
-                logs = np.concatenate([chances(m, feats[lo : lo + BATCH], ids[lo : lo + BATCH])[2] for lo in range(0, len(ids), BATCH)])
+                feats = histories(t.hash, t.first)
+                part_rows = lambda lo: rows_of(feats[:, lo : lo + BATCH], ids[lo : lo + BATCH] // WIDTH)
+                logs = np.concatenate([chances(m, part_rows(lo), ids[lo : lo + BATCH], room)[2] for lo in range(0, len(ids), BATCH)])
                 own = place >= 0
                 known_top = own & (m.top_count[place] > 0)
                 known = np.bincount(doc[known_top], minlength=docs_here)
@@ -404,8 +422,8 @@ def gather(entered: DataFrame, counts: DataFrame) -> DataFrame:
             yield out()
 
     # unseen tokens add nothing: log10(0 + 1)
-    found = entered.where("kind = 'token'").select("token", "place").join(counts.select("token", "n"), "token")
-    back = found.select(F.shiftright("place", PLACE_BITS).alias("block"), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("place"), "n", F.lit(None).cast("binary").alias("places"))
+    found = entered.where("kind = 'token'").select("token", "block", "place").join(counts.select("token", "n"), "token")
+    back = found.select("block", "place", "n", F.lit(None).cast("binary").alias("places"))
     blocks = entered.where("kind = 'block'").select("block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("n"), "places")
     ordered = back.unionByName(blocks).repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
     return ordered.mapInArrow(add, "block long, slot int, more double, more_known long")
