@@ -50,8 +50,8 @@ KINDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 OF_GROUP = np.uint64(0xA24BAED4963EE407)
 BATCH = 1 << 14
 #: Tokens of a block: texts whose rarer tokens enter the join together.
-BLOCK_TOKENS = 1 << 18
-HELD_KEYS = 1 << 17
+BLOCK_TOKENS = 1 << 20
+HELD_KEYS = 1 << 18
 #: Rows of an Arrow batch, and triples of a block row, at most.
 BATCH_ROWS = 1 << 14
 
