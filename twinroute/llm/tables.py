@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Written to the shared folder as Parquet and read again: cuts lineage and survives lost executors."""
+_scopes: list[list[str]] = []
+
+
+def materialise(df: DataFrame, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """Written to the shared folder as Parquet and read again: cuts lineage and survives lost executors.
+
+    Inside ``scratch`` the table goes with the scope, unless ``keep``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -49,6 +59,18 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end; what is returned must be kept or need none of them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_and_id(docs: DataFrame) -> DataFrame:
     """Only the two columns that text operators read, whatever else the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
