@@ -544,21 +544,26 @@ def test_reordered_passages_are_caught(spark):
 # ---- pipeline
 
 
+def similar_groups(texts):
+    """Smallest id reachable over five-word similarities of 0.8 or more."""
+    split = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items()}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    return group
+
+
 def test_pipeline_equals_brute_force(spark, sf):
     import corpus_pipeline
 
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     entries = quality_rules.apply_policy(quality_rules.ledger(spark.read.parquet(f"{sf}/documents.parquet")), quality_rules.POLICIES["v2"])
     docs = {i: docs[i] for i in sorted(r["doc_id"] for r in entries.where("kept").collect())}
-    prints = {i: simhash_dedup.fingerprint(t.encode(), 5) for i, t in docs.items()}
-    group = {i: i for i in docs}
-    changed = True
-    while changed:
-        changed = False
-        for a in docs:
-            for b in docs:
-                if group[a] < group[b] and (prints[a] ^ prints[b]).bit_count() <= 2:
-                    group[b], changed = group[a], True
+    group = similar_groups(docs)
     docs = {i: t for i, t in docs.items() if group[i] == i}
     rewritten = brute_substrings(docs.items())
     docs = {i: t for i, (n, gone, t) in rewritten.items() if gone < n or not gone}
@@ -584,13 +589,6 @@ def test_pipeline_takes_similar_texts(spark, sf):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    split = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items()}
-    group = {i: i for i in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                low, high = sorted((group[a], group[b]))
-                group = {i: low if g == high else g for i, g in group.items()}
+    group = similar_groups({r["doc_id"]: r["text"] for r in docs.collect()})
     got = corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(i for i in group if group[i] == i)
