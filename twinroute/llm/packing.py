@@ -3,9 +3,9 @@
 Texts become pieces of at most ``capacity`` tokens; only the histogram of piece lengths
 (``capacity`` rows, whatever the corpus) reaches the driver.  There a configuration linear
 program, one column for each way to fill a sequence, is solved by multiplicative weights:
-lengths carry weights, a knapsack dynamic program prices the best configuration, and
-lengths already covered lose weight.  The fractional plan is rounded down and what is left
-is packed best-fit.  Spark then numbers the pieces of each length and looks their place up in
+lengths carry weights, a bounded knapsack dynamic program prices the configurations, and
+lengths already covered lose weight.  The fractional plan is rounded by largest remainders, what is left is
+solved again, and only a last rest is packed best-fit.  Spark then numbers the pieces of each length and looks their place up in
 the plan; a piece never meets another piece of its sequence in memory.
 
 Defined results: null text counts as empty and packs as one end token; rows that repeat an
@@ -29,6 +29,7 @@ from .words import slices
 
 CAPACITY = 1024
 END_ID = 2
+BLOCK = 1 << 20
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -94,39 +95,79 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     return text_and_id(docs).mapInArrow(run, schema)
 
 
-def price(weights: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
-    """The configuration of most weight: a knapsack over the capacity, using no length more often than it occurs."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
-        best[room] = best[room - 1]
-        if n:
-            total = best[room - lengths[:n]] + weights[:n]
-            at = int(np.argmax(total))
-            if total[at] > best[room]:
-                best[room], last[room] = total[at], at
-    found: Counter = Counter()
-    room = capacity
-    while room > 0:
-        at = last[room]
-        if at < 0:
-            room -= 1
-        else:
-            if found[at] < counts[at]:
-                found[at] += 1
-            room -= int(lengths[at])
-    return found
-
+def price(weights: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, how often each length is taken) of the best configurations, no length more often than it occurs.
 
-def best_fit(sizes: Counter, capacity: int) -> Counter:
-    """Best-fit decreasing over counted lengths: full configurations (tuples) with their numbers.
+    A bounded knapsack dynamic program over the lengths of at most half the capacity; at most one longer length fits, so
+    one program gives the best completion of every longer length, and the best without one.
+    """
+    short, long = np.flatnonzero(lengths <= capacity // 2)[::-1], np.flatnonzero(lengths > capacity // 2)
+    best = np.zeros(capacity + 1)
+    layers: list[tuple[int, int, np.ndarray]] = []
+    for at in short:
+        size, left, block = int(lengths[at]), int(min(counts[at], capacity // lengths[at])), 1
+        while left:
+            n = min(block, left)
+            left, block = left - n, 2 * block
+            total = best[: -n * size] + n * weights[at]
+            taken = np.zeros(capacity + 1, dtype=bool)
+            np.greater(total, best[n * size :] + 1e-12, out=taken[n * size :])
+            best[n * size :] = np.maximum(best[n * size :], total)
+            layers.append((at, n, taken))
+    configs = np.zeros((len(long) + 1, len(lengths)), dtype=np.int32)
+    configs[np.arange(len(long)), long] = 1
+    room = np.r_[capacity - lengths[long], capacity]
+    value = best[room] + np.r_[weights[long], 0]
+    for at, n, taken in reversed(layers):
+        hit = taken[room]
+        configs[hit, at] += n
+        room = np.where(hit, room - n * lengths[at], room)
+    return value, configs
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, tolerance: float = 0.005, rounds: int = 120, step: float = 0.1) -> dict[tuple, float]:
+    """A covering plan of the configuration program, {((index, times), ...): use}, by multiplicative weights.
+
+    Each round prices the configurations under the weights and uses those of nearly the most weight so far that no length
+    gains more than ``step`` of its count; lengths ahead of the others lose weight.  Any weights, divided by the most that a
+    configuration weighs, are a dual solution, so the rounds end when the plan is within ``tolerance`` of the best dual value.
+    """
+    weights, load, covered = lengths / capacity, np.zeros(len(lengths)), np.zeros(len(lengths))
+    plan: dict[tuple, float] = {}
+    used = bound = 0.0
+    for k in range(rounds):
+        if k == rounds // 3:  # the first columns were priced before the weights had settled
+            plan, used, covered = {}, 0.0, np.zeros(len(lengths))
+        value, configs = price(weights, lengths, counts, capacity)
+        bound = max(bound, float(counts @ weights) / value.max())
+        near = configs[value >= (1 - 4 * tolerance) * value.max()]
+        # all of a round together raise no length by more than the step
+        per = counts / np.maximum(near.sum(axis=0), 1)
+        use = step * np.where(near > 0, per, np.inf).min(axis=1)
+        for config, x in zip(near, use, strict=True):
+            own = np.flatnonzero(config)
+            key = tuple(zip(own.tolist(), config[own].tolist(), strict=True))
+            plan[key] = plan.get(key, 0.0) + float(x)
+        used += float(use.sum())
+        gain = use @ near / counts
+        load, covered = load + gain, covered + gain
+        weights = lengths / capacity * np.exp(-np.minimum(load - load.min(), 30))
+        if covered.min() > 0 and used / covered.min() <= (1 + tolerance) * bound:
+            break
+    scale = 1 / covered.min() if covered.min() > 0 else 1 / max(covered.max(), 1e-9)
+    return {k: x * scale for k, x in plan.items()}
+
+
+def best_fit(sizes: Counter, capacity: int, begun: Counter | None = None) -> Counter:
+    """Best-fit decreasing over counted lengths, into the begun configurations first: configurations (tuples) with their numbers.
 
     Whole runs of equal lengths are placed at once, so the work follows the distinct lengths
     and fill levels and not the number of pieces.
     """
     room: dict[int, Counter] = {capacity: Counter()}  # left over -> configurations
     done: Counter = Counter()
+    for config, n in (begun or {}).items():
+        room.setdefault(capacity - sum(config), Counter())[config] += n
     for size in sorted(sizes, reverse=True):
         left = sizes[size]
         while left:
@@ -153,45 +194,41 @@ def best_fit(sizes: Counter, capacity: int) -> Counter:
     return done
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, step: float = 0.5) -> Counter:
-    """Configurations (tuples of lengths) and how often to use each, covering the histogram exactly."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, dives: int = 12) -> Counter:
+    """Configurations (tuples of lengths) and how often to use each, covering the histogram exactly.
+
+    The fractional plan is rounded down; then the largest remainders take one more where their lengths are still
+    there.  What is left is solved again, and a rest that no configuration fits, or that is left after ``dives`` solutions,
+    goes best-fit into the room of the begun sequences.
+    """
     histogram = {k: v for k, v in histogram.items() if v}
     out: Counter = Counter()
     full = histogram.pop(capacity, 0)
+    left = Counter(histogram)
+    for _ in range(dives):
+        lengths = np.array(sorted(+left), dtype=np.int64)
+        if not len(lengths):
+            break
+        counts = np.array([left[int(x)] for x in lengths], dtype=float)
+        shares = fractional(lengths, counts, capacity)
+        taken = 0
+        by_use = sorted(shares.items(), key=lambda x: (-int(x[1]), -(x[1] % 1), x[0]))
+        for rounding in ("down", "remainder"):
+            for key, use in by_use if rounding == "down" else sorted(by_use, key=lambda x: (-(x[1] % 1), x[0])):
+                config = {int(lengths[at]): n for at, n in key}
+                fits = min(left[s] // n for s, n in config.items())
+                n = min(int(use), fits) if rounding == "down" else min(1, fits)
+                if n > 0:
+                    out[tuple(sorted((s for s, k in config.items() for _ in range(k)), reverse=True))] += n
+                    for s, k in config.items():
+                        left[s] -= n * k
+                    taken += n
+        if not taken:
+            break
+    out = best_fit(+left, capacity, out)
     if full:
-        out[(capacity,)] = full
-    if not histogram:
-        return out
-    lengths = np.array(sorted(histogram))
-    counts = np.array([histogram[x] for x in lengths], dtype=float)
-    # multiplicative weights: what a column covers beyond the others' pace loses weight
-    load = np.zeros(len(lengths))
-    columns: dict[tuple, float] = {}
-    for _ in range(rounds):
-        worst = load.min()
-        weights = np.exp(-step * np.minimum(load - worst, 60)) / counts
-        # the small length term keeps ties on full sequences
-        config = price(weights + 1e-12 * lengths, lengths, counts, capacity)
-        take = np.zeros(len(lengths))
-        for at, n in config.items():
-            take[at] = n
-        use = float((counts[take > 0] / take[take > 0]).min())
-        key = tuple(int(lengths[at]) for at in sorted(config, reverse=True) for _ in range(config[at]))
-        columns[key] = columns.get(key, 0.0) + use
-        load += use * take / counts
-    scale = 1.0 / max(load.min(), 1e-9)
-    left = Counter({int(n): int(c) for n, c in zip(lengths, counts, strict=True)})
-    for key, use in sorted(columns.items(), key=lambda x: -x[1] * sum(x[0])):
-        need = Counter(key)
-        n = min(int(use * scale), *(left[s] // k for s, k in need.items()))
-        if n > 0:
-            out[key] += n
-            for s, k in need.items():
-                left[s] -= n * k
-    out.update(best_fit(+left, capacity))
-    rival = best_fit(Counter(histogram), capacity)
-    rival[(capacity,)] += full
-    return out if sum(out.values()) <= sum((+rival).values()) else +rival
+        out[(capacity,)] += full
+    return out
 
 
 def slots(configs: Counter) -> list[tuple[int, int, int, int, int]]:
@@ -210,10 +247,11 @@ def slots(configs: Counter) -> list[tuple[int, int, int, int, int]]:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset.  ``cut`` should be materialised: it is read twice."""
     spark = cut.sparkSession
-    # Equal lengths are numbered in blocks, so one very common length is not one task's work.
-    blocks = 64
-    marked = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
-    sized = marked.groupBy("length", "block").agg(F.count("*").alias("n")).collect()  # capacity x blocks rows at most
+    # Equal lengths are numbered in blocks of about BLOCK pieces, so one very common length is not one task's work.
+    many = {r["length"]: r["count"] // BLOCK + 8 for r in cut.groupBy("length").count().collect()}  # capacity rows at most
+    shares = spark.createDataFrame(sorted(many.items()), "length long, share long")
+    marked = cut.join(F.broadcast(shares), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), "share").cast("int")).drop("share")
+    sized = marked.groupBy("length", "block").agg(F.count("*").alias("n")).collect()  # eight rows a length and one for BLOCK pieces
     histogram, base = Counter(), []
     for row in sorted(sized):
         base.append((row["length"], row["block"], histogram[row["length"]]))
