@@ -7,8 +7,8 @@ total plus distinct) down to shorter contexts and at last 1/256.  The statistics
 training; the language of least code length wins (ties: the lesser name).
 
 Training counts 4-byte grams of all labelled texts inside the tasks and sums them by
-(language, gram); shorter contexts are their margins.  A tree keeps at most ``MAX_GRAMS``
-grams, the most frequent ones, which bounds what is sent to the tasks.
+(language, gram); shorter contexts are their margins.  A tree keeps all grams of its language: distinct runs of four
+bytes, of which text has far fewer than words.  ``max_grams`` (off) keeps only the most frequent ones.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every
 text when nothing was learned; null ids are never held out and never learned from; repeated rows are
@@ -30,7 +30,6 @@ from .tables import table
 from .words import buffers, slices
 
 ORDER = 3
-MAX_GRAMS = 1 << 17
 #: Distinct grams with code lengths that a task keeps between slices.
 CACHE = 1 << 20
 
@@ -153,10 +152,10 @@ def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return joined.where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & pick)).select("lang", "gram", "n")
 
 
-def train(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
+def train(labelled: DataFrame, max_grams: int | None = None) -> Model:
     """Trees from the texts and their non-null lang."""
     counts = count(labelled.where("lang IS NOT NULL AND text IS NOT NULL"))
-    kept = most_frequent(counts, max_grams).toPandas()
+    kept = (counts if max_grams is None else most_frequent(counts, max_grams)).toPandas()
     return Model({lang: Tree(g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy().astype(float)) for lang, g in kept.groupby("lang")})
 
 

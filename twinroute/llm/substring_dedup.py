@@ -35,6 +35,8 @@ from .words import SpanHash, Words, signed, slices, split
 WINDOW = 20
 GRAM = 6
 NO_ID = -(1 << 63)
+#: Batches in which a whole table enters the index.
+BATCHES = 2
 
 ENTRY = "anchor long, context long, doc_id long, start int, n int, sure boolean"
 
@@ -185,16 +187,19 @@ class FingerprintIndex:
         self.window, self.gram = window, gram
         self.runs: list[DataFrame] = []
 
-    def add(self, batch: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    def add(self, batch: DataFrame, texts: DataFrame | None = None, since: int | None = None) -> DataFrame:
         """(doc_id, start, n) ranges of repeated windows in the batch; its entries become a run.
 
-        texts: documents (doc_id, text) that hold the batch and every earlier one, for verification.
+        texts: documents (doc_id, text) that hold the batch and every earlier one, for verification; only those whose anchors
+        met are read.  since: the batch's least id, where known.
         """
         found = materialise(merge(entries(batch, self.window, self.gram), self.runs), ["verdict"])
         self.runs.append(found.where("age = 1 AND verdict <> 'repeat'"))
         repeats = found.where("verdict = 'repeat'").select("doc_id", "start", "n")
         checked = verified(batch if texts is None else texts, found.where("verdict = 'verify'"), self.window)
-        if len(self.runs) > 1:
+        if since is not None:
+            checked = checked.where(F.col("doc_id") >= since)
+        elif len(self.runs) > 1:
             checked = checked.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
         return repeats.unionByName(checked)
 
@@ -242,11 +247,26 @@ def cut(docs: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
     return _with_ranges(docs, ranges).select(*(docs[c] for c in names), "_start", "_n").mapInArrow(run, schema)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, texts: DataFrame, window: int, gram: int, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, start, n) ranges of all repeated windows: the documents enter the index batch by batch, in order of doc_id.
+
+    texts: the same documents (doc_id, text), dealt by doc_id.
+    """
+    plain_docs = plain(docs)
+    edges = plain_docs.where(F.col("doc_id") != NO_ID).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
+    edges = [NO_ID, *sorted({int(x) for x in edges})]
+    index, found = FingerprintIndex(window, gram), None
+    for lo, hi in zip(edges, [*edges[1:], None], strict=True):
+        batch = plain_docs.where(F.col("doc_id") >= lo if hi is None else (F.col("doc_id") >= lo) & (F.col("doc_id") < hi))
+        ranges = index.add(batch, texts, lo)
+        found = ranges if found is None else found.unionByName(ranges)
+    return found
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, text without repeated windows, n_words and n_removed of every document."""
     texts = plain(docs).repartition("doc_id")
-    ranges = FingerprintIndex(window, gram).add(plain(docs), texts)
-    return cut(texts, ranges, window).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return cut(texts, repeats(docs, texts, window, gram, batches), window).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +282,7 @@ def rewrite(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     others = [c for c in docs.columns if c != "text"]
     # the other columns travel as one, so no name of theirs can clash
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")).repartition("doc_id")
-    ranges = FingerprintIndex(window, gram).add(plain(docs), texts)
-    done = cut(texts, ranges, window).where("n_removed = 0 OR n_words > n_removed")
+    done = cut(texts, repeats(docs, texts, window, gram), window).where("n_removed = 0 OR n_words > n_removed")
     changed = {"text": F.col("text"), "n_chars": F.length("text")}
     restored = lambda c: changed.get(c, F.col("others").getField(c)) if c != "text" else changed[c]
     return done.select(*(restored(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

@@ -33,7 +33,8 @@ from .words import SpanHash, slices, split
 
 MAX_TOXIC = 4_000
 MAX_OTHER = 12_000
-MAX_VOTERS = 400
+#: Voters whose correlations are computed at once.
+BLOCK = 128
 PREFIX_BYTES = 6
 MIN_DOCS = 4
 
@@ -85,7 +86,9 @@ def vectors(docs: DataFrame, picked: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 doc, feature = features(part.column("text"))
-                rows = [np.unique(feature[doc == d]).tobytes() for d in range(part.num_rows)]
+                order = np.argsort(doc, kind="stable")
+                of = np.split(feature[order], np.searchsorted(doc[order], np.arange(1, part.num_rows)))
+                rows = [np.unique(x).tobytes() for x in of]
                 yield pa.record_batch([part.column("doc_id"), part.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "found"])
 
     # the sample has a fixed bound, so it may be broadcast
@@ -115,12 +118,19 @@ def label_model(votes: Votes, given: np.ndarray, rounds: int = 12) -> tuple[np.n
         # the annotator is held to be mostly right; without that the classes may drift to another split
         rates[:, annotator] = np.clip(rates[:, annotator], [0, 0.9], [0.02, 1 - 1e-3])
         # correlation inside the toxic class beyond what the class explains
-        centred = (fires - rates[1]) * np.sqrt(post)[:, None]
-        spread = np.sqrt((centred**2).sum(axis=0)) + 1e-9
-        tied = np.abs((centred.T @ centred) / np.outer(spread, spread))
-        np.fill_diagonal(tied, 0)
-        tied[annotator] = tied[:, annotator] = 0
-        weights = 1 / (1 + np.where(tied > 0.3, tied, 0).sum(axis=1))
+        share, held = post.astype(np.float32), rates[1]
+        sums, total, n = share @ fires, share.sum(), votes.n_voters
+        spread = np.sqrt(np.maximum(sums - 2 * held * sums + held**2 * total, 0)) + 1e-9
+        ties = np.zeros(n)
+        for lo in range(0, n, BLOCK):  # a block of voters against all, so that memory follows the votes
+            own = slice(lo, min(lo + BLOCK, n))
+            both = (fires[:, own] * share[:, None]).T @ fires
+            both += -np.outer(held[own], sums) - np.outer(sums[own], held) + total * np.outer(held[own], held)
+            tied = np.abs(both / np.outer(spread[own], spread))
+            tied[np.arange(tied.shape[0]), np.arange(own.start, own.stop)] = tied[:, annotator] = 0
+            ties[own] = np.where(tied > 0.3, tied, 0).sum(axis=1)
+        ties[annotator] = 0
+        weights = 1 / (1 + ties)
         # a lexicon or pattern voter abstains when it does not fire, the annotator never does
         fire, quiet = np.log(rates[1] / rates[0]), np.log((1 - rates[1, annotator]) / (1 - rates[0, annotator]))
         odds = np.log(mass[1] / mass[0]) + fires @ (weights * fire) + (1 - fires[:, annotator]) * weights[annotator] * quiet
@@ -148,7 +158,6 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, steps: int = 400, penalty: f
     positive = np.bincount(at, weights=toxic[doc], minlength=len(keys))
     odds = np.log((positive + 0.5) / (n_toxic + 1)) - np.log((df - positive + 0.5) / (n - n_toxic + 1))
     strong = np.flatnonzero((odds > 2.5) & (positive >= MIN_DOCS))
-    strong = strong[np.argsort(-(odds * np.sqrt(positive))[strong], kind="stable")][:MAX_VOTERS]
     place = np.full(len(keys), -1)
     place[strong] = np.arange(len(strong))
     firing = place[at] >= 0
