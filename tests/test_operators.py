@@ -391,3 +391,25 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_interval_beyond_thirty_degrees(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1.0,), (30.0,), (31.0,), (39.0,), (200.0,)], "df double")
+    got = [r["q"] for r in rows.select(counts.t_quantile_975(F.col("df")).alias("q")).collect()]
+    # fixed values: quantiles of Student's t
+    for have, want in zip(got, (12.706204736, 2.042272456, 2.039513446, 2.022690920, 1.971896224), strict=True):
+        assert abs(have - want) < 1e-7
+    deltas = spark.createDataFrame([(1, float(k % 7)) for k in range(40)], "transcript_id int, d_te double")
+    r = counts.paired_tests(deltas).first()
+    assert abs((r["ci_high"] - r["mean"]) / r["se"] - 2.022690920) < 1e-7
+
+
+def test_primary_without_nh_is_an_error(spark):
+    from twinroute.operators import alignments
+
+    aln = spark.createDataFrame([("s", 1, None, False), ("s", 2, 1, False)], "sample string, read_id long, nh int, is_secondary boolean")
+    with pytest.raises(Exception, match="without NH"):
+        alignments.genome_reads(aln).collect()
+    assert [r["genome"] for r in alignments.genome_reads(aln.where("read_id = 2")).collect()] == ["unique"]

@@ -97,3 +97,10 @@ def test_density_equals_a_dense_filter(spark):
         padded = np.pad(grid, [(8, 8) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
         grid = np.apply_along_axis(lambda v: np.convolve(v, w, mode="valid"), axis, padded)
     assert max(abs(got[k] - grid[at[0][k], at[1][k]]) for k in got) < 1e-9
+
+
+def test_tags_after_the_eighth_are_read(spark, tmp_path):
+    line = "\t".join(["r1", "0", "chr1", "11", "60", "5M", "*", "0", "0", "ACGTA", "IIIII", *(f"X{k}:i:{k}" for k in range(9)), "NH:i:3", "AS:i:-7"])
+    (tmp_path / "lib1.sam").write_text("@HD\tVN:1.6\n" + line + "\n" + "\t".join(line.split("\t")[:11]) + "\n")
+    got = sorted(((r["nh"], r["as"], r["start"], r["end"], r["sample"]) for r in readers.sam_text(spark, str(tmp_path)).collect()), key=str)
+    assert got == [(3, -7, 10, 15, "lib1"), (None, None, 10, 15, "lib1")]

@@ -14,8 +14,9 @@ READ = ["sample", "read_id"]
 
 
 def genome_reads(aln: DataFrame) -> DataFrame:
-    """One row per read with a primary: ``genome`` is unique or multi.  Of repeated primaries the least NH counts."""
-    kind = F.when(F.min("nh") == 1, "unique").otherwise("multi")
+    """One row per read with a primary: ``genome`` is unique or multi.  Of repeated primaries the least NH counts; one without NH is an error."""
+    absent = F.raise_error(F.lit("primary alignment without NH")).cast("string")
+    kind = F.when(F.count_if(F.col("nh").isNull()) > 0, absent).when(F.min("nh") == 1, "unique").otherwise("multi")
     return aln.where("NOT is_secondary").groupBy(*READ).agg(kind.alias("genome"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinroute.functions.columns import is_primary
+from twinroute.functions.columns import base_id, is_primary
 
 
 def require_columns(df: DataFrame, names: list[str], source: str) -> DataFrame:
@@ -65,3 +65,25 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """One row (n, digest) that does not depend on row order or partitions: sums and xor of row hashes."""
     row = F.xxhash64(*df.columns)
     return df.agg(F.count("*").alias("n"), F.bit_xor(row).alias("digest"), F.sum(F.pmod(row, F.lit(1 << 31))).alias("total"))
+
+
+def reference_map_violations(header: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """References (name, length) that do not map to exactly one transcript (transcript_id, transcript_len) of the same length, by base id."""
+    known = transcripts.select(base_id(F.col("transcript_id")).alias("_base"), F.col("transcript_len").alias("_len"))
+    found = header.withColumn("_base", base_id(F.col("name"))).join(known, "_base", "left").groupBy("name", "length").agg(F.count("_len").alias("n"), F.min("_len").alias("known"))
+    problem = F.when(F.col("n") == 0, "unknown_reference").when(F.col("n") > 1, "ambiguous_reference").when(F.col("known") != F.col("length"), "length_differs")
+    return found.select("name", "length", F.col("known").alias("expected"), problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def universe_counts(header: DataFrame, annotation: DataFrame) -> DataFrame:
+    """One row: transcripts on both sides and on either one only, and genes with several transcripts in common."""
+    a, b = header.select("transcript_id").distinct(), annotation.select("transcript_id", "gene_id").distinct()
+    both = b.join(a, "transcript_id", "left_semi")
+    side = a.select("transcript_id", F.lit(1).alias("h")).join(b.select("transcript_id", F.lit(1).alias("k")).distinct(), "transcript_id", "full_outer")
+    several = both.groupBy("gene_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_genes_with_several"))
+    return side.agg(F.count_if(F.col("h").isNotNull() & F.col("k").isNotNull()).alias("n_shared"), F.count_if(F.col("k").isNull()).alias("n_header_only"), F.count_if(F.col("h").isNull()).alias("n_annotation_only")).join(F.broadcast(several))  # one row each
+
+
+def label_violations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys whose label is absent from or differs in the other table."""
+    return table_diff(a, b, [key], ["cluster"])

@@ -46,3 +46,37 @@ def box_stats(values: DataFrame, column: str, by: list[str]) -> DataFrame:
 def assemble_panel(base: DataFrame, drop: DataFrame, add: DataFrame, key: str) -> DataFrame:
     """base without the keys of ``drop``, with the rows of ``add``."""
     return base.join(drop.select(key), key, "left_anti").unionByName(add)
+
+
+def highlights(tests: DataFrame, alpha: float = 0.05, effect: float = 1.0) -> DataFrame:
+    """tests with ``highlight``: padj under alpha and an absolute mean over the effect; a null padj is no highlight."""
+    return tests.withColumn("highlight", F.coalesce((F.col("padj") < alpha) & (F.abs("mean") > effect), F.lit(False)))
+
+
+def ranked_band(tests: DataFrame) -> DataFrame:
+    """Rank by mean with the interval; ties by id.  One row a transcript."""
+    return tests.select("transcript_id", F.row_number().over(Window.orderBy("mean", "transcript_id")).alias("rank"), "mean", "ci_low", "ci_high")
+
+
+def role_extremes(values: DataFrame, role: str, column: str, key: str, few: str, k: int = 5) -> DataFrame:
+    """(role, key, value): the largest absolute value of every role, and of the role ``few`` the k largest; ties: the lesser key."""
+    size = F.abs(F.col(column))
+    ranked = values.where(F.col(column).isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy(role).orderBy(F.desc(size), key)))
+    return ranked.where(F.col("place") <= F.when(F.col(role) == few, k).otherwise(1)).select(role, key, column, "place")
+
+
+def library_order(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Libraries by ascending difference b - a; ties by name.  One row a library."""
+    gap = F.col(b) - F.col(a)
+    return pairs.select("sample", gap.alias("difference"), F.row_number().over(Window.orderBy(gap, "sample")).alias("place"))
+
+
+def cluster_summary(table: DataFrame, flag: str, column: str) -> DataFrame:
+    """Per cluster: size, share with the flag, median, quartiles and 5-95 % points of the column."""
+    points = ((5, "p05"), (25, "p25"), (50, "p50"), (75, "p75"), (95, "p95"))
+    return table.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("int")).alias("share"), *(F.percentile(column, q / 100).alias(n) for q, n in points))
+
+
+def pool(values: DataFrame, least_depth: float, least_run: int) -> DataFrame:
+    """Candidates that pass the hard filters, with the log10 of the depth."""
+    return values.where((F.col("depth") >= least_depth) & (F.col("run") >= least_run)).withColumn("log_depth", F.log10("depth"))

@@ -88,3 +88,9 @@ def frame_agreement(points: DataFrame, keys: list[str]) -> DataFrame:
     per = points.withColumn("frame", frame).withColumn("codon", codon).groupBy(*keys, "transcript_id", "codon").agg(F.sum("g").alias("g"), F.sum("t").alias("t"), strongest("g").alias("fg"), strongest("t").alias("ft"))
     both = per.where("g > 0 AND t > 0").groupBy(*keys).agg(F.count("*").alias("n_codons"), F.count_if(F.col("fg") == F.col("ft")).alias("n_agree"))
     return both.withColumn("frame_agree", F.col("n_agree") / F.col("n_codons"))
+
+
+def distribution(per_transcript: DataFrame, column: str = "spearman") -> DataFrame:
+    """(sample, n, median, place): libraries by ascending median of the coefficient; ties by name.  One row a library."""
+    found = per_transcript.groupBy("sample").agg(F.count(column).alias("n"), F.percentile(column, 0.5).alias("median"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy("median", "sample")))

@@ -100,3 +100,9 @@ def orf_catalog(cds: DataFrame, flank: int = 3) -> DataFrame:
     bases = intervals.merged_length(spans, ["transcript_id"]).withColumnRenamed("n_bases", "n_junction_bases")
     out = total.join(bases, "transcript_id", "left")
     return out.select("transcript_id", "cds_len", F.floor(F.col("cds_len") / 3).alias("n_codons"), (F.col("cds_len") % 3 == 0).alias("whole_codons"), "n_cds_exons", (F.col("n_cds_exons") - 1).alias("n_junctions"), F.coalesce("n_junction_bases", F.lit(0)).cast("long").alias("n_junction_bases"))
+
+
+def cds_start_sites(cds_exons: DataFrame) -> DataFrame:
+    """(transcript_id, chrom, strand, site): the first base of the CDS along the strand."""
+    site = F.when(F.min("strand") == "-", F.max("g_end") - 1).otherwise(F.min("g_start"))
+    return cds_exons.groupBy("transcript_id").agg(F.min("chrom").alias("chrom"), F.min("strand").alias("strand"), site.alias("site"))

@@ -119,7 +119,7 @@ def paired_tests(deltas: DataFrame, column: str = "d_te", least: int = 3) -> Dat
     v = F.col(column)
     found = deltas.groupBy("transcript_id").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).where(F.col("n") >= least)
     found = found.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("df", (F.col("n") - 1).cast("double"))
-    q = F.get(F.array(*map(F.lit, T_975)), F.least(F.col("n") - 2, F.lit(len(T_975) - 1)).cast("int"))
+    q = t_quantile_975(F.col("df"))
     found = found.withColumn("ci_low", F.col("mean") - q * F.col("se")).withColumn("ci_high", F.col("mean") + q * F.col("se"))
     found = found.withColumn("t", F.when(F.col("se") > 0, F.col("mean") / F.col("se")))
     return found.withColumn("p", F.when(F.col("t").isNotNull(), t_two_sided(F.col("t"), F.col("df")))).drop("df")
@@ -138,3 +138,24 @@ def bh_adjusted(tests: DataFrame, p: str = "p", name: str = "padj") -> DataFrame
     down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranked.select(F.col(p).alias("_p"), F.least(F.lit(1.0), F.min("_q").over(down)).alias(name))
     return tests.join(ranked, tests[p] == ranked["_p"], "left").drop("_p")
+
+
+def shared_samples(counts: DataFrame, matrices: int = 4) -> DataFrame:
+    """(sample, n_matrices, shared): in how many of the matrices (assay, route) a sample stands."""
+    per = counts.groupBy("sample").agg(F.count_distinct("assay", "route").alias("n_matrices"))
+    return per.withColumn("shared", F.col("n_matrices") == matrices)
+
+
+def index_violations(counts: DataFrame, matrices: int = 4) -> DataFrame:
+    """(transcript_id, n_matrices) of features that are not in the index of every matrix."""
+    return counts.groupBy("transcript_id").agg(F.count_distinct("assay", "route").alias("n_matrices")).where(F.col("n_matrices") < matrices)
+
+
+def t_quantile_975(df: Column) -> Column:
+    """The 0.975 quantile of Student's t: the table up to 30 degrees of freedom, beyond it the expansion about the normal quantile."""
+    z = 1.959963984540054
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    wide = F.lit(z)
+    for power, term in enumerate(terms, 1):
+        wide = wide + F.lit(term) / F.pow(df, F.lit(power))
+    return F.when(df <= len(T_975), F.get(F.array(*map(F.lit, T_975)), (df - 1).cast("int"))).otherwise(wide)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinroute.operators import intervals
+
 KEY = ["sample", "qlen"]
 
 
@@ -114,3 +116,36 @@ def frame_difference(genome: DataFrame, txome: DataFrame, column: str = "pct_fra
     d = genome.select(*KEY, F.col(column).alias("g")).join(txome.select(*KEY, F.col(column).alias("t")), KEY).withColumn("d", F.col("t") - F.col("g"))
     at = F.max_by(F.struct("sample", "qlen"), F.struct(F.abs("d"), "sample", "qlen"))
     return d.agg(F.median("d").alias("median"), F.avg(F.abs("d")).alias("mean_abs"), F.max(F.abs("d")).alias("max_abs"), at["sample"].alias("at_sample"), at["qlen"].alias("at_qlen"))
+
+
+def start_distances(points: DataFrame, sites: DataFrame, up: int = 50, down: int = 30, width: int = 256) -> DataFrame:
+    """points (sample, read_id, qlen, chrom, strand, p5) with ``rel``, the signed distance to a start site in [-up, down).
+
+    A read near several starts counts for the least (transcript_id, site).
+    """
+    window = sites.select(
+        "transcript_id", "chrom", "strand", "site",
+        F.when(F.col("strand") == "-", F.col("site") - down + 1).otherwise(F.col("site") - up).alias("w_start"),
+        F.when(F.col("strand") == "-", F.col("site") + up + 1).otherwise(F.col("site") + down).alias("w_end"),
+    )
+    met = intervals.point_join(points, window, ["chrom", "strand"], "p5", ("w_start", "w_end"), width)
+    first = met.groupBy("sample", "read_id", "qlen", "strand", "p5").agg(F.min(F.struct("transcript_id", "site")).alias("hit"))
+    rel = F.when(F.col("strand") == "-", F.col("hit.site") - F.col("p5")).otherwise(F.col("p5") - F.col("hit.site"))
+    return first.select("sample", "read_id", "qlen", "hit.transcript_id", rel.cast("int").alias("rel"))
+
+
+def core_lengths(reads: DataFrame, transcripts: DataFrame, left: int = 15, right: int = 10) -> DataFrame:
+    """Length histogram of transcript reads whose 5' end lies in the CDS core [cds_start + left, cds_end - right)."""
+    cores = transcripts.where("cds_start IS NOT NULL").select("transcript_id", (F.col("cds_start") + left).alias("_lo"), (F.col("cds_end") - right).alias("_hi"))
+    return length_histogram(reads.join(cores, "transcript_id").where("_lo <= pos AND pos < _hi"))
+
+
+def reads_in_cores(points: DataFrame, cds_exons: DataFrame, width: int = 256) -> DataFrame:
+    """Points (sample, read_id, qlen, chrom, strand, p5) in the union of the CDS intervals, once each."""
+    spans = intervals.merge(cds_exons.select("chrom", "strand", F.col("g_start").alias("start"), F.col("g_end").alias("end")), ["chrom", "strand"])
+    return intervals.point_join(points, spans, ["chrom", "strand"], "p5", ("start", "end"), width).select(*points.columns)
+
+
+def first_codons(points: DataFrame, codons: int = 10, least: float = 50.0) -> DataFrame:
+    """Frame shares of shifted positions ``rel`` in the first codons, rounded half-even before the test."""
+    return periodicity(frame_counts(points.where((F.col("rel") >= 0) & (F.col("rel") < 3 * codons)), "rel"), least)

@@ -21,8 +21,12 @@ def genome_alignments(spark: SparkSession, path: str) -> DataFrame:
 
 def sam_text(spark: SparkSession, path: str, suffix: str = ".sam") -> DataFrame:
     """SAM text as alignments: 0-based start, end from the CIGAR, strand, NH and AS tags (null if absent), sample from the file name."""
-    lines = spark.read.csv(path, sep="\t", schema=schemas.SAM_LINE, comment="@", quote="", mode="PERMISSIVE")
-    tags = F.concat_ws("\t", *(f"t{k}" for k in range(1, 9)))
+    found = F.split("value", "\t")
+    text = spark.read.text(path).where(~F.col("value").startswith("@"))
+    named = [F.get(found, F.lit(k)).cast(f.dataType).alias(f.name) for k, f in enumerate(schemas.SAM_LINE)]
+    # every optional field, however many
+    rest = F.array_join(F.slice(found, len(named) + 1, F.greatest(F.size(found) - len(named), F.lit(0))), "\t")
+    lines, tags = text.select(*named, rest.alias("tags")), F.col("tags")
     tag = lambda name: F.nullif(F.regexp_extract(tags, rf"(?:^|\t){name}:i:(-?[0-9]+)", 1), F.lit("")).cast("int")
     start = F.col("pos") - 1
     runs = walk(start, F.col("cigar"))

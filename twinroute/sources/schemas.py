@@ -13,7 +13,7 @@ def _schema(text: str) -> T.StructType:
 GENOME_ALIGNMENT = _schema("sample string, read_id string, chrom string, start long, end long, strand string, qlen int, flag int, nh int, as int, cigar string")
 TXOME_ALIGNMENT = _schema("sample string, read_id string, ref string, start long, end long, strand string, qlen int, flag int, mapq int, cigar string")
 GTF_LINE = _schema("seqname string, source string, feature string, start long, end long, score string, strand string, phase string, attributes string")
-SAM_LINE = _schema("qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, t1 string, t2 string, t3 string, t4 string, t5 string, t6 string, t7 string, t8 string")
+SAM_LINE = _schema("qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string")
 BED_LINE = _schema("name string, start long, end long, label string, score string, strand string")
 MANIFEST = _schema("schema_version string, sample_id string, cell_line string, ribo_gsm string, rna_gsm string, ribo_gse string")
 QC_MASTER = _schema(

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def write_tsv(df: DataFrame, path: str, order: list[str], gz: bool = True) -> None:
-    """Tab-separated text in a fixed order, so equal tables give equal files."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip" if gz else "none", nullValue="")
+def write_tsv(df: DataFrame, path: str, order: list[str], gz: bool = True, one_file: bool = False) -> None:
+    """Tab-separated text in a fixed order over its part files; ``one_file`` is for tables of a row a sample or gene."""
+    ordered = df.orderBy(*order)
+    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip" if gz else "none", nullValue="")
 
 
-def write_by_sample(df: DataFrame, path: str) -> None:
+def write_by_sample(df: DataFrame, path: str, files: int = 8) -> None:
     """Parquet by sample; only the samples in df are replaced, so libraries can be added one at a time."""
-    df.repartition("sample").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample").parquet(path)
+    df.repartition("sample", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample").parquet(path)
 
 
 def write_coverage(points: DataFrame, path: str) -> None:
