@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import similar_sets
 from .components import components
-from .tables import materialise, table, text_and_id
+from .tables import materialise, sent_if_small, table, text_and_id
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -149,5 +149,5 @@ def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
     such texts are often more than two bits apart.  Rows without an id stay.
     """
     found = similar_sets.groups(docs, shingle)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone, _ = sent_if_small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -40,6 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows up to which a table of ids or keys is sent to all tasks: at most some tens of megabytes.
+SENT_IDS = 1 << 21
+
+
+def sent_if_small(ids: DataFrame) -> tuple[DataFrame, bool]:
+    """ids marked for broadcast, and True, where they are counted to be at most ``SENT_IDS`` rows; as they are, and False, otherwise."""
+    small = ids.count() <= SENT_IDS
+    return (F.broadcast(ids) if small else ids), small
+
+
 _scopes: list[list[str]] = []
 
 
