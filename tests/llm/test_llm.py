@@ -552,6 +552,41 @@ def test_tiles_equal_brute_force(item, doc):
     assert sum(t[3] for t in found) == sum(t[2] for t in want) and sum(t[2] for t in found) == len(want)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.data())
+def test_pairs_with_common_lines_equal_brute_force(data):
+    """Items and documents that share a line: the same pairs as by tiling every pair, whatever the step size."""
+    line, word = "a b c d e f".split(), st.sampled_from("abcdefgh")
+    text = st.tuples(st.lists(word, max_size=8), st.booleans(), st.lists(word, max_size=8)).map(lambda t: t[0] + line * t[1] + t[2])
+    items, docs = data.draw(st.lists(text, min_size=1, max_size=14)), data.draw(st.lists(text, max_size=6))
+    want = {}
+    for d, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            n = sum(t[2] for t in brute_tiles(item, doc, min(3, len(item)))) if item else 0
+            if item and n >= 0.5 * len(item):
+                want[d, k] = n
+    old = decontaminate.COMMON, decontaminate.STEP
+    decontaminate.COMMON, decontaminate.STEP = data.draw(st.sampled_from([(0, 1), (2, 40), old]))
+    try:
+        known = decontaminate.seeds(list(range(len(items))), [" ".join(x) for x in items], 3, 0.5)
+        part = pa.record_batch({"text": pa.array([" ".join(x) for x in docs], pa.string())})
+        assert {(d, k): n for d, k, _, n in decontaminate.matches(part, known, 0.5)} == want
+        assert sorted(d for d, *_ in decontaminate.matches(part, known, 0.5, one=True)) == sorted({d for d, _ in want})
+    finally:
+        decontaminate.COMMON, decontaminate.STEP = old
+
+
+def test_line_that_all_share_makes_no_candidates():
+    """A common line that covers too little of every item is no candidate; one that covers enough is found everywhere."""
+    texts = lambda t, own: [" ".join(["the line that all share", *(f"{t}{i}x{k}" for k in range(own))]) for i in range(400)]
+    for own, pairs in ((15, 0), (3, 400 * 400)):
+        known = decontaminate.seeds(list(range(400)), texts("item", own), 5, 0.5)
+        assert (len(known.grams[5].items) < 400 * (own + 1)) == (own == 15)
+        part = pa.record_batch({"text": texts("doc", own)})
+        assert sum(1 for _ in decontaminate.matches(part, known, 0.5)) == pairs
+        assert sum(1 for _ in decontaminate.matches(part, known, 0.5, one=True)) == (400 if pairs else 0)
+
+
 def test_reordered_passages_are_caught(spark):
     item = " ".join(f"tok{k}" for k in range(24))
     w = item.split()
@@ -561,6 +596,7 @@ def test_reordered_passages_are_caught(spark):
     assert got == {(1, 9): 1.0, (3, 9): 1.0}
     kept = decontaminate.drop_contaminated(docs, bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5] and kept.columns == docs.columns
+    assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(odd(spark), bench).count() == len(ODD)
 
 

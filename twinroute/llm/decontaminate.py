@@ -6,6 +6,12 @@ tokens is left; running (Karp-Rabin) hashes find the matches, so a passage that
 up and reordered is covered tile by tile.  A pair counts when the tiles cover ``COVERAGE`` of
 the test item.
 
+A pair is looked at only where it can count.  Seeds that more than ``COMMON`` places of the
+benchmark hold make no candidate as long as all such places of an item together cover less than
+``COVERAGE`` of it: a pair that counts then meets another seed of the item as well.  Candidates
+are compared in steps of bounded size, and those whose hits form one match, which is the usual case
+of a common line, need no search for the longest.
+
 The benchmark goes to the tasks as seed tables in blocks of at most ``BLOCK_TOKENS`` tokens,
 each block scanning the documents once; documents are never shuffled.
 
@@ -32,6 +38,8 @@ from .words import Words, slices, split
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_TOKENS = 1 << 20
+COMMON = 8  #: places of a seed from which it is common
+STEP = 1 << 19  #: entries compared at a time (one pair at least)
 
 _GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -40,33 +48,76 @@ def tokens(texts: pa.Array) -> Words:
     return split(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), space=_GAP)
 
 
+@dataclass
+class Grams:
+    """Seeds of one length.  Item k has its seeds, by place, in ``own[first[k]:first[k + 1]]`` as numbers into
+    the sorted ``known``; seed g makes the items ``items[at[g]:at[g + 1]]`` candidates."""
+
+    known: np.ndarray
+    own: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    at: np.ndarray
+
+
 @dataclass
 class Seeds:
-    """Seed table of a benchmark block: for each gram length, sorted grams with item and place."""
+    """Seed table of a benchmark block, by seed length, for coverages of ``coverage`` or more."""
 
     ids: list
     sizes: np.ndarray
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    coverage: float
+    grams: dict[int, Grams]
 
 
-def seeds(ids: list, texts: list, min_match: int = MIN_MATCH) -> Seeds:
+def spare(common: np.ndarray, size: int, total: int, coverage: float) -> np.ndarray:
+    """Of the common places of an item of ``total`` tokens, as many as cover less than ``coverage`` of it together."""
+    covered, out = np.zeros(total, dtype=bool), []
+    for place in common:
+        more = covered.sum() + size - covered[place : place + size].sum()
+        if more < coverage * total:
+            covered[place : place + size] = True
+            out.append(place)
+    return np.array(out, dtype=np.int64)
+
+
+def seeds(ids: list, texts: list, min_match: int = MIN_MATCH, coverage: float = 0.0) -> Seeds:
     words = tokens(pa.array(texts, pa.string()))
     sizes = np.diff(words.first)
     spans = words.spans()
+    lengths = np.minimum(sizes, min_match)
     grams = {}
-    for size in sorted({min(int(n), min_match) for n in sizes} - {0}):
-        item, place = [], []
-        for k, n in enumerate(sizes):
-            if min(int(n), min_match) == size:
-                at = np.arange(n - size + 1)
-                item.append(np.full(len(at), k))
-                place.append(at)
-        item, place = np.concatenate(item), np.concatenate(place)
+    for size in sorted(set(lengths.tolist()) - {0}):
+        per = np.where(lengths == size, sizes - size + 1, 0)
+        first = np.r_[0, np.cumsum(per)]
+        item, place = spread(per)
         start = words.first[item] + place
-        gram = spans.of(start, start + size)
-        order = np.argsort(gram, kind="stable")
-        grams[size] = gram[order], item[order], place[order]
-    return Seeds(ids, sizes, grams)
+        known, own, times = np.unique(spans.of(start, start + size), return_inverse=True, return_counts=True)
+        makes = np.ones(len(own), dtype=bool)
+        common = times[own] > COMMON
+        for k in np.unique(item[common]):
+            here = slice(first[k], first[k + 1])
+            rarest = np.flatnonzero(common[here])
+            rarest = rarest[np.argsort(-times[own[here]][rarest], kind="stable")]
+            makes[first[k] + spare(rarest, size, int(sizes[k]), coverage)] = False
+        pairs = np.unique(own[makes] * len(ids) + item[makes])
+        grams[size] = Grams(known, own, first, pairs % len(ids), np.searchsorted(pairs // len(ids), np.arange(len(known) + 1)))
+    return Seeds(ids, sizes, coverage, grams)
+
+
+def spread(per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number in the owner) of ``per[k]`` entries for each owner k."""
+    owner = np.repeat(np.arange(len(per)), per)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+
+
+def steps(per: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of owners with at most ``most`` entries each, one owner at least."""
+    total, at = np.cumsum(per), 0
+    while at < len(per):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, stop)
+        at = stop
 
 
 def tile(i: np.ndarray, j: np.ndarray, size: int) -> list[tuple[int, int, int]]:
@@ -90,40 +141,89 @@ def tile(i: np.ndarray, j: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     return tiles
 
 
-def matches(part: pa.RecordBatch, known: Seeds, coverage: float) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, number of tiles, tokens tiled) of every pair in a slice that reaches the coverage."""
+def matches(part: pa.RecordBatch, known: Seeds, coverage: float, one: bool = False) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, number of tiles, tokens tiled) of every pair in a slice that reaches the coverage, at least that of ``known``.
+
+    ``one``: a row that was found once need not be compared again.
+    """
     words = tokens(part.column("text"))
-    n = len(words.start)
     doc = words.doc_of()
-    for size, (gram, item, place) in known.grams.items():
-        if n < size or not len(gram):
-            continue
-        at = np.arange(n - size + 1)
-        own = words.spans().of(at, at + size)
-        lo = np.searchsorted(gram, own)
-        hit = (gram[np.minimum(lo, len(gram) - 1)] == own) & (doc[at] == doc[at + size - 1])
-        at, lo = at[hit], lo[hit]
-        if not len(at):
-            continue
-        per = np.searchsorted(gram, own[at], side="right") - lo
-        entry = np.repeat(lo, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        j = np.repeat(at, per)
-        k, i, d = item[entry], place[entry], doc[j]
-        order = np.lexsort((k, d))
-        k, i, j, d = k[order], i[order], j[order], d[order]
-        heads = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
-        for a, b in zip(heads, np.r_[heads[1:], len(k)], strict=True):
-            total = known.sizes[k[a]]
-            covered = np.unique(i[a:b])
-            most = int(np.minimum(np.diff(np.r_[covered, covered[-1] + size]), size).sum())  # tiles cover no more
-            if most >= coverage * total:
-                tiles = tile(i[a:b], j[a:b] - words.first[d[a]], size)
-                tiled = sum(t[2] for t in tiles)
-                if tiled >= coverage * total:
-                    yield int(d[a]), int(k[a]), len(tiles), tiled
-
-
-def blocks(benchmark: DataFrame, min_match: int = MIN_MATCH, block_tokens: int = BLOCK_TOKENS) -> Iterator[Seeds]:
+    found = np.zeros(part.num_rows, dtype=bool)
+    for size, grams in known.grams.items():
+        at = np.arange(max(len(words.start) - size + 1, 0))
+        at = at[doc[at] == doc[at + size - 1]]
+        gram = words.spans().of(at, at + size)
+        seed = np.minimum(np.searchsorted(grams.known, gram), len(grams.known) - 1)
+        hit = grams.known[seed] == gram
+        at, seed = at[hit], seed[hit]
+        # hits by (document, seed), each key with its places in order
+        key = doc[at] * len(grams.known) + seed
+        order = np.argsort(key, kind="stable")
+        places = at[order]
+        key, begin, times = np.unique(key[order], return_index=True, return_counts=True)
+        row, seed = key // len(grams.known), key % len(grams.known)
+        makes = grams.at[seed + 1] - grams.at[seed]
+        heads = np.flatnonzero(np.diff(row, prepend=-1))
+        bounds = np.r_[heads, len(row)]
+        for docs in steps(np.add.reduceat(makes, heads) if len(heads) else makes, STEP):
+            seen = slice(bounds[docs.start], bounds[docs.stop])
+            owner, number = spread(makes[seen])
+            pair = np.unique(row[seen][owner] * len(known.ids) + grams.items[grams.at[seed[seen]][owner] + number])
+            r, k = pair // len(known.ids), pair % len(known.ids)
+            if one:  # the first pair of every row first
+                turn = np.argsort(np.arange(len(r)) - np.searchsorted(r, r), kind="stable")
+                r, k = r[turn], k[turn]
+            for some in steps(grams.first[k + 1] - grams.first[k], STEP):
+                rs, ks = r[some], k[some]
+                if one:
+                    rs, ks = rs[~found[rs]], ks[~found[rs]]
+                hits = meet(rs, ks, grams, key, begin, times, places)
+                for p, tiles, tiled in covered(*hits, size, known.sizes[ks], coverage):
+                    if not (one and found[rs[p]]):
+                        found[rs[p]] = True
+                        yield int(rs[p]), int(ks[p]), tiles, tiled
+
+
+def meet(row: np.ndarray, item: np.ndarray, grams: Grams, key: np.ndarray, begin: np.ndarray, times: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, item place, document place) of all hits of the pairs, in that order."""
+    pair, i = spread(grams.first[item + 1] - grams.first[item])
+    asked = row[pair] * len(grams.known) + grams.own[grams.first[item][pair] + i]
+    at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+    hit = key[at] == asked
+    pair, i, at = pair[hit], i[hit], at[hit]
+    entry, number = spread(times[at])
+    return pair[entry], i[entry], places[begin[at][entry] + number]
+
+
+def covered(pair: np.ndarray, i: np.ndarray, j: np.ndarray, size: int, total: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int]]:
+    """(pair, tiles, tokens tiled) of the pairs that reach the coverage; hits come by (pair, i, j)."""
+    if not len(pair):
+        return
+    new = np.r_[True, (pair[1:] != pair[:-1]) | (i[1:] != i[:-1])]
+    p, place = pair[new], i[new]
+    last = np.r_[p[1:] != p[:-1], True]
+    most = np.bincount(p, np.where(last, size, np.minimum(np.r_[np.diff(place), size], size)), len(total))  # tiles cover no more
+    able = (most >= coverage * total)[pair]
+    pair, i, j = pair[able], i[able], j[able]
+    if not len(pair):
+        return
+    order = np.lexsort((i, j - i, pair))
+    pair, i, j = pair[order], i[order], j[order]
+    same = pair[1:] == pair[:-1]
+    runs = np.bincount(pair[1:][same & ((i[1:] != i[:-1] + 1) | (j[1:] - i[1:] != j[:-1] - i[:-1]))], minlength=len(total)) + 1
+    heads = np.flatnonzero(np.r_[True, ~same])
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(pair)], strict=True):
+        q = int(pair[a])
+        if runs[q] == 1:
+            tiles, tiled = 1, b - a + size - 1
+        else:
+            found = tile(i[a:b], j[a:b], size)
+            tiles, tiled = len(found), sum(t[2] for t in found)
+        if tiled >= coverage * total[q]:
+            yield q, tiles, tiled
+
+
+def blocks(benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, block_tokens: int = BLOCK_TOKENS) -> Iterator[Seeds]:
     """Seed tables of the whole benchmark, each over at most about ``block_tokens`` tokens."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -132,7 +232,7 @@ def blocks(benchmark: DataFrame, min_match: int = MIN_MATCH, block_tokens: int =
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
         if rows:
             rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-            yield seeds([r["item_id"] for r in rows], [r["text"] for r in rows], min_match)
+            yield seeds([r["item_id"] for r in rows], [r["text"] for r in rows], min_match, coverage)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
@@ -141,7 +241,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min
     schema = "doc_id long, item_id long, n_tiles long, n_tiled long, n_tokens long, coverage double"
     out = spark.createDataFrame([], schema)
     plain = text_and_id(docs)
-    for block in blocks(benchmark, min_match):
+    for block in blocks(benchmark, coverage, min_match):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
@@ -162,14 +262,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     """The documents that leak no test item, all columns unchanged.  Rows are judged where they are."""
     spark = docs.sparkSession
     names = docs.columns
-    for block in blocks(benchmark, min_match):
+    for block in blocks(benchmark, coverage, min_match):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
             for batch in batches:
                 for part in slices(batch, "text"):
                     keep = np.ones(part.num_rows, dtype=bool)
-                    keep[[row for row, *_ in matches(part, sent.value, coverage)]] = False
+                    keep[[row for row, *_ in matches(part, sent.value, coverage, one=True)]] = False
                     yield part.filter(pa.array(keep)).select(names)
 
         docs = docs.mapInArrow(run, docs.schema)
