@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, maxent_lm, packing, quality_rules, simhash_dedup, substring_dedup, toxicity, url_filters
+from . import chat_format, decontaminate, language_id, maxent_lm, packing, quality_rules, ranked_search, simhash_dedup, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op11_ranked_search": ranked_search.ORACLE,
     "op1_chat_format": chat_format.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_url_filters": url_filters.ORACLE,
