@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, maxent_lm, packing, quality_rules, ranked_search, simhash_dedup, structure_repair, substring_dedup, toxicity, url_filters
+from . import chat_format, decontaminate, html_extraction, language_id, maxent_lm, packing, quality_rules, ranked_search, simhash_dedup, structure_repair, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_structure_repair": structure_repair.op12_structure_repair,
+    "op13_html_extraction": html_extraction.op13_html_extraction,
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
