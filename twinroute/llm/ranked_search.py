@@ -170,8 +170,8 @@ class Scorer:
         """Items by documents, from entries (doc, column, impact) sorted by column."""
         out = np.zeros((len(self.block.ids), n_docs), np.int64)
         tile = column // self.width
-        edges = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else []
-        for a, b in zip(edges, [*edges[1:], len(tile)], strict=True):
+        edges = [*np.flatnonzero(np.diff(tile, prepend=-1)).tolist(), len(tile)]
+        for a, b in zip(edges, edges[1:], strict=False):
             used, place = np.unique(column[a:b], return_inverse=True)
             docs, at = np.unique(doc[a:b], return_inverse=True)
             dense = np.zeros((len(used), len(docs)))
