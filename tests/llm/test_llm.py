@@ -23,6 +23,12 @@ def frame(spark, rows, schema=DOC):
     return spark.createDataFrame(rows, schema)
 
 
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
 def odd(spark):
     """Odd rows with extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
@@ -333,6 +339,17 @@ def test_keep_first_keeps_columns(spark):
     assert simhash_dedup.keep_first(docs.limit(0)).count() == 0
 
 
+def test_keep_first_judges_rows_not_ids(spark):
+    """Ids that several texts carry: every group keeps a row, and no row of another group stands in for it."""
+    base = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, base), (5, base + " x"), (5, other), (7, other + " y"), (9, "alone here in this text of some words"), (9, base), (None, other)]
+    docs = frame(spark, rows).withColumn("key", F_lit("k")).withColumn("first", F_lit(0)).withColumn("row", F_lit("r"))
+    out = simhash_dedup.keep_first(docs, shingle=5)
+    assert out.columns == docs.columns and {r["row"] for r in out.collect()} == {"r"}
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
+
+
 def test_keep_first_takes_similar_texts(spark):
     """Copies with changed words go exactly from a similarity of 0.8 on, however far their fingerprints are."""
     rng = np.random.default_rng(3)

@@ -146,8 +146,18 @@ def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without those that a smaller id of their group stands for, all columns unchanged.
 
     Groups join texts whose sets of word shingles have a similarity of 0.8 or more, by ``similar_sets``: fingerprints of
-    such texts are often more than two bits apart.  Rows without an id stay.
+    such texts are often more than two bits apart.  Of each group the rows of its least (id, set) stay; rows without an id stay.
+    An id that several texts carry is judged text by text, so no group goes without a row that stays.
     """
     found = similar_sets.groups(docs, shingle)
-    gone, _ = sent_if_small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    per = found.groupBy("doc_id").agg(F.bool_and("first").alias("all_stay"), F.bool_or("first").alias("some_stay")).where("NOT all_stay")
+    gone, _ = sent_if_small(per.select(F.col("doc_id").alias("_gone")))
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    mixed = per.where("some_stay").select(F.col("doc_id").alias("_mixed"))
+    if mixed.isEmpty():
+        return kept
+    # an id whose texts differ in their verdict: its rows are judged by their sets
+    mixed, _ = sent_if_small(mixed)
+    rows = similar_sets.with_keys(docs.join(mixed, docs["doc_id"] == mixed["_mixed"], "left_semi"), shingle)
+    first = found.where("first").select("doc_id", "key").distinct()
+    return kept.union(rows.join(first, ["doc_id", "key"], "left_semi").select("row.*"))
