@@ -54,6 +54,32 @@ def test_interval_algebra_equals_bases(spark, a, b):
     assert all(not (x[1] == y[0] and x[2] == y[2]) for x, y in zip(segments, segments[1:]))
 
 
+@FEW
+@given(spans, spans, st.sampled_from([None, 1, 7, 16, 1000]))
+def test_sweeps_do_not_depend_on_bins(spark, a, b, width):
+    A, B = (bases((s, s + n) for s, n in x) for x in (a, b))
+    fa, fb = span_frame(spark, a, None), span_frame(spark, b, None)
+    cut = rows(intervals.subtract(fa, fb, ["key"], width=width), "start", "end")
+    assert bases(cut) == A - B and all(x[1] < y[0] for x, y in zip(cut, cut[1:]))
+    merged = rows(intervals.merge(fa, ["key"], width=width), "start", "end")
+    assert bases(merged) == A and all(x[1] < y[0] for x, y in zip(merged, merged[1:]))
+    segments = rows(intervals.depth(fa, ["key"], width=width), "start", "end", "depth")
+    assert {(p, d) for s, e, d in segments for p in range(s, e)} == {(p, sum(s <= p < s + n for s, n in a)) for p in A}
+    assert all(not (x[1] == y[0] and x[2] == y[2]) for x, y in zip(segments, segments[1:]))
+
+
+def test_hot_key_is_spread_over_its_bins(spark):
+    """A key that holds nearly all intervals: no window orders more positions than a bin has."""
+    hot = spark.range(20_000).select(F.lit("hot").alias("key"), (F.col("id") * 97 % 50_000).alias("start")).withColumn("end", F.col("start") + 1 + F.col("start") % 40)
+    df = hot.unionByName(spark.createDataFrame([("cold", 3, 9)], "key string, start long, end long"))
+    for name, f in (("merge", intervals.merge), ("depth", intervals.depth)):
+        wide, narrow = f(df, ["key"], width=None), f(df, ["key"], width=500)
+        assert rows(narrow, *narrow.columns) == rows(wide, *wide.columns), name
+        plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+        windows = [x for x in plan.split("\n") if "Window [" in x and "pos#" in x]
+        assert windows and all("_bin#" in x.split("windowspecdefinition(")[1] for x in windows), name
+
+
 @FEW
 @given(spans, spans, st.integers(1, 40))
 def test_overlap_join_has_each_pair_once(spark, a, b, width):

@@ -106,12 +106,12 @@ def tie_rows(labels: DataFrame) -> DataFrame:
     return counted.select("*", *(share(F.col(t), F.col("n_reads")).alias(f"pct_{t}") for t in (*TIES, "n_qualifying")))
 
 
-def omitted_exons(exons: DataFrame, selected: DataFrame) -> DataFrame:
+def omitted_exons(exons: DataFrame, selected: DataFrame, width: int | None = None) -> DataFrame:
     """Per gene, exonic sequence (start, end) that its selected transcript leaves out; only genes with one."""
     spans = exons.select("gene_id", "transcript_id", "chrom", F.col("g_start").alias("start"), F.col("g_end").alias("end"))
     own = spans.join(selected, ["gene_id", "transcript_id"], "left_semi")
     genes = spans.join(selected.select("gene_id"), "gene_id", "left_semi")
-    return intervals.subtract(genes.drop("transcript_id"), own.drop("transcript_id"), ["gene_id", "chrom"])
+    return intervals.subtract(genes.drop("transcript_id"), own.drop("transcript_id"), ["gene_id", "chrom"], width=width)
 
 
 def representability(reads: DataFrame, exons: DataFrame, keys: list[str]) -> DataFrame:

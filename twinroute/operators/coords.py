@@ -97,7 +97,7 @@ def orf_catalog(cds: DataFrame, flank: int = 3) -> DataFrame:
     total = ordered.groupBy("transcript_id").agg(F.max("tx_end").alias("cds_len"), F.count("*").alias("n_cds_exons"))
     near = ordered.where("tx_start > 0").select("transcript_id", F.col("tx_start").alias("j")).join(total, "transcript_id")
     spans = near.select("transcript_id", F.greatest(F.lit(0), F.col("j") - flank).alias("start"), F.least("cds_len", F.col("j") + flank).alias("end"))
-    bases = intervals.merged_length(spans, ["transcript_id"]).withColumnRenamed("n_bases", "n_junction_bases")
+    bases = intervals.merged_length(spans, ["transcript_id"], width=None).withColumnRenamed("n_bases", "n_junction_bases")
     out = total.join(bases, "transcript_id", "left")
     return out.select("transcript_id", "cds_len", F.floor(F.col("cds_len") / 3).alias("n_codons"), (F.col("cds_len") % 3 == 0).alias("whole_codons"), "n_cds_exons", (F.col("n_cds_exons") - 1).alias("n_junctions"), F.coalesce("n_junction_bases", F.lit(0)).cast("long").alias("n_junction_bases"))
 

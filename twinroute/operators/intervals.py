@@ -1,18 +1,22 @@
-"""Interval algebra on half-open intervals: binned joins, merge, subtract, depth and sweep.
+"""Interval algebra on half-open intervals: binned joins, and merge, subtract and depth by a two-level sweep.
 
-Everything is keyed (chromosome, strand, transcript ...), so positional work is spread over the
-keys, and over bins where a key is large; no window runs without a partition.
+Everything is keyed (chromosome, strand, transcript ...) and cut into bins inside a key: joins meet in a bin, and
+sweeps order positions inside a bin only, so a chromosome of a library that holds most intervals is
+spread like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bin width in bases: about the longest common interval.
 BIN = 1024
+#: Bin width of sweeps: a window orders the positions of so many bases.
+SWEEP = 1 << 16
 
 
 def bins(start: Column, end: Column, width: int) -> Column:
@@ -49,65 +53,83 @@ def overlap_length(a_start: Column, a_end: Column, b_start: Column, b_end: Colum
     return F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start)).cast("long")
 
 
-def merge(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+def merge(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
     """Union of the intervals of each key; touching ones merge.  Empty intervals vanish."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
-    island = F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    parts = spans.where(F.col(end) > F.col(start)).withColumn("_opens", opens).withColumn("_island", island)
-    return parts.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    here, before = F.col("_one") > 0, F.col("_one") - F.col("_d__one") > 0
+    return _islands(_events(spans, keys, start, end), keys, ("_one",), here, before, width).select(*keys, F.col("pos").alias(start), F.col("_next").alias(end))
 
 
-def merged_length(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+def merged_length(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
     """Bases that the union of each key's intervals covers."""
-    return merge(spans, keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).cast("long").alias("n_bases"))
+    return merge(spans, keys, start, end, width).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).cast("long").alias("n_bases"))
 
 
 def _events(spans: DataFrame, keys: Sequence[str], start: str, end: str, weights: tuple[str, ...] = ("_one",)) -> DataFrame:
-    """Sums of +weight at starts and -weight at ends by position."""
+    """Sums of +weight at starts and -weight at ends by position; positions where nothing changes vanish."""
     sides = F.array(*(F.struct(F.col(c).cast("long").alias("pos"), F.lit(s).alias("sign")) for c, s in ((start, 1), (end, -1))))
     sided = spans.where(F.col(end) > F.col(start)).withColumn("_one", F.lit(1)).withColumn("_e", F.explode(sides))
-    return sided.groupBy(*keys, F.col("_e.pos").alias("pos")).agg(*(F.sum(F.col(w) * F.col("_e.sign")).alias(w) for w in weights))
+    summed = sided.groupBy(*keys, F.col("_e.pos").alias("pos")).agg(*(F.sum(F.col(w) * F.col("_e.sign")).alias(w) for w in weights))
+    return summed.where(reduce(Column.__or__, (F.col(w) != 0 for w in weights)))
 
 
-def depth(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+def sweep(events: DataFrame, keys: Sequence[str], values: Sequence[str] = (), width: int | None = SWEEP) -> DataFrame:
+    """events (keys, pos, values; one row a position) with running sums of values, ``_d_`` value (the event's own) and ``_next``, the next position.
+
+    Two levels: the sums and first positions of bins of ``width`` bases are carried from bin to bin over one row a bin; each
+    bin then gets what came before it as a row in front and the next bin's first position as a row behind, so the
+    events themselves are only ordered inside a bin and a hot key is spread over its bins.  Without a width a key is one
+    bin, which is for keys that an annotation bounds (the exons of a gene or transcript).
+    """
+    own = [F.col(v).alias(f"_d_{v}") for v in values]
+    if width is None:
+        order = Window.partitionBy(*keys).orderBy("pos")
+        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+        return events.select(*keys, "pos", *own, *(F.sum(v).over(so_far).cast("long").alias(v) for v in values), F.lead("pos").over(order).alias("_next"))
+    binned = events.select(*keys, F.floor(F.col("pos") / width).alias("_bin"), F.lit(1).alias("_k"), F.col("pos").cast("long").alias("pos"), *(F.col(v).cast("long").alias(v) for v in values))
+    over = Window.partitionBy(*keys).orderBy("_bin")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    bins_ = binned.groupBy(*keys, "_bin").agg(F.min("pos").alias("_first"), *(F.sum(v).alias(v) for v in values))
+    carried = bins_.select(*keys, "_bin", F.lead("_first").over(over).alias("_then"), *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in values))
+    edge = lambda k, pos, vs: F.struct(F.lit(k).alias("_k"), pos.alias("pos"), *(x.cast("long").alias(v) for v, x in zip(values, vs, strict=True)))
+    edges = carried.select(*keys, "_bin", F.explode(F.array(edge(0, F.lit(None).cast("long"), [F.col(v) for v in values]), edge(2, F.col("_then"), [F.lit(0)] * len(values)))).alias("_e")).select(*keys, "_bin", "_e.*")
+    order = Window.partitionBy(*keys, "_bin").orderBy("_k", "pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    ran = binned.unionByName(edges).select(*keys, "_k", "pos", *own, *(F.sum(v).over(so_far).alias(v) for v in values), F.lead("pos").over(order).alias("_next"))
+    return ran.where("_k = 1").drop("_k")
+
+
+def _islands(events: DataFrame, keys: Sequence[str], values: Sequence[str], here: Column, before: Column, width: int | None) -> DataFrame:
+    """(keys, pos, _next): the maximal stretches where ``here`` holds of the running sums; ``before`` is the same of the sums before an event."""
+    edges = sweep(events, keys, values, width).select(*keys, "pos", here.alias("_here"), before.alias("_before")).where("_here <> _before")
+    ends = sweep(edges.select(*keys, "pos", F.col("_here").cast("long").alias("_opens")), keys, ("_opens",), width)
+    return ends.where("_d__opens = 1").select(*keys, "pos", "_next")
+
+
+def depth(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
     """Run-length segments (start, end, depth) with depth over 0: neighbours of equal depth are one segment."""
-    order = Window.partitionBy(*keys).orderBy("pos")
-    ran = _events(spans, keys, start, end).where("_one <> 0")
-    ran = ran.withColumn("depth", F.sum("_one").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    ran = ran.withColumn("_end", F.lead("pos").over(order))
-    return ran.where("depth > 0").select(*keys, F.col("pos").alias("start"), F.col("_end").alias("end"), "depth")
+    ran = sweep(_events(spans, keys, start, end), keys, ("_one",), width)
+    return ran.where("_one > 0").select(*keys, F.col("pos").alias("start"), F.col("_next").alias("end"), F.col("_one").alias("depth"))
 
 
-def subtract(spans: DataFrame, holes: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+def subtract(spans: DataFrame, holes: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
     """The union of spans without the union of holes, by key."""
     both = spans.select(*keys, start, end, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
         holes.select(*keys, start, end, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
     )
-    order = Window.partitionBy(*keys).orderBy("pos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    ran = _events(both, keys, start, end, ("_a", "_b"))
-    ran = ran.withColumn("_in", F.sum("_a").over(so_far)).withColumn("_hole", F.sum("_b").over(so_far)).withColumn("_end", F.lead("pos").over(order))
-    left = ran.where("_in > 0 AND _hole = 0").select(*keys, F.col("pos").alias(start), F.col("_end").alias(end))
-    return merge(left, keys, start, end)
+    left = lambda a, b: (a > 0) & (b == 0)
+    a, b, da, db = (F.col(x) for x in ("_a", "_b", "_d__a", "_d__b"))
+    found = _islands(_events(both, keys, start, end, ("_a", "_b")), keys, ("_a", "_b"), left(a, b), left(a - da, b - db), width)
+    return found.select(*keys, F.col("pos").alias(start), F.col("_next").alias(end))
 
 
-def duplicated_bases(entries: DataFrame, keys: Sequence[str], entry: str, start: str = "start", end: str = "end") -> DataFrame:
+def duplicated_bases(entries: DataFrame, keys: Sequence[str], entry: str, start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
     """For each entry, its bases where two or more different entries are active.
 
-    An entry's own intervals are merged first.  The sweep yields elementary segments with the number of active
-    entries; each entry is credited with the segments that it covers.
+    An entry's own intervals are merged first.  The sweep yields stretches with two or more entries; each entry is
+    credited with what it covers of them.
     """
-    own = merge(entries, [*keys, entry], start, end)
-    order = Window.partitionBy(*keys).orderBy("pos")
-    swept = _events(own, keys, start, end).withColumn("_n", F.sum("_one").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_to", F.lead("pos").over(order))
-    shared = swept.where("_n >= 2").select(*keys, F.col("pos").alias("_from"), "_to")
+    own = merge(entries, [*keys, entry], start, end, None)
+    several, before = F.col("_one") >= 2, F.col("_one") - F.col("_d__one") >= 2
+    shared = _islands(_events(own, keys, start, end), keys, ("_one",), several, before, width).select(*keys, F.col("pos").alias("_from"), F.col("_next").alias("_to"))
     met = overlap_join(own, shared, keys, (start, end), ("_from", "_to"))
     return met.groupBy(entry).agg(F.sum(overlap_length(F.col(start), F.col(end), F.col("_from"), F.col("_to"))).alias("n_duplicated"))
-
-
-def contained_bases(spans: DataFrame, cover: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Bases of spans (start, end) that cover (c_start, c_end, disjoint by key) holds, summed by ``by``."""
-    met = overlap_join(spans, cover, keys, ("start", "end"), ("c_start", "c_end"))
-    return met.groupBy(*by).agg(F.sum(overlap_length(F.col("start"), F.col("end"), F.col("c_start"), F.col("c_end"))).alias("n_bases"))

@@ -166,7 +166,7 @@ i AS (SELECT *, p - row_number() OVER (PARTITION BY sample, transcript_id, depth
 )
 def depth_segments(spark, d):
     spans = view(spark, d, "aln_t").select("sample", "transcript_id", F.col("pos").alias("start"), c.clamp(F.col("pos") + F.col("qlen"), F.lit(120)).alias("end"))
-    return intervals.depth(spans, ["sample", "transcript_id"])
+    return intervals.depth(spans, ["sample", "transcript_id"], width=32)
 
 
 # Both routes on one coordinate: the genome route by first hit, the other as reported.

@@ -353,17 +353,17 @@ def omitted_fraction(spark, d):
 @query("interval_subtract", cte("exons") + SELECTED_SQL + OMIT_SQL + " SELECT * FROM om")
 def interval_subtract(spark, d):
     exons = view(spark, d, "exons")
-    return categories.omitted_exons(exons, genes.selected_transcripts(exons))
+    return categories.omitted_exons(exons, genes.selected_transcripts(exons), WIDTH)
 
 
 @query("interval_merge", cte("exons") + SELECTED_SQL + OMIT_SQL + " SELECT gene_id, chrom, min(b) AS g_start, max(b) + 1 AS g_end FROM (SELECT *, b - row_number() OVER (PARTITION BY gene_id, chrom ORDER BY b) AS isl FROM ex_bases) GROUP BY gene_id, chrom, isl")
 def interval_merge(spark, d):
-    return intervals.merge(view(spark, d, "exons"), ["gene_id", "chrom"], "g_start", "g_end").select("gene_id", "chrom", "g_start", "g_end")
+    return intervals.merge(view(spark, d, "exons"), ["gene_id", "chrom"], "g_start", "g_end", WIDTH).select("gene_id", "chrom", "g_start", "g_end")
 
 
 @query("merged_length", cte("exons") + SELECTED_SQL + OMIT_SQL + " SELECT gene_id, chrom, count(*) AS n_bases FROM ex_bases GROUP BY 1, 2")
 def merged_length(spark, d):
-    return intervals.merged_length(view(spark, d, "exons"), ["gene_id", "chrom"], "g_start", "g_end")
+    return intervals.merged_length(view(spark, d, "exons"), ["gene_id", "chrom"], "g_start", "g_end", WIDTH)
 
 
 @query(
@@ -372,7 +372,7 @@ def merged_length(spark, d):
 SELECT transcript_id, count(*) AS n_exonic, count(*) FILTER (WHERE k > 1) AS n_duplicated, (count(*) FILTER (WHERE k > 1))::DOUBLE / count(*) AS duplicated_fraction FROM n GROUP BY 1""",
 )
 def exon_duplication(spark, d):
-    return annotate.duplication(view(spark, d, "exons"))
+    return annotate.duplication(view(spark, d, "exons"), width=WIDTH)
 
 
 @query(
