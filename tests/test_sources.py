@@ -5,9 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from twinroute.operators import locus
+from twinroute.operators import categories, locus, scan
 from twinroute.sources import readers, sinks
 from twinroute.streaming import increment, pending
 
@@ -19,7 +20,7 @@ def rows(df, *names):
 def test_sam_text(spark, tmp_path: Path):
     lines = ["@HD\tVN:1.6", "r1\t0\tchr1\t101\t255\t10M5N10M\t*\t0\t0\t" + "A" * 20 + "\t*\tNH:i:1\tAS:i:18", "r2\t272\tchr2\t1\t3\t3S17M\t*\t0\t0\t" + "A" * 20 + "\t*\tAS:i:-4\tNH:i:12", "r3\t4\t*\t0\t0\t*\t*\t0\t0\tA\t*"]
     (tmp_path / "lib_a.sam").write_text("\n".join(lines) + "\n")
-    got = rows(readers.sam_text(spark, str(tmp_path / "*.sam")), "sample", "read_id", "start", "end", "strand", "qlen", "nh", "as", "is_secondary")
+    got = rows(scan.genome(readers.sam_text(spark, str(tmp_path / "*.sam"))), "sample", "read_id", "pos", "epos", "strand", "qlen", "nh", "score", "is_secondary")
     assert got == [("lib_a", "r1", 100, 125, "+", 20, 1, 18, False), ("lib_a", "r2", 0, 17, "-", 20, 12, -4, True)]
 
 
@@ -102,5 +103,44 @@ def test_density_equals_a_dense_filter(spark):
 def test_tags_after_the_eighth_are_read(spark, tmp_path):
     line = "\t".join(["r1", "0", "chr1", "11", "60", "5M", "*", "0", "0", "ACGTA", "IIIII", *(f"X{k}:i:{k}" for k in range(9)), "NH:i:3", "AS:i:-7"])
     (tmp_path / "lib1.sam").write_text("@HD\tVN:1.6\n" + line + "\n" + "\t".join(line.split("\t")[:11]) + "\n")
-    got = sorted(((r["nh"], r["as"], r["start"], r["end"], r["sample"]) for r in readers.sam_text(spark, str(tmp_path)).collect()), key=str)
+    got = sorted(((r["nh"], r["score"], r["pos"], r["epos"], r["sample"]) for r in readers.sam_text(spark, str(tmp_path)).collect()), key=str)
     assert got == [(3, -7, 10, 15, "lib1"), (None, None, 10, 15, "lib1")]
+
+
+def sam_line(name, flag, ref, pos, cigar, nh=None, score=None, mapq=60, n=10):
+    tags = [f"NH:i:{nh}"] * (nh is not None) + [f"AS:i:{score}"] * (score is not None)
+    return "\t".join([name, str(flag), ref, str(pos), str(mapq), cigar, "*", "0", "0", "A" * n, "*", *tags])
+
+
+def test_scans_class_flags_and_resolve_references(spark, tmp_path):
+    """A split read is one primary; supplementary and unmapped records never go on; blocks follow the CIGAR."""
+    g = [sam_line("r1", 0, "chr1", 11, "4M2I4M5N2M", 1, 9, n=12), sam_line("r1", 2048, "chr2", 51, "5M", 1, 9), sam_line("r2", 16, "chr1", 5, "3M1D7M", 2, 5), sam_line("r2", 272, "chr1", 90, "10M", 2, 5), sam_line("r2", 2304, "chr3", 7, "4M", 2, 5), sam_line("r3", 4, "*", 0, "*")]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.sam").write_text("@SQ\tSN:chr1\tLN:100\n" + "\n".join(g) + "\n")
+    raw = readers.sam_text(spark, str(tmp_path / "g"))
+    aln = scan.genome(raw)
+    assert rows(aln, "read_id", "chrom", "pos", "is_secondary") == [("r1", "chr1", 10, False), ("r2", "chr1", 4, False), ("r2", "chr1", 89, True)]
+    assert {r["read_id"]: [tuple(b) for b in r["blocks"]] for r in aln.where("NOT is_secondary").collect()} == {"r1": [(10, 18), (23, 25)], "r2": [(4, 7), (8, 15)]}
+    assert rows(scan.audit(raw), "n_reads", "n_records", "n_unmapped", "n_supplementary", "n_secondary", "n_primary", "n_no_nh", "n_unique", "n_split_reads") == [(3, 6, 1, 2, 1, 2, 0, 1, 2)]
+    t = [sam_line("r1", 0, "T1.2|G", 3, "10M", mapq=42), sam_line("r1", 2048, "T2.1|G", 3, "10M", mapq=42), sam_line("r2", 0, "T2.1|G", 95, "10M", mapq=10), sam_line("r4", 0, "phix", 1, "10M", mapq=60)]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.sam").write_text("@SQ\tSN:T1.2|G\tLN:50\n@SQ\tLN:100\tSN:T2.1|G\n@SQ\tSN:phix\tLN:9\n" + "\n".join(t) + "\n")
+    known = spark.createDataFrame([("T1.1", 50), ("T2.1", 100)], "transcript_id string, transcript_len long")
+    header = readers.sam_references(spark, str(tmp_path / "t"))
+    here = scan.transcriptome(readers.sam_text(spark, str(tmp_path / "t")), scan.checked_references(header, known))
+    assert rows(here, "read_id", "transcript_id", "pos", "confident") == [("r1", "T1.1", 2, True), ("r2", "T2.1", 94, False), ("r4", None, 0, True)]
+    assert rows(scan.route_counts(here), "n_primary", "n_confident", "n_resolved", "n_used", "n_overhanging") == [(3, 2, 2, 1, 0)]
+    assert rows(categories.taxonomy(aln, here), "n_universe", "n_sh_u", "n_sh_m", "n_to") == [(3, 1, 1, 1)]
+    # the same through rows that still carry their flags
+    assert rows(categories.taxonomy(raw.withColumn("is_secondary", F.col("flag").bitwiseAND(256) > 0), here), "n_sh_u", "n_sh_m", "n_to") == [(1, 1, 1)]
+
+
+def test_scans_fail_with_all_that_is_wrong(spark):
+    header = spark.createDataFrame([("T1.1|G", 51), ("T2.1|G", 100), ("T3|G", 7), ("other", 1)], "ref string, length long")
+    known = spark.createDataFrame([("T1.1", 50), ("T2.1", 100), ("T3.1", 7), ("T3.2", 7)], "transcript_id string, transcript_len long")
+    with pytest.raises(Exception, match="2 references do not fit.*T1.1.G: 51 instead of 50, T3.G: several transcripts"):
+        scan.checked_references(header, known).collect()
+    raw = spark.createDataFrame([("s", "r9", 0, "c", 1, 5, "+", 4, 60, None, 1, "4M")], readers.schemas.ALIGNMENT)
+    with pytest.raises(Exception, match="without NH: r9"):
+        scan.genome(raw).collect()
+    assert scan.genome(raw.withColumn("flag", F.lit(256))).count() == 1

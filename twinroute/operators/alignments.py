@@ -8,21 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinroute.functions.columns import five_prime, in_window, qualifies
+from twinroute.functions.columns import SUPPLEMENTARY, UNMAPPED, five_prime, flag_set, in_window, is_primary, qualifies
 
 READ = ["sample", "read_id"]
 
 
+def whole(aln: DataFrame) -> DataFrame:
+    """aln without unmapped and supplementary records, where it still carries flags."""
+    return aln.where(~flag_set(F.col("flag"), UNMAPPED | SUPPLEMENTARY)) if "flag" in aln.columns else aln
+
+
 def genome_reads(aln: DataFrame) -> DataFrame:
     """One row per read with a primary: ``genome`` is unique or multi.  Of repeated primaries the least NH counts; one without NH is an error."""
     absent = F.raise_error(F.lit("primary alignment without NH")).cast("string")
     kind = F.when(F.count_if(F.col("nh").isNull()) > 0, absent).when(F.min("nh") == 1, "unique").otherwise("multi")
-    return aln.where("NOT is_secondary").groupBy(*READ).agg(kind.alias("genome"))
+    return whole(aln).where("NOT is_secondary").groupBy(*READ).agg(kind.alias("genome"))
 
 
 def present_reads(aln_t: DataFrame) -> DataFrame:
     """Reads with any primary on the transcriptome route; no mapping-quality test."""
-    return aln_t.select(*READ).distinct()
+    primaries = aln_t.where(is_primary(F.col("flag"))) if "flag" in aln_t.columns else aln_t
+    return primaries.select(*READ).distinct()
 
 
 def tied_best(aln: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def tied_best(aln: DataFrame) -> DataFrame:
     """
     best = F.max(F.when(~F.col("is_secondary"), F.col("score"))).over(Window.partitionBy(*READ))
     primary = F.max((~F.col("is_secondary")).cast("int")).over(Window.partitionBy(*READ)) == 1
-    out = aln.withColumn("primary_score", best).withColumn("has_primary", primary)
+    out = whole(aln).withColumn("primary_score", best).withColumn("has_primary", primary)
     return out.withColumn("qualifies", F.col("has_primary") & qualifies(F.col("is_secondary"), F.col("score"), F.col("primary_score")))
 
 

@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinroute.functions.columns import REGION_LABELS, base_id, flag_set, sample_of_path, strand_of, walk
+from twinroute.functions.columns import REGION_LABELS, base_id, sample_of_path, strand_of, walk
 from twinroute.operators.checks import require_columns
 from twinroute.sources import schemas
 
 
-def genome_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet in the genome schema, best laid out by sample and chromosome and sorted by start."""
-    return spark.read.schema(schemas.GENOME_ALIGNMENT).parquet(path)
+def alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Raw records as Parquet, best laid out by sample and reference and sorted by position."""
+    return spark.read.schema(schemas.ALIGNMENT).parquet(path)
 
 
 def sam_text(spark: SparkSession, path: str, suffix: str = ".sam") -> DataFrame:
-    """SAM text as alignments: 0-based start, end from the CIGAR, strand, NH and AS tags (null if absent), sample from the file name."""
+    """SAM text as raw records: 0-based pos, epos from the CIGAR, strand, NH and AS tags (null if absent), sample from the file name."""
     found = F.split("value", "\t")
     text = spark.read.text(path).where(~F.col("value").startswith("@"))
     named = [F.get(found, F.lit(k)).cast(f.dataType).alias(f.name) for k, f in enumerate(schemas.SAM_LINE)]
@@ -31,10 +31,17 @@ def sam_text(spark: SparkSession, path: str, suffix: str = ".sam") -> DataFrame:
     start = F.col("pos") - 1
     runs = walk(start, F.col("cigar"))
     return lines.select(
-        sample_of_path(F.input_file_name(), suffix).alias("sample"), F.col("qname").alias("read_id"), F.col("rname").alias("chrom"), start.alias("start"),
-        F.coalesce(F.array_max(F.transform(runs, lambda r: r["end"])), start).alias("end"), strand_of(F.col("flag")).alias("strand"), F.length("seq").cast("int").alias("qlen"),
-        "flag", "mapq", tag("NH").alias("nh"), tag("AS").alias("as"), "cigar", flag_set(F.col("flag"), 256).alias("is_secondary"),
-    ).where(~flag_set(F.col("flag"), 4))
+        sample_of_path(F.input_file_name(), suffix).alias("sample"), F.col("qname").alias("read_id"), "flag", F.col("rname").alias("ref"), start.alias("pos"),
+        F.coalesce(F.array_max(F.transform(runs, lambda r: r["end"])), start).alias("epos"), strand_of(F.col("flag")).alias("strand"),
+        F.length("seq").cast("int").alias("qlen"), "mapq", tag("NH").alias("nh"), tag("AS").alias("score"), "cigar",
+    )
+
+
+def sam_references(spark: SparkSession, path: str) -> DataFrame:
+    """(ref, length) of the @SQ lines of SAM text."""
+    lines = spark.read.text(path).where(F.col("value").startswith("@SQ\t"))
+    field = lambda name: F.nullif(F.regexp_extract("value", rf"\t{name}:([^\t]*)", 1), F.lit(""))
+    return lines.select(field("SN").alias("ref"), field("LN").try_cast("long").alias("length")).distinct()
 
 
 def attribute(name: str) -> Column:

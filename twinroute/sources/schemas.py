@@ -10,8 +10,8 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in text.split(", "))])
 
 
-GENOME_ALIGNMENT = _schema("sample string, read_id string, chrom string, start long, end long, strand string, qlen int, flag int, nh int, as int, cigar string")
-TXOME_ALIGNMENT = _schema("sample string, read_id string, ref string, start long, end long, strand string, qlen int, flag int, mapq int, cigar string")
+#: Raw records of either route; ``operators.scan`` makes the operators' rows of them.
+ALIGNMENT = _schema("sample string, read_id string, flag int, ref string, pos long, epos long, strand string, qlen int, mapq int, nh int, score int, cigar string")
 GTF_LINE = _schema("seqname string, source string, feature string, start long, end long, score string, strand string, phase string, attributes string")
 SAM_LINE = _schema("qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string")
 BED_LINE = _schema("name string, start long, end long, label string, score string, strand string")
