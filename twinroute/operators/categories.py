@@ -114,25 +114,22 @@ def omitted_exons(exons: DataFrame, selected: DataFrame, width: int | None = Non
     return intervals.subtract(genes.drop("transcript_id"), own.drop("transcript_id"), ["gene_id", "chrom"], width=width)
 
 
-def representability(reads: DataFrame, exons: DataFrame, keys: list[str]) -> DataFrame:
+def representability(reads: DataFrame, exons: DataFrame, keys: list[str], width: int = intervals.BIN) -> DataFrame:
     """keys with ``verdict`` for reads (keys, chrom, strand, transcript_id, blocks).
 
     All blocks in exons of the transcript on its strand, and consecutive in 5'-3' order: representable.
     """
     ordered = exons.select(
-        "transcript_id", F.col("chrom").alias("x_chrom"), "g_start", "g_end", F.col("strand").alias("x_strand"),
-        F.row_number().over(Window.partitionBy("transcript_id").orderBy("g_start", "g_end")).alias("x"),
-    )
-    parts = reads.select(*keys, "chrom", "strand", "transcript_id", F.posexplode("blocks").alias("k", "b"))
-    inside = (F.col("x_chrom") == F.col("chrom")) & (F.col("g_start") <= F.col("b.start")) & (F.col("b.end") <= F.col("g_end"))
-    hits = parts.join(ordered, "transcript_id", "left").groupBy(*keys, "k", "strand").agg(F.min(F.when(inside, F.col("x"))).alias("x"), F.min("x_strand").alias("x_strand"))
-    # one step up in the genome is one step in the transcript on either strand
-    steps = hits.groupBy(*keys).agg(
-        F.bool_and(F.col("x").isNotNull() & (F.col("strand") == F.col("x_strand"))).alias("fits"),
-        (F.count_distinct(F.col("x") - F.col("k")) == 1).alias("runs_on"),
+        "transcript_id", "chrom", "strand", "g_start", "g_end", F.row_number().over(Window.partitionBy("transcript_id").orderBy("g_start", "g_end")).alias("x")
     )
-    verdict = F.when(~F.col("fits"), "nonselected_isoform_exon").when(F.col("runs_on"), "representable_not_present_in_dedup_bam").otherwise("splice_junction_absent")
-    return steps.select(*keys, verdict.alias("verdict"))
+    parts = reads.select(*keys, "chrom", "strand", "transcript_id", F.size("blocks").alias("n"), F.posexplode("blocks").alias("k", "b"))
+    spans = parts.select(*keys, "chrom", "strand", "transcript_id", "n", "k", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
+    met = intervals.overlap_join(spans, ordered, ["transcript_id", "chrom", "strand"], ("b_start", "b_end"), ("g_start", "g_end"), width)
+    held = met.where("g_start <= b_start AND b_end <= g_end").groupBy(*keys, "n", "k").agg(F.min("x").alias("x"))
+    # one step up in the genome is one step in the transcript on either strand
+    steps = held.groupBy(*keys, "n").agg(F.count("*").alias("held"), F.count_distinct(F.col("x") - F.col("k")).alias("steps")).where("held = n")
+    verdict = F.when(F.col("steps").isNull(), "nonselected_isoform_exon").when(F.col("steps") == 1, "representable_not_present_in_dedup_bam").otherwise("splice_junction_absent")
+    return reads.select(*keys).distinct().join(steps, keys, "left").select(*keys, verdict.alias("verdict"))
 
 
 def with_blocks(aln: DataFrame) -> DataFrame:
@@ -157,7 +154,7 @@ def reach_labels(reads: DataFrame, exons: DataFrame, selected: DataFrame, width:
     body = intervals.merge(gene_bodies(exons), ["chrom"], "b_start", "b_end")
     inside = intervals.overlap_join(rest, body, ["chrom"], ("pos", "epos"), ("b_start", "b_end"), width).select(*READ).distinct().withColumn("in_body", F.lit(True))
     coding = reads.join(best.where("rank = 0").select(*READ, F.col("own").alias("transcript_id")), READ)
-    verdicts = representability(coding.select(*READ, "chrom", "strand", "transcript_id", "blocks"), exons, READ)
+    verdicts = representability(coding.select(*READ, "chrom", "strand", "transcript_id", "blocks"), exons, READ, width)
     omitted = intervals.merge(omitted_exons(exons, selected).drop("gene_id"), ["chrom"])
     block = reads.select(*READ, "chrom", F.explode("blocks").alias("b")).select(*READ, "chrom", F.col("b.start").alias("pos"), F.col("b.end").alias("epos"))
     crossing = intervals.overlap_join(block, omitted, ["chrom"], ("pos", "epos"), ("start", "end"), width).select(*READ).distinct().withColumn("on_omitted", F.lit(True))

@@ -10,25 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinroute.operators.reuse import shared
 
+def joint_histogram(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, g, t, w) of points (keys, g, t)."""
+    return points.groupBy(*keys, "g", "t").agg(F.count("*").alias("w"))
 
-def joint_histogram(points: DataFrame, keys: list[str], zeros: DataFrame | None = None) -> DataFrame:
-    """(keys, g, t, w) of points (keys, g, t); zeros (keys, w) adds positions without any value."""
-    counted = points.groupBy(*keys, "g", "t").agg(F.count("*").alias("w"))
-    return counted if zeros is None else with_zeros(counted, keys, zeros)
 
+def zero_block(hist: DataFrame, keys: list[str], positions: DataFrame) -> DataFrame:
+    """The row of positions without any value of each key: what the histogram lacks of n_positions.
 
-def with_zeros(hist: DataFrame, keys: list[str], zeros: DataFrame) -> DataFrame:
-    zero = zeros.where("w > 0").select(*keys, F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("t"), F.col("w").cast("long").alias("w"))
-    return hist.unionByName(zero).groupBy(*keys, "g", "t").agg(F.sum("w").alias("w"))
-
-
-def _ranked(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Average ranks of a marginal: cumulative weight less half the ties."""
-    margin = hist.groupBy(*keys, value).agg(F.sum("w").alias("_w"))
-    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return margin.withColumn(f"r_{value}", F.sum("_w").over(order) - (F.col("_w") - 1) / 2.0).drop("_w")
+    positions: n_positions by some of the keys, or one row for all.
+    """
+    on = [k for k in keys if k in positions.columns]
+    sums = hist.groupBy(*keys).agg(F.sum("w").alias("_n"))
+    joined = sums.join(positions, on) if on else sums.join(F.broadcast(positions))
+    zero = F.lit(0).cast("long")
+    return joined.select(*keys, zero.alias("g"), zero.alias("t"), (F.col("n_positions") - F.col("_n")).cast("long").alias("w")).where("w > 0")
 
 
 def _weighted_corr(x: Column, y: Column, w: Column) -> tuple[Column, ...]:
@@ -44,34 +41,48 @@ def _corr(name: str) -> Column:
 
 
 def correlations(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, spearman, pearson) of a joint histogram; Pearson is of log2(x + 1)."""
-    hist = shared(hist)
-    both = hist.join(_ranked(hist, keys, "g"), [*keys, "g"]).join(_ranked(hist, keys, "t"), [*keys, "t"])
+    """(keys, n, spearman, pearson) of a joint histogram; Pearson is of log2(x + 1).
+
+    Average ranks are windows over the histogram's own rows: the weight up to a value less half its ties.  One
+    shuffle by key; rows of equal (g, t) may repeat.
+    """
+    key = Window.partitionBy(*keys)
     w = F.col("w").cast("double")
-    # ranks are centred on the mid rank, which keeps the sums small
-    mid = F.avg("r_g").over(Window.partitionBy(*keys))
-    both = both.withColumn("_m", mid)
-    ranks = (F.col("r_g") - F.col("_m"), F.col("r_t") - F.col("_m"))
+
+    def rank(value: str) -> Column:
+        upto = F.sum("w").over(key.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return upto - (F.sum("w").over(Window.partitionBy(*keys, value)) - 1) / 2.0
+
+    # centred on the mid rank, which keeps the sums small
+    mid = (F.sum("w").over(key) + 1) / 2.0
+    both = hist.select("*", (rank("g") - mid).alias("_rg"), (rank("t") - mid).alias("_rt"))
     logs = (F.log2(F.col("g") + 1.0), F.log2(F.col("t") + 1.0))
     sums = []
-    for name, (x, y) in (("s", ranks), ("p", logs)):
+    for name, (x, y) in (("s", (F.col("_rg"), F.col("_rt"))), ("p", logs)):
         sums += [c.alias(f"{name}_{k}") for k, c in zip(("n", "x", "y", "xx", "yy", "xy"), _weighted_corr(x, y, w), strict=True)]
     found = both.groupBy(*keys).agg(*sums)
     return found.select(*keys, F.col("s_n").cast("long").alias("n"), _corr("s").alias("spearman"), _corr("p").alias("pearson"))
 
 
-def pooled(points: DataFrame, keys: list[str], zeros: DataFrame) -> DataFrame:
-    """Counts and six correlations by key over bases covered on both routes, on either, and on all with the zero block."""
-    both = shared(joint_histogram(points, keys))
-    parts = {"inter": both.where("g > 0 AND t > 0"), "union": both.where("g > 0 OR t > 0"), "all": with_zeros(both, keys, zeros)}
-    out = both.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when((F.col("g") > 0) & (F.col("t") == 0), F.col("w"))), F.lit(0)).alias("n_bases_g_only"),
-        F.coalesce(F.sum(F.when((F.col("g") == 0) & (F.col("t") > 0), F.col("w"))), F.lit(0)).alias("n_bases_t_only"),
+POPULATIONS = {"inter": "g > 0 AND t > 0", "union": "g > 0 OR t > 0", "all": "true"}
+
+
+def pooled(points: DataFrame, keys: list[str], positions: DataFrame) -> DataFrame:
+    """Counts and six correlations by key over bases covered on both routes, on either, and on all with the zero block.
+
+    The populations are tags on the rows of one histogram, so each route is ranked in one pass.
+    """
+    hist = joint_histogram(points, keys)
+    tags = F.explode(F.array_compact(F.array(*(F.when(F.expr(when), F.lit(name)) for name, when in POPULATIONS.items())))).alias("population")
+    tagged = hist.unionByName(zero_block(hist, keys, positions)).select(*keys, "g", "t", "w", tags)
+    found = correlations(tagged, [*keys, "population"])
+    of = lambda name, c: F.max(F.when(F.col("population") == name, F.col(c)))
+    wide = found.groupBy(*keys).agg(
+        *(F.coalesce(of(p, "n"), F.lit(0)).alias(f"n_bases_{p}") for p in POPULATIONS), *(of(p, c).alias(f"{c}_{p}") for p in POPULATIONS for c in ("spearman", "pearson"))
     )
-    for name, hist in parts.items():
-        found = correlations(hist, keys)
-        out = out.join(found.select(*keys, F.col("n").alias(f"n_bases_{name}"), F.col("spearman").alias(f"spearman_{name}"), F.col("pearson").alias(f"pearson_{name}")), keys, "left")
-    return out.fillna(0, [f"n_bases_{k}" for k in parts])
+    only = lambda when: F.coalesce(F.sum(F.when(F.expr(when), F.col("w"))), F.lit(0))
+    sides = hist.groupBy(*keys).agg(only("g > 0 AND t = 0").alias("n_bases_g_only"), only("g = 0 AND t > 0").alias("n_bases_t_only"))
+    return sides.join(wide, keys)
 
 
 def paired_points(genome: DataFrame, txome: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,6 +46,57 @@ def coordinate_violations(exons: DataFrame) -> DataFrame:
     return found.select("transcript_id", F.explode(F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in names)))).alias("problem"))
 
 
+def spliced_violations(spliced: DataFrame, declared: DataFrame, regions: DataFrame, cds_exons: DataFrame) -> DataFrame:
+    """(transcript_id, problem) of a spliced exon table against everything that has to agree with it, in one pass.
+
+    spliced: transcript_id, chrom, strand, g_start, g_end, tx_start, tx_end.  declared: transcript_id, declared_len.  regions: transcript_id, label, start, end
+    on the spliced axis.  cds_exons: transcript_id, g_start, g_end.  The four tables meet as tagged rows in one shuffle by transcript.
+    Along the axis every exon has to begin where the one before ended, the first at 0, and to be as long as on the genome;
+    genome starts have to run with the strand; the last end has to be the declared length; there has to be one CDS, on the axis and as long as
+    its genome exons.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, tag, a, b, g=None, e=None, strand=None: df.select(
+        "transcript_id", F.lit(tag).alias("tag"), a.cast("long").alias("a"), b.cast("long").alias("b"), (F.col(g) if g else none("long")).cast("long").alias("g"), (F.col(e) if e else none("long")).cast("long").alias("e"),
+        (F.col(strand) if strand else none("string")).alias("strand"), (F.col("chrom") if strand else none("string")).alias("chrom"),
+    )
+    rows = (
+        row(spliced, "exon", F.col("tx_start"), F.col("tx_end"), "g_start", "g_end", "strand")
+        .unionByName(row(declared, "length", F.lit(0), F.col("declared_len")))
+        .unionByName(row(regions.where("label = 'CDS'"), "cds", F.col("start"), F.col("end")))
+        .unionByName(row(cds_exons, "genome", F.col("g_start"), F.col("g_end")))
+    )
+    order = Window.partitionBy("transcript_id", "tag").orderBy("a", "b")
+    chained = rows.withColumn("_before", F.lag("b").over(order)).withColumn("_g", F.lag("g").over(order)).withColumn("_e", F.lag("e").over(order))
+    exon, cds = F.col("tag") == "exon", F.col("tag") == "cds"
+    back = F.col("strand") == "-"
+    disordered = F.when(back, F.col("e") > F.col("_g")).otherwise(F.col("_e") > F.col("g"))
+    n = lambda when: F.count_if(F.coalesce(when, F.lit(False)))
+    size = lambda when: F.coalesce(F.sum(F.when(when, F.col("b") - F.col("a"))), F.lit(0))
+    found = chained.groupBy("transcript_id").agg(
+        n(exon).alias("exons"), n(cds).alias("cds"), n(F.col("tag") == "length").alias("lengths"),
+        n(exon & (F.col("a") != F.coalesce("_before", F.lit(0)))).alias("gaps"), n(exon & (F.col("b") - F.col("a") != F.col("e") - F.col("g"))).alias("stretched"), n(exon & disordered).alias("disordered"),
+        F.count_distinct("chrom").alias("chroms"), F.count_distinct("strand").alias("strands"), n(exon & ~F.col("strand").isin("+", "-")).alias("odd_strands"),
+        F.max(F.when(exon, F.col("b"))).alias("len"), F.max(F.when(F.col("tag") == "length", F.col("b"))).alias("declared"), F.max(F.when(cds, F.col("b"))).alias("cds_end"), F.min(F.when(cds, F.col("a"))).alias("cds_start"),
+        size(cds).alias("cds_len"), size(F.col("tag") == "genome").alias("genome_len"),
+    )
+    tests = {
+        "unknown_transcript": F.col("exons") == 0,
+        "several_chromosomes": F.col("chroms") > 1,
+        "several_strands": (F.col("strands") > 1) | (F.col("odd_strands") > 0),
+        "axis_not_contiguous": F.col("gaps") > 0,
+        "exon_length_differs": F.col("stretched") > 0,
+        "exons_out_of_order": F.col("disordered") > 0,
+        "no_declared_length": F.col("lengths") == 0,
+        "declared_length_differs": (F.col("exons") > 0) & (F.col("lengths") > 0) & (F.col("len") != F.col("declared")),
+        "no_cds": F.col("cds") == 0,
+        "several_cds": F.col("cds") > 1,
+        "cds_off_the_transcript": (F.col("cds_start") < 0) | (F.col("cds_end") > F.col("len")) | (F.col("cds_start") >= F.col("cds_end")),
+        "genomic_cds_length_differs": (F.col("cds") == 1) & (F.col("cds_len") != F.col("genome_len")),
+    }
+    return found.select("transcript_id", F.explode(F.array_compact(F.array(*(F.when(when, F.lit(name)) for name, when in tests.items())))).alias("problem"))
+
+
 def normalized_regions(transcripts: DataFrame) -> DataFrame:
     """(transcript_id, label, start, end) from transcript_len, cds_start, cds_end and has_stop.
 

@@ -5,11 +5,14 @@ Tie rule wherever several exons or transcripts could claim a read: the least (tr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinroute.operators import intervals
 from twinroute.operators.alignments import READ
+from twinroute.operators.coords import exon_order
 
 
 def point_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width: int = intervals.BIN) -> DataFrame:
@@ -60,16 +63,9 @@ def exposure(hits: DataFrame, sums: DataFrame) -> DataFrame:
     )
 
 
-def spliced(exons: DataFrame) -> DataFrame:
-    """Exons with tx_start and tx_end, their place on the spliced transcript in 5'-3' order."""
-    from twinroute.operators.coords import exon_order
-
-    return exon_order(exons)
-
-
 def to_transcript(hits: DataFrame, exons: DataFrame) -> DataFrame:
     """First hits with ``tpos``, the spliced position of p5."""
-    known = spliced(exons).select("transcript_id", "g_start", "g_end", F.col("strand").alias("x_strand"), "tx_start")
+    known = exon_order(exons).select("transcript_id", "g_start", "g_end", F.col("strand").alias("x_strand"), "tx_start")
     at = F.when(F.col("x_strand") == "-", F.col("g_end") - 1 - F.col("p5")).otherwise(F.col("p5") - F.col("g_start"))
     return hits.drop("g_end", "tx_start").join(known, ["transcript_id", "g_start"]).withColumn("tpos", F.col("tx_start") + at).drop("x_strand")
 
@@ -78,7 +74,50 @@ def point_coverage(points: DataFrame, keys: list[str], position: str) -> DataFra
     return points.where(F.col(position).isNotNull()).groupBy(*keys, F.col(position).alias("pos")).agg(F.count("*").alias("n"))
 
 
-def window_sums(points: DataFrame, regions: DataFrame) -> DataFrame:
+def window_sums(points: DataFrame, regions: DataFrame, width: int = intervals.BIN) -> DataFrame:
     """Sums of sparse points (transcript_id, pos, n) in regions (transcript_id, label, start, end) per sample."""
-    met = points.join(regions, "transcript_id").where("start <= pos AND pos < end")
+    met = intervals.point_join(points, regions, ["transcript_id"], "pos", ("start", "end"), width)
     return met.groupBy("sample", "transcript_id", "label").agg(F.sum("n").alias("n"))
+
+
+def as_segments(points: DataFrame, count: str = "n") -> DataFrame:
+    """Points (pos, n) as segments (start, end, depth) of one base."""
+    return points.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1).withColumn("depth", F.col(count)).drop("pos", count)
+
+
+def slice_sums(segments: DataFrame, slices: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """(keys, transcript_id, label, total): sums of run-length segments over any slice (transcript_id, label, start, end), no base expanded.
+
+    A slice's sum is the difference of two prefix sums.  Both ends are looked up as of their position: they are laid between
+    the segments of their (keys, transcript), where the running sum less what the last segment has beyond the position is
+    the prefix.  A slice whose start lies behind its end gives the difference as it is, zero or less.
+    """
+    own = [*keys, "transcript_id"]
+    ran = segments.select(*own, F.col("start").alias("pos"), F.lit(0).alias("_k"), F.col("end").alias("_end"), "depth", (F.col("depth") * (F.col("end") - F.col("start"))).alias("_sum"))
+    ends = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("start").alias("pos")), F.struct(F.lit(1).alias("sign"), F.col("end").alias("pos")))).alias("b")
+    asked = segments.select(*own).distinct().join(slices.select("transcript_id", "label", ends), "transcript_id").select(*own, "b.pos", F.lit(1).alias("_k"), "label", "b.sign")
+    # a segment that starts at the position adds nothing yet: it comes after
+    order = Window.partitionBy(*own).orderBy("pos", F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(order)
+    both = ran.unionByName(asked, allowMissingColumns=True)
+    prefix = F.coalesce(F.sum("_sum").over(order), F.lit(0)) - F.coalesce(last("depth") * F.greatest(F.lit(0), last("_end") - F.col("pos")), F.lit(0))
+    found = both.withColumn("_prefix", prefix).where("_k = 1")
+    return found.groupBy(*own, "label").agg(F.sum(F.col("sign") * F.col("_prefix")).cast("long").alias("total"))
+
+
+def coverage_key(genome: DataFrame, txome: DataFrame, transcripts: DataFrame, trim: int, trimmed: bool) -> DataFrame:
+    """Which (sample, transcript) with a read on either route count as covered.
+
+    genome, txome: segments.  Each transcript is summed over its own bounds: the whole CDS (P-sites) or, ``trimmed``, the CDS without ``trim``
+    bases at both ends (footprints).  Eligible are those whose trimmed CDS is not empty; a transcript without CDS is not.
+    """
+    cut = F.lit(trim if trimmed else 0)
+    start, end = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("cds_start", "cds_end"))
+    slices = transcripts.select("transcript_id", F.lit("CDS").alias("label"), (start + cut).alias("start"), (end - cut).alias("end"))
+    sides = genome.withColumn("route", F.lit("genome")).unionByName(txome.withColumn("route", F.lit("txome")))
+    sums = slice_sums(sides, slices, ["route", "sample"]).groupBy("sample", "transcript_id").agg(
+        *((F.coalesce(F.max(F.when(F.col("route") == r, F.col("total"))), F.lit(0)) > 0).alias(f"key_{r}") for r in ("genome", "txome"))
+    )
+    bounds = transcripts.select("transcript_id", (end - start - 2 * trim).alias("interior"))
+    out = sums.join(bounds, "transcript_id").withColumn("eligible", F.col("interior") > 0)
+    return out.select("sample", "transcript_id", "interior", "eligible", "key_genome", "key_txome", (F.col("eligible") & (F.col("key_genome") | F.col("key_txome"))).alias("covered"))

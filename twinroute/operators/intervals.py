@@ -56,7 +56,7 @@ def overlap_length(a_start: Column, a_end: Column, b_start: Column, b_end: Colum
 def merge(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
     """Union of the intervals of each key; touching ones merge.  Empty intervals vanish."""
     here, before = F.col("_one") > 0, F.col("_one") - F.col("_d__one") > 0
-    return _islands(_events(spans, keys, start, end), keys, ("_one",), here, before, width).select(*keys, F.col("pos").alias(start), F.col("_next").alias(end))
+    return _islands(events(spans, keys, start, end), keys, ("_one",), here, before, width).select(*keys, F.col("pos").alias(start), F.col("_next").alias(end))
 
 
 def merged_length(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
@@ -64,7 +64,7 @@ def merged_length(spans: DataFrame, keys: Sequence[str], start: str = "start", e
     return merge(spans, keys, start, end, width).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).cast("long").alias("n_bases"))
 
 
-def _events(spans: DataFrame, keys: Sequence[str], start: str, end: str, weights: tuple[str, ...] = ("_one",)) -> DataFrame:
+def events(spans: DataFrame, keys: Sequence[str], start: str, end: str, weights: tuple[str, ...] = ("_one",)) -> DataFrame:
     """Sums of +weight at starts and -weight at ends by position; positions where nothing changes vanish."""
     sides = F.array(*(F.struct(F.col(c).cast("long").alias("pos"), F.lit(s).alias("sign")) for c, s in ((start, 1), (end, -1))))
     sided = spans.where(F.col(end) > F.col(start)).withColumn("_one", F.lit(1)).withColumn("_e", F.explode(sides))
@@ -72,8 +72,8 @@ def _events(spans: DataFrame, keys: Sequence[str], start: str, end: str, weights
     return summed.where(reduce(Column.__or__, (F.col(w) != 0 for w in weights)))
 
 
-def sweep(events: DataFrame, keys: Sequence[str], values: Sequence[str] = (), width: int | None = SWEEP) -> DataFrame:
-    """events (keys, pos, values; one row a position) with running sums of values, ``_d_`` value (the event's own) and ``_next``, the next position.
+def sweep(changes: DataFrame, keys: Sequence[str], values: Sequence[str] = (), width: int | None = SWEEP) -> DataFrame:
+    """changes (keys, pos, values; one row a position) with running sums of values, ``_d_`` value (the event's own) and ``_next``, the next position.
 
     Two levels: the sums and first positions of bins of ``width`` bases are carried from bin to bin over one row a bin; each
     bin then gets what came before it as a row in front and the next bin's first position as a row behind, so the
@@ -84,8 +84,8 @@ def sweep(events: DataFrame, keys: Sequence[str], values: Sequence[str] = (), wi
     if width is None:
         order = Window.partitionBy(*keys).orderBy("pos")
         so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-        return events.select(*keys, "pos", *own, *(F.sum(v).over(so_far).cast("long").alias(v) for v in values), F.lead("pos").over(order).alias("_next"))
-    binned = events.select(*keys, F.floor(F.col("pos") / width).alias("_bin"), F.lit(1).alias("_k"), F.col("pos").cast("long").alias("pos"), *(F.col(v).cast("long").alias(v) for v in values))
+        return changes.select(*keys, "pos", *own, *(F.sum(v).over(so_far).cast("long").alias(v) for v in values), F.lead("pos").over(order).alias("_next"))
+    binned = changes.select(*keys, F.floor(F.col("pos") / width).alias("_bin"), F.lit(1).alias("_k"), F.col("pos").cast("long").alias("pos"), *(F.col(v).cast("long").alias(v) for v in values))
     over = Window.partitionBy(*keys).orderBy("_bin")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     bins_ = binned.groupBy(*keys, "_bin").agg(F.min("pos").alias("_first"), *(F.sum(v).alias(v) for v in values))
@@ -98,16 +98,16 @@ def sweep(events: DataFrame, keys: Sequence[str], values: Sequence[str] = (), wi
     return ran.where("_k = 1").drop("_k")
 
 
-def _islands(events: DataFrame, keys: Sequence[str], values: Sequence[str], here: Column, before: Column, width: int | None) -> DataFrame:
+def _islands(changes: DataFrame, keys: Sequence[str], values: Sequence[str], here: Column, before: Column, width: int | None) -> DataFrame:
     """(keys, pos, _next): the maximal stretches where ``here`` holds of the running sums; ``before`` is the same of the sums before an event."""
-    edges = sweep(events, keys, values, width).select(*keys, "pos", here.alias("_here"), before.alias("_before")).where("_here <> _before")
+    edges = sweep(changes, keys, values, width).select(*keys, "pos", here.alias("_here"), before.alias("_before")).where("_here <> _before")
     ends = sweep(edges.select(*keys, "pos", F.col("_here").cast("long").alias("_opens")), keys, ("_opens",), width)
     return ends.where("_d__opens = 1").select(*keys, "pos", "_next")
 
 
 def depth(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
     """Run-length segments (start, end, depth) with depth over 0: neighbours of equal depth are one segment."""
-    ran = sweep(_events(spans, keys, start, end), keys, ("_one",), width)
+    ran = sweep(events(spans, keys, start, end), keys, ("_one",), width)
     return ran.where("_one > 0").select(*keys, F.col("pos").alias("start"), F.col("_next").alias("end"), F.col("_one").alias("depth"))
 
 
@@ -118,7 +118,7 @@ def subtract(spans: DataFrame, holes: DataFrame, keys: Sequence[str], start: str
     )
     left = lambda a, b: (a > 0) & (b == 0)
     a, b, da, db = (F.col(x) for x in ("_a", "_b", "_d__a", "_d__b"))
-    found = _islands(_events(both, keys, start, end, ("_a", "_b")), keys, ("_a", "_b"), left(a, b), left(a - da, b - db), width)
+    found = _islands(events(both, keys, start, end, ("_a", "_b")), keys, ("_a", "_b"), left(a, b), left(a - da, b - db), width)
     return found.select(*keys, F.col("pos").alias(start), F.col("_next").alias(end))
 
 
@@ -130,6 +130,6 @@ def duplicated_bases(entries: DataFrame, keys: Sequence[str], entry: str, start:
     """
     own = merge(entries, [*keys, entry], start, end, None)
     several, before = F.col("_one") >= 2, F.col("_one") - F.col("_d__one") >= 2
-    shared = _islands(_events(own, keys, start, end), keys, ("_one",), several, before, width).select(*keys, F.col("pos").alias("_from"), F.col("_next").alias("_to"))
+    shared = _islands(events(own, keys, start, end), keys, ("_one",), several, before, width).select(*keys, F.col("pos").alias("_from"), F.col("_next").alias("_to"))
     met = overlap_join(own, shared, keys, (start, end), ("_from", "_to"))
     return met.groupBy(entry).agg(F.sum(overlap_length(F.col(start), F.col(end), F.col("_from"), F.col("_to"))).alias("n_duplicated"))

@@ -325,4 +325,4 @@ def transcript_tracks(spark, d):
     reads = view(spark, d, "aln_t")
     chosen = pq.with_cds(transcripts(spark, d)).where("transcript_id < 40")
     points = coverage.point_coverage(reads.withColumn("psite", F.col("pos") + 12), ["sample", "transcript_id"], "psite")
-    return locus.tracks(points, chosen, reads.select("sample").distinct(), trim=15)
+    return locus.dense_track(points, chosen, reads.select("sample").distinct(), trim=15)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinroute.functions import columns as c
 from twinroute.operators import alignments, annotate, cluster, cohort, concordance, coords, counts, coverage, genes, intervals, locus
-from twinroute.operators.reuse import shared
 from twinroute.plans.read_queries import SELECTED_SQL, WIDTH, gene_counts5, inputs, rounded
 from twinroute.plans.views import cte, table, view
 
@@ -191,23 +191,19 @@ def corr_sql(source: str, keys: str, where: str) -> str:
 
 
 def route_points(spark, d):
-    """(binned points of both routes, zero blocks by sample and transcript)."""
+    """(points of both routes, transcript lengths)."""
     aln_t, exons = inputs(spark, d, "aln_t", "exons")
     lengths = coords.transcript_table(exons).select("transcript_id", "transcript_len")
     first = coverage.to_transcript(coverage.first_hit(hits(spark, d)), exons)
     g = coverage.point_coverage(first, ["sample", "transcript_id"], "tpos")
     t = coverage.point_coverage(aln_t.join(lengths, "transcript_id").where("pos < transcript_len"), ["sample", "transcript_id"], "pos")
-    both = shared(concordance.paired_points(g, t, ["sample", "transcript_id"]))
-    return both, lengths
+    return concordance.paired_points(g, t, ["sample", "transcript_id"]), lengths
 
 
 def binned(spark, d):
     both, lengths = route_points(spark, d)
     pts = both.groupBy("sample", "transcript_id", F.floor(F.col("pos") / 30).alias("pos")).agg(F.sum("g").alias("g"), F.sum("t").alias("t"))
-    known = pts.groupBy("sample", "transcript_id").agg(F.count("*").alias("k"))
-    grid = lengths.join(F.broadcast(pts.select("sample").distinct()))  # samples are few
-    zeros = grid.join(known, ["sample", "transcript_id"], "left").select("sample", "transcript_id", (F.ceil(F.col("transcript_len") / 30) - F.coalesce("k", F.lit(0))).alias("w"))
-    return pts, zeros
+    return pts, lengths.select("transcript_id", F.ceil(F.col("transcript_len") / 30).alias("n_positions"))
 
 
 @query(
@@ -216,8 +212,8 @@ def binned(spark, d):
 FROM (SELECT sample, count(*) FILTER (WHERE g > 0 AND t = 0) AS n_bases_g_only, count(*) FILTER (WHERE g = 0 AND t > 0) AS n_bases_t_only FROM bpts GROUP BY 1) o LEFT JOIN {corr_sql('ball', 'sample', 'g > 0 AND t > 0')} i USING (sample) LEFT JOIN {corr_sql('ball', 'sample', 'g > 0 OR t > 0')} u USING (sample) LEFT JOIN {corr_sql('ball', 'sample', 'true')} a USING (sample)""",
 )
 def pooled_concordance(spark, d):
-    pts, zeros = binned(spark, d)
-    found = concordance.pooled(pts, ["sample"], zeros.groupBy("sample").agg(F.sum("w").alias("w")))
+    pts, positions = binned(spark, d)
+    found = concordance.pooled(pts, ["sample"], positions.agg(F.sum("n_positions").alias("n_positions")))
     return rounded(found, *(f"{k}_{p}" for k in ("spearman", "pearson") for p in ("inter", "union", "all")), places=6)
 
 
@@ -226,11 +222,12 @@ def pooled_concordance(spark, d):
     cte("aln_g", "aln_t", "exons") + BINNED_SQL + f", both_tx AS (SELECT sample, transcript_id FROM bpts GROUP BY 1, 2 HAVING sum(g) > 0 AND sum(t) > 0), r AS {corr_sql('ball', 'sample, transcript_id', 'true')} SELECT r.* FROM r JOIN both_tx USING (sample, transcript_id)",
 )
 def transcript_concordance(spark, d):
-    pts, zeros = binned(spark, d)
+    pts, positions = binned(spark, d)
     key = ["sample", "transcript_id"]
-    covered = pts.groupBy(*key).agg(F.sum("g").alias("a"), F.sum("t").alias("b")).where("a > 0 AND b > 0").select(*key)
-    hist = concordance.joint_histogram(pts.join(covered, key, "left_semi"), key, zeros.join(covered, key, "left_semi"))
-    return rounded(concordance.correlations(hist, key), "spearman", "pearson", places=6)
+    of_key = Window.partitionBy(*key)
+    covered = pts.withColumn("_a", F.sum("g").over(of_key)).withColumn("_b", F.sum("t").over(of_key)).where("_a > 0 AND _b > 0")
+    hist = concordance.joint_histogram(covered, key)
+    return rounded(concordance.correlations(hist.unionByName(concordance.zero_block(hist, key, positions)), key), "spearman", "pearson", places=6)
 
 
 @query(
