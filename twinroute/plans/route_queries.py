@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from twinroute.functions import columns as c
 from twinroute.operators import alignments, categories, coords, coverage, genes, intervals, locus, scan
 from twinroute.plans import position_queries as pq
-from twinroute.plans.read_queries import CELLS_SQL, OMIT_SQL, SELECTED_SQL, TAXONOMY_SQL, WIDTH, inputs, rounded
+from twinroute.plans.read_queries import CELLS_SQL, OMIT_SQL, PARTITION_SQL, SELECTED_SQL, TAXONOMY_SQL, TIED_SQL, WIDTH, inputs, partition, rounded
 from twinroute.plans.views import cte, view
+from twinroute.sources import partition_record
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -282,3 +283,66 @@ def spliced_violations(spark, d):
     # one base short
     short = coding.where(t == 7).select("transcript_id", F.lit(1).alias("g_start"), F.lit(0).alias("g_end"))
     return coords.spliced_violations(spliced, declared, regions, cds.unionByName(short))
+
+
+# ---- loci of all genes, and the partition's record
+
+LOCUS_SQL = CELLS_SQL + TIED_SQL + SELECTED_SQL + pq.ORDER_SQL + """,
+span AS (SELECT gene_id, min(chrom) AS chrom, min(g_start) AS gs, max(g_end) AS ge FROM exons GROUP BY 1 HAVING count(DISTINCT chrom) = 1),
+gm AS (SELECT span.gene_id, sample, read_id, CASE WHEN strand = '-' THEN epos - 1 ELSE pos END AS p5 FROM best JOIN span ON best.chrom = span.chrom AND gs < epos AND pos < ge WHERE qualifies),
+gk AS (SELECT gene_id, sample, read_id, count(DISTINCT p5) AS k, min(p5) AS site FROM gm GROUP BY 1, 2, 3),
+gl AS (SELECT gk.*, 'genome' AS route, CASE WHEN present AND genome = 'unique' THEN 'shared_unique' WHEN present THEN 'shared_multi' WHEN genome = 'unique' THEN 'genome_only' ELSE 'genome_only_multi' END AS layer FROM gk JOIN cells USING (sample, read_id)),
+tm AS (SELECT span.gene_id, a.sample, a.read_id, CASE WHEN xe.strand = '-' THEN g_end - 1 - (a.pos + 12 - tx_start) ELSE g_start + a.pos + 12 - tx_start END AS g FROM aln_t a JOIN selected s ON s.transcript_id = a.transcript_id JOIN span ON span.gene_id = s.gene_id LEFT JOIN xe ON xe.transcript_id = a.transcript_id AND tx_start <= a.pos + 12 AND a.pos + 12 < tx_end),
+tk AS (SELECT gene_id, sample, read_id, count(DISTINCT g) AS k, min(g) AS site FROM tm GROUP BY 1, 2, 3),
+tl AS (SELECT tk.*, 'txome' AS route, CASE WHEN gk.gene_id IS NULL THEN 'txome_only' WHEN genome = 'unique' THEN 'shared_unique' ELSE 'shared_multi' END AS layer FROM tk LEFT JOIN gk ON gk.gene_id = tk.gene_id AND gk.sample = tk.sample AND gk.read_id = tk.read_id LEFT JOIN cells ON cells.sample = tk.sample AND cells.read_id = tk.read_id),
+st AS (SELECT * FROM gl UNION ALL SELECT * FROM tl),
+xb AS (SELECT DISTINCT gene_id, unnest(range(g_start, g_end)) AS b FROM exons),
+cv AS (SELECT st.* FROM st JOIN xb ON xb.gene_id = st.gene_id AND xb.b = st.site WHERE k = 1),
+pos AS (SELECT gene_id, sample, route, site, count(*) AS n FROM cv GROUP BY 1, 2, 3, 4),
+rn AS (SELECT gene_id, sample, count(*) AS n_runs FROM (SELECT DISTINCT gene_id, sample, route, n, site - row_number() OVER (PARTITION BY gene_id, sample, route, n ORDER BY site) AS isl FROM pos) GROUP BY 1, 2),
+ct AS (SELECT gene_id, sample, """ + ", ".join(f"count(*) FILTER (WHERE route = '{r}' AND layer = '{x}') AS {r}_{x}" for r, names in (("genome", locus.GENOME_LAYERS), ("txome", locus.TXOME_LAYERS)) for x in names) + """, count(*) FILTER (WHERE k > 1) AS n_ambiguous, count(*) FILTER (WHERE k = 0) AS n_unresolved FROM st GROUP BY 1, 2),
+cs AS (SELECT gene_id, sample, count(*) FILTER (WHERE route = 'genome') AS genome_cov, count(*) FILTER (WHERE route = 'txome') AS txome_cov FROM cv GROUP BY 1, 2)"""
+_COUNTS = [*(f"genome_{x}" for x in locus.GENOME_LAYERS), *(f"txome_{x}" for x in locus.TXOME_LAYERS), "n_ambiguous", "n_unresolved"]
+
+
+def artifacts(spark, d):
+    g, t, exons = inputs(spark, d, "aln_g", "aln_t", "exons")
+    sites = locus.locus_sites(g, t, exons, genes.selected_transcripts(exons), 12, WIDTH)
+    return locus.locus_artifact(sites, exons, WIDTH)
+
+
+@query(
+    "locus_artifact",
+    cte("aln_g", "aln_t", "exons") + LOCUS_SQL + f""" SELECT gene_id, sample, (SELECT count(*) FROM xb WHERE xb.gene_id = ct.gene_id) AS n_exonic, {", ".join(_COUNTS)}, coalesce(genome_cov, 0) AS genome_cov, coalesce(txome_cov, 0) AS txome_cov, coalesce(n_runs, 0) AS n_runs
+FROM ct LEFT JOIN cs USING (gene_id, sample) LEFT JOIN rn USING (gene_id, sample)""",
+)
+def locus_artifact(spark, d):
+    long = lambda e: F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + x)
+    cov = lambda r: long(F.transform(F.filter("layers", lambda x: x["route"] == r), lambda x: x["depth"] * (x["end"] - x["start"]))).alias(f"{r}_cov")
+    return artifacts(spark, d).select(
+        "gene_id", "sample", long(F.transform("exons", lambda x: x["end"] - x["start"])).alias("n_exonic"), *(F.col(f"counts.{x}").alias(x) for x in _COUNTS), cov("genome"), cov("txome"), F.size("tracks").cast("long").alias("n_runs")
+    )
+
+
+@query("locus_track_check", cte("aln_g", "aln_t", "exons") + LOCUS_SQL + " SELECT count(*) AS n_artifacts, CAST(0 AS BIGINT) AS n_apart FROM ct")
+def locus_track_check(spark, d):
+    """How many artifacts there are, and where their layers do not sum to their tracks (nowhere)."""
+    found = artifacts(spark, d)
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(found, "n_artifacts").join(F.broadcast(n(locus.track_violations(found), "n_apart")))  # one row each
+
+
+_LABELS = {s: s.removeprefix("r7_").replace("_", " ") for s in genes.SEGMENTS}
+
+
+@query(
+    "gene_entry",
+    cte("aln_g", "aln_t", "exons") + PARTITION_SQL + """, es AS (SELECT sample, gene_id, count(*) AS n_union, """ + ", ".join(f"count(*) FILTER (WHERE segment = '{x}') AS {x}" for x in genes.SEGMENTS) + " FROM seg GROUP BY 1, 2) "
+    + " UNION ALL ".join(f"SELECT sample, es.gene_id, selected.transcript_id, n_union, CAST({k} AS INTEGER) AS segment_order, '{s}' AS segment_key, '{_LABELS[s]}' AS segment_label, {s} AS n_reads, round(1e2 * {s} / n_union, 9) AS pct_of_union FROM es JOIN selected USING (gene_id)" for k, s in enumerate(genes.SEGMENTS)),
+)
+def gene_entry(spark, d):
+    """The partition's dump as entries, written to JSON texts, read back by schema and checked, a row a segment."""
+    selected = genes.selected_transcripts(view(spark, d, "exons"))
+    dump = partition(spark, d).join(selected, "gene_id").select("sample", "gene_id", "transcript_id", "read_id", "segment")
+    texts = partition_record.to_text(partition_record.entries(dump, genes.SEGMENTS, ["sample"]))
+    return rounded(partition_record.tidy(partition_record.from_text(texts, genes.SEGMENTS), _LABELS, ["sample"]), "pct_of_union")

@@ -19,12 +19,6 @@ def write_by_sample(df: DataFrame, path: str, files: int = 8) -> None:
     df.repartition("sample", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample").parquet(path)
 
 
-def write_coverage(points: DataFrame, path: str) -> None:
-    """Sparse coverage (sample, signal, transcript_id, pos, n), sorted inside each sample and signal."""
-    dealt = points.repartition("sample", "signal").sortWithinPartitions("transcript_id", "pos")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample", "signal").parquet(path)
-
-
 def coverage_violations(points: DataFrame, transcripts: DataFrame, signals: list[str]) -> DataFrame:
     """(sample, signal, problem, n) of a coverage table: unknown signals and transcripts, positions out of range, counts not positive, repeated positions."""
     joined = points.join(transcripts.select("transcript_id", "transcript_len"), "transcript_id", "left")
@@ -54,9 +48,3 @@ def provenance(spark: SparkSession, inputs: Mapping[str, str], parameters: Mappi
     as_map = lambda m: F.create_map(*[F.lit(x) for kv in sorted(m.items()) for x in kv])
     out = tables.select(as_map(inputs).alias("inputs"), as_map(parameters).alias("parameters"), "tables")
     return out.withColumn("json", F.to_json(F.struct("inputs", "parameters", "tables")))
-
-
-def partition_record(segments: DataFrame, labels: Mapping[str, str]) -> DataFrame:
-    """Tidy segment rows (gene_id, n_union, segment, label, n_reads, pct) of a wide segment table."""
-    parts = F.explode(F.array(*(F.struct(F.lit(s).alias("segment"), F.lit(label).alias("label"), F.col(s).alias("n_reads")) for s, label in labels.items()))).alias("p")
-    return segments.select("gene_id", "n_union", parts).select("gene_id", "n_union", "p.*", F.when(F.col("n_union") > 0, F.lit(100.0) * F.col("p.n_reads") / F.col("n_union")).alias("pct_of_union"))
