@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinroute.operators.unions import stacked
+
 
 def joint_histogram(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, g, t, w) of points (keys, g, t)."""
@@ -74,7 +76,7 @@ def pooled(points: DataFrame, keys: list[str], positions: DataFrame) -> DataFram
     """
     hist = joint_histogram(points, keys)
     tags = F.explode(F.array_compact(F.array(*(F.when(F.expr(when), F.lit(name)) for name, when in POPULATIONS.items())))).alias("population")
-    tagged = hist.unionByName(zero_block(hist, keys, positions)).select(*keys, "g", "t", "w", tags)
+    tagged = stacked(hist, zero_block(hist, keys, positions)).select(*keys, "g", "t", "w", tags)
     found = correlations(tagged, [*keys, "population"])
     of = lambda name, c: F.max(F.when(F.col("population") == name, F.col(c)))
     wide = found.groupBy(*keys).agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinroute.operators.unions import stacked
+
 
 def exon_order(exons: DataFrame) -> DataFrame:
     """Exons with exon_index and the exclusive cumulative length tx_start, in 5'-3' order of each transcript."""
@@ -60,11 +62,11 @@ def spliced_violations(spliced: DataFrame, declared: DataFrame, regions: DataFra
         "transcript_id", F.lit(tag).alias("tag"), a.cast("long").alias("a"), b.cast("long").alias("b"), (F.col(g) if g else none("long")).cast("long").alias("g"), (F.col(e) if e else none("long")).cast("long").alias("e"),
         (F.col(strand) if strand else none("string")).alias("strand"), (F.col("chrom") if strand else none("string")).alias("chrom"),
     )
-    rows = (
-        row(spliced, "exon", F.col("tx_start"), F.col("tx_end"), "g_start", "g_end", "strand")
-        .unionByName(row(declared, "length", F.lit(0), F.col("declared_len")))
-        .unionByName(row(regions.where("label = 'CDS'"), "cds", F.col("start"), F.col("end")))
-        .unionByName(row(cds_exons, "genome", F.col("g_start"), F.col("g_end")))
+    rows = stacked(
+        row(spliced, "exon", F.col("tx_start"), F.col("tx_end"), "g_start", "g_end", "strand"),
+        row(declared, "length", F.lit(0), F.col("declared_len")),
+        row(regions.where("label = 'CDS'"), "cds", F.col("start"), F.col("end")),
+        row(cds_exons, "genome", F.col("g_start"), F.col("g_end")),
     )
     order = Window.partitionBy("transcript_id", "tag").orderBy("a", "b")
     chained = rows.withColumn("_before", F.lag("b").over(order)).withColumn("_g", F.lag("g").over(order)).withColumn("_e", F.lag("e").over(order))

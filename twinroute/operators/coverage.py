@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from twinroute.operators import intervals
 from twinroute.operators.alignments import READ
 from twinroute.operators.coords import exon_order
+from twinroute.operators.unions import stacked
 
 
 def point_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width: int = intervals.BIN) -> DataFrame:
@@ -34,7 +35,7 @@ def two_stage(points: DataFrame, first: DataFrame, second: DataFrame, width: int
     one = first_hit(point_hits(points, first, width=width)).withColumn("stage", F.lit(1))
     rest = points.join(one.select(*READ), READ, "left_anti")
     two = first_hit(point_hits(rest, second, width=width)).withColumn("stage", F.lit(2))
-    return one.unionByName(two)
+    return stacked(one, two)
 
 
 def overlap_sums(blocks: DataFrame, exons: DataFrame, width: int = intervals.BIN) -> DataFrame:
@@ -99,7 +100,7 @@ def slice_sums(segments: DataFrame, slices: DataFrame, keys: Sequence[str] = ("s
     # a segment that starts at the position adds nothing yet: it comes after
     order = Window.partitionBy(*own).orderBy("pos", F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(order)
-    both = ran.unionByName(asked, allowMissingColumns=True)
+    both = stacked(ran, asked, missing=True)
     prefix = F.coalesce(F.sum("_sum").over(order), F.lit(0)) - F.coalesce(last("depth") * F.greatest(F.lit(0), last("_end") - F.col("pos")), F.lit(0))
     found = both.withColumn("_prefix", prefix).where("_k = 1")
     return found.groupBy(*own, "label").agg(F.sum(F.col("sign") * F.col("_prefix")).cast("long").alias("total"))
@@ -114,7 +115,7 @@ def coverage_key(genome: DataFrame, txome: DataFrame, transcripts: DataFrame, tr
     cut = F.lit(trim if trimmed else 0)
     start, end = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("cds_start", "cds_end"))
     slices = transcripts.select("transcript_id", F.lit("CDS").alias("label"), (start + cut).alias("start"), (end - cut).alias("end"))
-    sides = genome.withColumn("route", F.lit("genome")).unionByName(txome.withColumn("route", F.lit("txome")))
+    sides = stacked(genome.withColumn("route", F.lit("genome")), txome.withColumn("route", F.lit("txome")))
     sums = slice_sums(sides, slices, ["route", "sample"]).groupBy("sample", "transcript_id").agg(
         *((F.coalesce(F.max(F.when(F.col("route") == r, F.col("total"))), F.lit(0)) > 0).alias(f"key_{r}") for r in ("genome", "txome"))
     )

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinroute.operators.unions import stacked
+
 #: Bin width in bases: about the longest common interval.
 BIN = 1024
 #: Bin width of sweeps: a window orders the positions of so many bases.
@@ -94,7 +96,7 @@ def sweep(changes: DataFrame, keys: Sequence[str], values: Sequence[str] = (), w
     edges = carried.select(*keys, "_bin", F.explode(F.array(edge(0, F.lit(None).cast("long"), [F.col(v) for v in values]), edge(2, F.col("_then"), [F.lit(0)] * len(values)))).alias("_e")).select(*keys, "_bin", "_e.*")
     order = Window.partitionBy(*keys, "_bin").orderBy("_k", "pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    ran = binned.unionByName(edges).select(*keys, "_k", "pos", *own, *(F.sum(v).over(so_far).alias(v) for v in values), F.lead("pos").over(order).alias("_next"))
+    ran = stacked(binned, edges).select(*keys, "_k", "pos", *own, *(F.sum(v).over(so_far).alias(v) for v in values), F.lead("pos").over(order).alias("_next"))
     return ran.where("_k = 1").drop("_k")
 
 
@@ -113,9 +115,7 @@ def depth(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str
 
 def subtract(spans: DataFrame, holes: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int | None = SWEEP) -> DataFrame:
     """The union of spans without the union of holes, by key."""
-    both = spans.select(*keys, start, end, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
-        holes.select(*keys, start, end, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    )
+    both = stacked(spans.select(*keys, start, end, F.lit(1).alias("_a"), F.lit(0).alias("_b")), holes.select(*keys, start, end, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     left = lambda a, b: (a > 0) & (b == 0)
     a, b, da, db = (F.col(x) for x in ("_a", "_b", "_d__a", "_d__b"))
     found = _islands(events(both, keys, start, end, ("_a", "_b")), keys, ("_a", "_b"), left(a, b), left(a - da, b - db), width)

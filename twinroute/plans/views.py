@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinroute.operators.unions import plain_unions
+
 VIEWS = {
     "aln_g": (
         ("lineitem",),
@@ -37,11 +39,13 @@ from (select cast(floor(p_partkey/8) as bigint) gene_id, cast(floor(p_partkey/4)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     tables, text = VIEWS[name]
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

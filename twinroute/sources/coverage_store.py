@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinroute.operators.locus import SIGNALS
+from twinroute.operators.unions import stacked
 
 LAYOUT, COORDINATES, ASSAYS = "coverage-runs/1", "spliced transcript, 0-based half-open", ("ribo", "rna")
 FOOTER = "layout string, coordinates string, assay string, trim int, buckets int, n_transcripts long, n_positions long, signals array<string>, id_type string, provenance string"
@@ -96,7 +97,7 @@ def problems(spark: SparkSession, path: str) -> DataFrame:
     if early:
         return spark.createDataFrame([(x, 1) for x in early], "problem string, n long")
     transcripts = spark.read.parquet(f"{path}/transcripts")
-    return transcript_problems(transcripts, found["n_transcripts"], found["n_positions"]).unionByName(run_problems(open_runs(spark, path), transcripts, found["signals"]))
+    return stacked(transcript_problems(transcripts, found["n_transcripts"], found["n_positions"]), run_problems(open_runs(spark, path), transcripts, found["signals"]))
 
 
 def transcript_problems(transcripts: DataFrame, n_transcripts: int, n_positions: int) -> DataFrame:
