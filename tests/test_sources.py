@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinroute.operators import categories, locus, scan
+from twinroute.operators import categories, cohort, locus, qc, scan
 from twinroute.sources import readers, sinks
 from twinroute.streaming import increment, pending
 
@@ -144,3 +144,35 @@ def test_scans_fail_with_all_that_is_wrong(spark):
     with pytest.raises(Exception, match="without NH: r9"):
         scan.genome(raw).collect()
     assert scan.genome(raw.withColumn("flag", F.lit(256))).count() == 1
+
+
+def test_manifest_paths_and_templates(spark, tmp_path: Path):
+    (tmp_path / "a.bam").write_text("x")
+    m = spark.createDataFrame([("1", "a", "", None), ("1", "b", " a.bam ", str(tmp_path / "a.bam")), ("1", "c", "gone.bam", "")], "schema_version string, sample_id string, bam string, rna string")
+    roles = {"bam": "{sample}.bam", "rna": None}
+    got = rows(readers.manifest_paths(m, roles, str(tmp_path)), "sample_id", "role", "path")
+    at = lambda n: f"{tmp_path}/{n}"
+    assert got == sorted([("a", "bam", at("a.bam")), ("a", "rna", None), ("b", "bam", at("a.bam")), ("b", "rna", at("a.bam")), ("c", "bam", at("gone.bam")), ("c", "rna", None)], key=str)
+    found = rows(readers.manifest_problems(m, readers.listing(spark, str(tmp_path)), roles, "1", str(tmp_path)), "sample_id", "problem")
+    assert found == [("a", "no rna"), ("c", "missing or empty bam"), ("c", "no rna")]
+
+
+def test_refusals_name_all_that_is_wrong(spark):
+    master = spark.createDataFrame([("a", 28, "True", 12), ("a", 29, "0", 12), ("b", 28, "false", 12)], "sample string, read_length int, in_phase1 string, psite_offset int")
+    asked = lambda *x: spark.createDataFrame([(s,) for s in x], "sample string")
+    assert rows(qc.selected_lengths(master, asked("a")), "sample", "read_length", "psite_offset") == [("a", 28, 12)]
+    with pytest.raises(Exception, match="samples without read lengths: 2 .b has no selected length, c is absent"):
+        qc.selected_lengths(master, asked("a", "b", "c")).collect()
+    with pytest.raises(Exception, match="without read lengths"):
+        qc.selected_lengths(master, asked("c")).count()
+    scored = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", 2.0)], "k string, score double")
+    assert cohort.without_ties(scored.where("k <> 'z'")).count() == 2
+    with pytest.raises(Exception, match="tied scores: 1 .2.0"):
+        cohort.without_ties(scored).collect()
+    names = spark.createDataFrame([("x", "n1"), ("y", "n1"), ("z", "n2")], "k string, name string")
+    one = scored.where("k IN ('x', 'z')").withColumn("score", F.col("score") + 0.04)
+    assert rows(cohort.panel_table(one, names, "k", ["name"], {"score": 1}), "k", "score", "name") == [("x", 1.0, "n1"), ("z", 2.0, "n2")]
+    with pytest.raises(Exception, match="repeated name: 1 .n1"):
+        cohort.panel_table(scored, names, "k", ["name"], {}).collect()
+    with pytest.raises(Exception, match="no metadata: 1 .y"):
+        cohort.panel_table(scored, names.where("k <> 'y'"), "k", [], {}).collect()

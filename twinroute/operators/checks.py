@@ -61,6 +61,16 @@ def partition_of(df: DataFrame, parts: list[str], total: str) -> Column:
     return reduce(lambda x, y: x + y, (F.col(p) for p in parts)) == F.col(total)
 
 
+def refused(rows: DataFrame, faults: DataFrame, label: str, said: str, shown: int = 10) -> DataFrame:
+    """rows as they are, unless ``faults`` has rows: then the query fails with their number and the first ``shown`` labels."""
+    few = faults.select(F.col(label).cast("string").alias("_l")).withColumn("_part", F.pmod(F.xxhash64("_l"), F.lit(64))).groupBy("_part")
+    parts = few.agg(F.count("*").alias("k"), F.slice(F.sort_array(F.collect_set("_l")), 1, shown).alias("some"))
+    one = parts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("_k"), F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, shown).alias("_some"))
+    fault = F.raise_error(F.concat(F.lit(f"{said}: "), F.col("_k").cast("string"), F.lit(" ("), F.array_join("_some", ", "), F.lit(")"))).cast("boolean")
+    # one row; the test stands in a filter, so no consumer can do without it
+    return rows.join(F.broadcast(one)).where(F.when(F.col("_k") > 0, fault).otherwise(F.lit(True))).drop("_k", "_some")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (n, digest) that does not depend on row order or partitions: sums and xor of row hashes."""
     row = F.xxhash64(*df.columns)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinroute.operators.checks import refused
+from twinroute.operators.unions import stacked
+
 
 def top_per_group(scored: DataFrame, group: str, score: str, tie: str, k: int = 1) -> DataFrame:
     order = Window.partitionBy(group).orderBy(F.desc(score), tie)
@@ -26,9 +29,9 @@ def weighted_score(values: DataFrame, weights: dict[str, float]) -> DataFrame:
     return values.withColumn("score", total)
 
 
-def duplicate_scores(values: DataFrame, group: str) -> DataFrame:
-    """Groups where two rows share a score, which leaves no defined choice."""
-    return values.groupBy(group, "score").agg(F.count("*").alias("n")).where("n > 1")
+def without_ties(values: DataFrame) -> DataFrame:
+    """values, unless two rows share a score, which leaves no defined choice: then the query fails with the scores."""
+    return refused(values, values.groupBy("score").agg(F.count("*").alias("n")).where("n > 1"), "score", "tied scores")
 
 
 def quartiles(values: DataFrame, column: str | Column, by: list[str] | None = None) -> DataFrame:
@@ -45,7 +48,19 @@ def box_stats(values: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 def assemble_panel(base: DataFrame, drop: DataFrame, add: DataFrame, key: str) -> DataFrame:
     """base without the keys of ``drop``, with the rows of ``add``."""
-    return base.join(drop.select(key), key, "left_anti").unionByName(add)
+    return stacked(base.join(drop.select(key), key, "left_anti"), add)
+
+
+def panel_table(panel: DataFrame, metadata: DataFrame, key: str, unique: list[str], places: dict[str, int]) -> DataFrame:
+    """panel with its metadata by key, numbers rounded.
+
+    A key without metadata, and one that a column of ``unique`` has twice, fail the query with all such keys.
+    """
+    out = panel.join(metadata.withColumn("_known", F.lit(True)), key, "left")
+    out = refused(out, out.where("_known IS NULL"), key, "no metadata").drop("_known")
+    for c in unique:
+        out = refused(out, out.groupBy(c).agg(F.count("*").alias("n")).where(f"n > 1 AND `{c}` IS NOT NULL"), c, f"repeated {c}")
+    return out.select(*(F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in out.columns))
 
 
 def highlights(tests: DataFrame, alpha: float = 0.05, effect: float = 1.0) -> DataFrame:

@@ -159,3 +159,20 @@ def t_quantile_975(df: Column) -> Column:
     for power, term in enumerate(terms, 1):
         wide = wide + F.lit(term) / F.pow(df, F.lit(power))
     return F.when(df <= len(T_975), F.get(F.array(*map(F.lit, T_975)), (df - 1).cast("int"))).otherwise(wide)
+
+
+def assay_agreement(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per (sample, route): ribo against RNA over all transcripts of the grid, zeros kept, with each assay's share of reads in a CDS.
+
+    counts: the zero-filled grid (transcript_id, sample, assay, route, n), raw: normalising would divide out what is measured.  totals: (sample, assay,
+    route, n_assigned, n_retained).  An assay without a read, and a side that does not vary, give null coefficients.
+    """
+    from twinroute.operators.concordance import correlations, joint_histogram
+
+    key = ["sample", "route"]
+    side = lambda a: F.coalesce(F.sum(F.when(F.col("assay") == a, F.col("n"))), F.lit(0))
+    pairs = counts.groupBy("transcript_id", *key).agg(side("ribo").alias("g"), side("rna").alias("t"))
+    found = correlations(joint_histogram(pairs, key), key)
+    share = lambda a: F.max(F.when((F.col("assay") == a) & (F.col("n_retained") > 0), F.col("n_assigned") / F.col("n_retained"))).alias(f"{a}_cds_frac")
+    shares = totals.groupBy(*key).agg(share("ribo"), share("rna"))
+    return found.join(shares, key, "left").select(*key, F.col("n").alias("n_transcripts"), "spearman", "pearson", "ribo_cds_frac", "rna_cds_frac")

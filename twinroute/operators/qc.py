@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinroute.functions.columns import text_bool
 from twinroute.operators import intervals
 
 KEY = ["sample", "qlen"]
@@ -96,11 +97,18 @@ def periodicity(frames: DataFrame, least: float = 50.0) -> DataFrame:
     return out.withColumn("periodic", F.col("frame0_pct") >= least)
 
 
-def selected_lengths(master: DataFrame) -> DataFrame:
-    """(sample, read_length, psite_offset) that a QC master selects; small enough to be broadcast."""
-    from twinroute.functions.columns import text_bool
+def selected_lengths(master: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sample, read_length, psite_offset) that a QC master selects (``in_phase1``, as text or boolean) for the samples asked for.
 
-    return master.where(text_bool(F.col("in_phase1")) & text_bool(F.col("periodic"))).select("sample", "read_length", "psite_offset")
+    All samples that the master lacks, or for which it selects nothing, are refused at once: the query fails with their names.
+    """
+    from twinroute.operators.checks import refused, require_columns
+
+    known = require_columns(master, ["sample", "read_length", "in_phase1", "psite_offset"], "QC master")
+    wanted = known.where(text_bool(F.col("in_phase1"))).join(asked.select("sample").distinct(), "sample", "left_semi")
+    state = asked.select("sample").distinct().join(known.groupBy("sample").agg(F.count_if(text_bool(F.col("in_phase1"))).alias("n")), "sample", "left")
+    bad = state.where(F.coalesce("n", F.lit(0)) == 0).select(F.concat("sample", F.when(F.col("n").isNull(), " is absent").otherwise(" has no selected length")).alias("fault"))
+    return refused(wanted.select("sample", F.col("read_length").cast("int").alias("read_length"), F.col("psite_offset").cast("int").alias("psite_offset")), bad, "fault", "samples without read lengths")
 
 
 def paired_selection(genome: DataFrame, txome: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinroute.functions import columns as c
-from twinroute.operators import alignments, categories, coords, coverage, genes, intervals, locus, scan
+from twinroute.operators import alignments, annotate, categories, cohort, coords, counts, coverage, genes, intervals, locus, qc, scan
 from twinroute.plans import position_queries as pq
+from twinroute.plans import read_queries
 from twinroute.plans.read_queries import CELLS_SQL, OMIT_SQL, PARTITION_SQL, SELECTED_SQL, TAXONOMY_SQL, TIED_SQL, WIDTH, inputs, partition, rounded
-from twinroute.plans.views import cte, view
+from twinroute.plans.views import cte, table, view
 from twinroute.sources import partition_record
 
 QUERIES: dict = {}
@@ -346,3 +347,60 @@ def gene_entry(spark, d):
     dump = partition(spark, d).join(selected, "gene_id").select("sample", "gene_id", "transcript_id", "read_id", "segment")
     texts = partition_record.to_text(partition_record.entries(dump, genes.SEGMENTS, ["sample"]))
     return rounded(partition_record.tidy(partition_record.from_text(texts, genes.SEGMENTS), _LABELS, ["sample"]), "pct_of_union")
+
+
+# ---- read lengths, assays, panel and totals
+
+@query(
+    "selected_offsets",
+    cte("aln_t") + """, m AS (SELECT sample, qlen AS read_length, count(*) % 3 <> 0 AS ok, CAST(qlen - 15 AS INTEGER) AS off FROM aln_t GROUP BY 1, 2)
+SELECT a.sample, a.qlen, pos + off AS psite, count(*) AS n FROM aln_t a JOIN m ON m.sample = a.sample AND m.read_length = a.qlen WHERE ok GROUP BY 1, 2, 3""",
+)
+def selected_offsets(spark, d):
+    """P-sites by the read lengths and offsets that a QC master selects; a sample without any would stop the query."""
+    aln = view(spark, d, "aln_t")
+    counted = aln.groupBy("sample", F.col("qlen").alias("read_length")).agg(F.count("*").alias("n"))
+    master = counted.select("sample", "read_length", F.when(F.col("n") % 3 != 0, " True").otherwise("0").alias("in_phase1"), (F.col("read_length") - 15).alias("psite_offset"))
+    chosen = qc.selected_lengths(master, aln.select("sample"))
+    placed = aln.withColumnRenamed("qlen", "read_length").join(F.broadcast(chosen), ["sample", "read_length"])  # a row a library and length
+    return placed.groupBy("sample", F.col("read_length").alias("qlen"), (F.col("pos") + F.col("psite_offset")).alias("psite")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "assay_agreement",
+    cte("counts_long") + pq.COUNT_SQL + """, ar AS (SELECT sample, route, transcript_id, sum(n) FILTER (WHERE assay = 'ribo') AS g, sum(n) FILTER (WHERE assay = 'rna') AS t FROM cnt GROUP BY 1, 2, 3),
+fr AS (SELECT sample, route, assay, sum(n) FILTER (WHERE transcript_id % 4 <> 0) / sum(n) AS f FROM cnt GROUP BY 1, 2, 3 HAVING sum(n) > 0),
+o AS """ + pq.corr_sql("ar", "sample, route", "true") + """ SELECT o.sample, o.route, o.n AS n_transcripts, spearman, pearson, round(a.f, 9) AS ribo_cds_frac, round(b.f, 9) AS rna_cds_frac FROM o LEFT JOIN fr a ON a.sample = o.sample AND a.route = o.route AND a.assay = 'ribo' LEFT JOIN fr b ON b.sample = o.sample AND b.route = o.route AND b.assay = 'rna'""",
+)
+def assay_agreement(spark, d):
+    grid = pq.grid_counts(spark, d)
+    totals = grid.groupBy("sample", "assay", "route").agg(F.coalesce(F.sum(F.when(F.col("transcript_id") % 4 != 0, F.col("n"))), F.lit(0)).alias("n_assigned"), F.sum("n").alias("n_retained"))
+    out = rounded(counts.assay_agreement(grid, totals), "spearman", "pearson", places=6)
+    return rounded(out, "ribo_cds_frac", "rna_cds_frac")
+
+
+@query(
+    "panel_table",
+    """WITH o AS (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1), v AS (SELECT c_nationkey, c_custkey, c_acctbal::DOUBLE AS bal, log10(n) AS lg FROM customer JOIN o USING (c_custkey)), b AS (SELECT min(bal) AS bl, max(bal) AS bh, min(lg) AS ll, max(lg) AS lh FROM v),
+s AS (SELECT c_nationkey, c_custkey, bal, 0.6 * CASE WHEN bh > bl THEN (bal - bl) / (bh - bl) ELSE 0 END + 0.4 * CASE WHEN lh > ll THEN (lg - ll) / (lh - ll) ELSE 0 END + c_custkey * 1e-7 AS score FROM v, b),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY score DESC, c_custkey) = 1)
+SELECT c_custkey, c_nationkey, round(bal, 1) AS bal, round(score, 3) AS score, n_name FROM t JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey <> 3""",
+)
+def panel_table(spark, d):
+    """One customer a nation by a score without ties, one nation dropped, with the nation's name; repeats and absent names would stop the query."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    values = table(spark, d, "customer").join(orders, "c_custkey").select("c_nationkey", "c_custkey", F.col("c_acctbal").cast("double").alias("bal"), F.log10("n").alias("lg"))
+    scored = cohort.weighted_score(cohort.scaled_to_range(values, ["bal", "lg"]), {"bal": 0.6, "lg": 0.4}).withColumn("score", F.col("score") + F.col("c_custkey") * 1e-7)
+    best = cohort.top_per_group(cohort.without_ties(scored.select("c_nationkey", "c_custkey", "bal", "score")), "c_nationkey", "score", "c_custkey", 1).drop("rank")
+    kept = cohort.assemble_panel(best, best.where("c_nationkey = 3"), best.limit(0), "c_nationkey")
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return cohort.panel_table(kept, names, "c_nationkey", ["c_custkey", "n_name"], {"bal": 1, "score": 3}).select("c_custkey", "c_nationkey", "bal", "score", "n_name")
+
+
+@query(
+    "pseudogene_totals",
+    cte("exons") + """, ge AS (SELECT DISTINCT gene_id FROM exons WHERE gene_type = 'protein_coding'), n AS (SELECT gene_id + 2 AS gene_id, count(DISTINCT gene_id) AS n FROM exons WHERE contains(gene_type, 'pseudogene') GROUP BY 1), j AS (SELECT coalesce(n, 0) AS n FROM ge LEFT JOIN n USING (gene_id))
+SELECT 'processed' AS category, CAST(sum(n) AS BIGINT) AS n_pseudogenes, count(*) FILTER (WHERE n > 0) AS n_genes, 1e2 * count(*) FILTER (WHERE n > 0) / count(*) AS pct_genes FROM j UNION ALL SELECT c, 0, 0, 0e0 FROM (VALUES ('unprocessed'), ('other'), ('unclassified')) v(c)""",
+)
+def pseudogene_totals(spark, d):
+    return annotate.pseudogene_totals(read_queries.pseudogene_parents(spark, d))

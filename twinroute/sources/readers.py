@@ -6,11 +6,14 @@ so column pruning and pushed filters decide what is read.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinroute.functions.columns import REGION_LABELS, base_id, sample_of_path, strand_of, walk
 from twinroute.operators.checks import require_columns
+from twinroute.operators.unions import stacked
 from twinroute.sources import schemas
 
 
@@ -104,21 +107,36 @@ def qc_master(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schemas.QC_MASTER)
 
 
-def manifest_problems(manifest: DataFrame, files: DataFrame, paths: list[str], version: str) -> DataFrame:
-    """Every problem of a cohort manifest at once: (sample_id, problem).
+def manifest_paths(manifest: DataFrame, roles: Mapping[str, str | None], root: str = "") -> DataFrame:
+    """(sample_id, role, path) of every sample and role.
+
+    A path that is not absolute lies below ``root``; where the manifest has none, the role's template takes its place (``{sample}`` in it is the
+    sample id), or the path is null where there is no template either.
+    """
+    rows = manifest.select("sample_id", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.nullif(F.trim(F.col(r)), F.lit("")).alias("given"), F.lit(t).cast("string").alias("template")) for r, t in roles.items()))).alias("f")).select("sample_id", "f.*")
+    value = F.coalesce("given", F.replace("template", F.lit("{sample}"), F.col("sample_id")))
+    absolute = value.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)")
+    below = F.concat(F.lit(root.rstrip("/") + "/"), value) if root else value
+    return rows.select("sample_id", "role", F.when(absolute, value).otherwise(below).alias("path"))
+
+
+def manifest_problems(manifest: DataFrame, files: DataFrame, paths: list[str] | Mapping[str, str | None], version: str, root: str = "") -> DataFrame:
+    """Every problem of a cohort manifest at once: (sample_id, problem).  ``paths``: the roles, with their templates if any.
 
     files: (path, length) of what exists, as the binaryFile source lists it without reading contents; that
     source leaves out files without a byte.
     """
-    rows = manifest.select("sample_id", "schema_version", *paths)
+    roles = paths if isinstance(paths, Mapping) else dict.fromkeys(paths)
+    rows = manifest.select("sample_id", "schema_version")
     wrong = rows.where(F.col("schema_version").isNull() | (F.col("schema_version") != version)).select("sample_id", F.lit("schema version").alias("problem"))
     empty = rows.where("sample_id IS NULL OR trim(sample_id) = ''").select("sample_id", F.lit("empty sample id").alias("problem"))
     twice = rows.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1 AND sample_id IS NOT NULL").select("sample_id", F.lit("duplicate sample id").alias("problem"))
-    asked = rows.select("sample_id", F.explode(F.array(*(F.struct(F.lit(p).alias("role"), F.col(p).alias("path")) for p in paths))).alias("f")).select("sample_id", "f.role", "f.path")
+    asked = manifest_paths(manifest, roles, root)
+    unnamed = asked.where("path IS NULL").select("sample_id", F.concat(F.lit("no "), "role").alias("problem"))
     known = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
     found = asked.join(known, "path", "left")
-    missing = found.where("length IS NULL OR length = 0").select("sample_id", F.concat(F.lit("missing or empty "), "role").alias("problem"))
-    return wrong.unionByName(empty).unionByName(twice).unionByName(missing)
+    missing = found.where("path IS NOT NULL AND (length IS NULL OR length = 0)").select("sample_id", F.concat(F.lit("missing or empty "), "role").alias("problem"))
+    return stacked(wrong, empty, twice, unnamed, missing)
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
