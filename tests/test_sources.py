@@ -176,3 +176,26 @@ def test_refusals_name_all_that_is_wrong(spark):
         cohort.panel_table(scored, names, "k", ["name"], {}).collect()
     with pytest.raises(Exception, match="no metadata: 1 .y"):
         cohort.panel_table(scored, names.where("k <> 'y'"), "k", [], {}).collect()
+
+
+def test_consensus_checksums_and_master(spark, tmp_path: Path):
+    import hashlib
+
+    (tmp_path / "c.gtf").write_text('chr1\tx\tgene\t1\t9\t.\t+\t.\tgene_id "P1"; parent_id "G1";\nchr1\tx\tgene\t11\t19\t.\t+\t.\tgene_id "P2";\n')
+    good, bad = readers.consensus_pseudogenes(spark, str(tmp_path / "c.gtf"))
+    assert rows(good, "gene_id", "parent_id", "g_start") == [("P1", "G1", 0)] and rows(bad, "gene_id") == [("P2",)]
+    found = readers.checksums(spark, str(tmp_path / "c.gtf")).collect()[0]
+    assert found["sha256"] == hashlib.sha256((tmp_path / "c.gtf").read_bytes()).hexdigest() and found["length"] == (tmp_path / "c.gtf").stat().st_size
+    names = readers.schemas.QC_MASTER.fieldNames()
+    (tmp_path / "q.csv").write_text(",".join(names) + "\n" + ",".join(["s", "28", "10", "50.0", "true", "12", "60.1", "", "20.0", "false", "9", "5", "2", "2"]) + "\n")
+    master = readers.qc_master(spark, str(tmp_path / "q.csv"))
+    assert rows(master, "sample", "psite_offset", "frame1_pct", "periodic") == [("s", 12, None, False)]
+    assert rows(qc.selected_lengths(master, master.select("sample")), "read_length", "psite_offset") == [(28, 12)]
+
+
+def test_cluster_quality_rises_with_the_right_k(spark):
+    from twinroute.operators import cluster
+
+    data = [(k, *((1.0, 0.0) if k % 3 == 0 else (0.0, 1.0) if k % 3 == 1 else (0.5, 0.5))) for k in range(60)]
+    q = {r["k"]: r for r in cluster.quality(spark.createDataFrame(data, "g int, f_a double, f_b double"), ["a", "b"], range(2, 4)).collect()}
+    assert q[3]["within"] < 1e-9 < q[2]["within"] and abs(q[3]["between_share"] - 1) < 1e-9 and q[3]["silhouette"] > 0.99

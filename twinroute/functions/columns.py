@@ -221,11 +221,3 @@ def number_array(text: Column) -> Column:
 def in_window(start: Column, end: Column, at: Column, to: Column) -> Column:
     """Overlap with the half-open window [at, to)."""
     return (start < to) & (end > at)
-
-
-def first_of(order: Sequence[tuple[Column, str]]) -> Column:
-    """The label of the first true condition."""
-    out = None
-    for when, label in order:
-        out = F.when(when, label) if out is None else out.when(when, label)
-    return out

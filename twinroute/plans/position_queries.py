@@ -44,6 +44,19 @@ def with_cds(transcripts):
     return transcripts.withColumn("cds_start", F.when(coding, F.lit(40))).withColumn("cds_end", F.when(coding, F.col("transcript_len") - 20)).withColumn("has_stop", F.col("transcript_id") % 2 == 0)
 
 
+@query(
+    "genomic_frames",
+    cte("aln_g", "exons") + ORDER_SQL + POINT_SQL + """, w AS (SELECT fh.sample, tx_start, CASE WHEN fh.strand = '-' THEN fh.g_end - 1 - p5 ELSE p5 - fh.g_start END AS k FROM fh JOIN xe ON xe.transcript_id = fh.transcript_id AND xe.g_start = fh.g_start)
+SELECT sample, CAST((tx_start + k) % 3 AS INTEGER) AS frame, count(*) AS n FROM w GROUP BY 1, 2""",
+)
+def genomic_frames(spark, d):
+    """Reading frames of first hits from the exon's own phase: the same as along the spliced transcript."""
+    phased = coords.exon_order(view(spark, d, "exons")).select("transcript_id", "g_start", F.pmod(-F.col("tx_start"), F.lit(3)).alias("phase"))
+    placed = coverage.first_hit(hits(spark, d)).join(phased, ["transcript_id", "g_start"])
+    frame = c.genomic_frame(F.col("p5"), F.col("g_start"), F.col("g_end"), F.col("phase"), F.col("strand"))
+    return placed.groupBy("sample", frame.alias("frame")).agg(F.count("*").alias("n"))
+
+
 @query("exon_cumulative", cte("exons") + ORDER_SQL + " SELECT transcript_id, exon_index, chrom, strand, g_start, g_end, tx_start, tx_end FROM xe")
 def exon_cumulative(spark, d):
     return coords.exon_order(view(spark, d, "exons")).select("transcript_id", "exon_index", "chrom", "strand", "g_start", "g_end", "tx_start", "tx_end")
@@ -453,7 +466,18 @@ def omitted_boxes(spark, d):
     return rounded(cohort.box_stats(found, "omitted_fraction", ["gene_type"]), "p05", "p25", "p50", "p75", "p95")
 
 
-@query("effect_density")
+# bins of 200 a side, a Gaussian of 4 bins cut at 16, one axis after the other, mirrored at the edges
+_PASS = """SELECT CASE WHEN m < 200 THEN m ELSE 399 - m END AS {a}, {b}, sum(v * w) AS v FROM (SELECT ((({a} + d) % 400) + 400) % 400 AS m, {b}, v, w FROM {source}, ker) GROUP BY 1, 2"""
+
+
+@query(
+    "effect_density",
+    cte("counts_long") + COUNT_SQL + """, ed AS (SELECT transcript_id, sample, d_rna, d_ribo FROM dl WHERE d_te IS NOT NULL), bx AS (SELECT min(d_rna) AS xl, max(d_rna) AS xh, min(d_ribo) AS yl, max(d_ribo) AS yh FROM ed),
+eb AS (SELECT ed.*, CASE WHEN xh > xl THEN least(CAST(floor((d_rna - xl) / ((xh - xl) / 200)) AS BIGINT), 199) ELSE 0 END AS ix, CASE WHEN yh > yl THEN least(CAST(floor((d_ribo - yl) / ((yh - yl) / 200)) AS BIGINT), 199) ELSE 0 END AS iy FROM ed, bx),
+k0 AS (SELECT d, exp(-0.5 * (d / 4.0) ** 2) AS w FROM range(-16, 17) r(d)), ker AS (SELECT d, w / (SELECT sum(w) FROM k0) AS w FROM k0), g0 AS (SELECT ix, iy, count(*)::DOUBLE AS v FROM eb GROUP BY 1, 2),
+g1 AS (""" + _PASS.format(a="ix", b="iy", source="g0") + "), g2 AS (" + _PASS.format(a="iy", b="ix", source="g1") + """)
+SELECT transcript_id, sample, round(d_rna, 9) + 0e0 AS d_rna, round(d_ribo, 9) + 0e0 AS d_ribo, round(v, 9) AS density FROM eb JOIN g2 USING (ix, iy)""",
+)
 def effect_density(spark, d):
     """Local density of transcripts in the plane of both effects."""
     known = counts.effects(scaled(spark, d)).where("d_te IS NOT NULL").select("transcript_id", "sample", "d_rna", "d_ribo")
