@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinroute.functions.columns import SUPPLEMENTARY, UNMAPPED, five_prime, flag_set, in_window, is_primary, qualifies
+from twinroute.operators.unions import stacked
 
 READ = ["sample", "read_id"]
 
@@ -70,3 +71,34 @@ def read_state(aln: DataFrame) -> DataFrame:
     place = F.struct("chrom", "pos", "epos", "strand", "score", "is_secondary")
     primary = F.min(F.when(~F.col("is_secondary"), place))
     return aln.groupBy(*READ).agg(primary.alias("primary"), F.max(F.when(~F.col("is_secondary"), F.col("nh"))).alias("nh"), F.sort_array(F.collect_list(place)).alias("placements"))
+
+
+def with_blocks(aln: DataFrame) -> DataFrame:
+    """Placements with ``blocks``; without a CIGAR the placement is one block."""
+    if "blocks" in aln.columns:
+        return aln
+    return aln.withColumn("blocks", F.array(F.struct(F.col("pos").alias("start"), F.col("epos").alias("end"))))
+
+
+def tagged_reads(aln_g: DataFrame, aln_t: DataFrame) -> DataFrame:
+    """Qualifying placements of both routes with what their read is: ``genome`` (unique, multi or null), ``present`` and the placement's number.
+
+    One shuffle by read: ties, places, NH and presence are windows over the same rows.  On the transcriptome route (1) the
+    ``key`` is the transcript and the place its first base, so that one join meets both routes.
+    """
+    aln_g = whole(aln_g)
+    none = lambda kind: F.lit(None).cast(kind)
+    own = ["blocks"] if "blocks" in aln_g.columns else []
+    spans = aln_g.select(*READ, F.lit(0).alias("route"), F.col("chrom").cast("string").alias("key"), "pos", "epos", "strand", "score", "nh", "is_secondary", *own)
+    kinds = {f.name: f.dataType for f in spans.schema.fields}
+    one = {"route": F.lit(1), "key": (F.col("transcript_id") if "transcript_id" in aln_t.columns else none("string")).cast("string"), "pos": F.lit(0), "epos": F.lit(1), "is_secondary": F.lit(False)}
+    other = aln_t.select(*READ, *(one.get(c, none(kinds[c])).cast(kinds[c]).alias(c) for c in spans.columns[2:]))
+    read = Window.partitionBy(*READ)
+    primary = (F.col("route") == 0) & ~F.col("is_secondary")
+    best, least, missing = (f.over(read) for f in (F.max(F.when(primary, F.col("score"))), F.min(F.when(primary, F.col("nh"))), F.count_if(primary & F.col("nh").isNull())))
+    has = F.max(primary.cast("int")).over(read) == 1
+    genome = F.when(missing > 0, F.raise_error(F.lit("primary alignment without NH")).cast("string")).when(has & (least == 1), "unique").when(has, "multi")
+    order = read.orderBy("route", "is_secondary", "key", "pos", "epos", "strand", "score")
+    seen = stacked(spans, other).select("*", F.row_number().over(order).alias("place"), genome.alias("genome"), (F.max("route").over(read) == 1).alias("present"), best.alias("best"), has.alias("has"))
+    top = (F.col("route") == 1) | (F.col("has") & qualifies(F.col("is_secondary"), F.col("score"), F.col("best")))
+    return with_blocks(with_five_prime(seen.where(top).drop("best", "has", "nh")))

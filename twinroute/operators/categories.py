@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from twinroute.functions.columns import biotype_rank, taxonomy_cell
 from twinroute.operators import intervals
-from twinroute.operators.alignments import READ, genome_reads, present_reads, tied_best, with_five_prime
-from twinroute.operators.reuse import shared
+from twinroute.operators.alignments import READ, genome_reads, present_reads, tagged_reads, with_blocks
+from twinroute.operators.unions import stacked
 
 # Fixed names of the cells, tie categories, biotypes and reach classes.
 CELLS = ("sh_u", "go_u", "sh_m", "go_m", "to")
@@ -81,15 +81,23 @@ def numbered(aln: DataFrame) -> DataFrame:
 
 
 def tie_labels(aln_g: DataFrame, aln_t: DataFrame, exons: DataFrame, width: int = intervals.BIN) -> DataFrame:
-    """sample, read_id and tie category (null for none) of multimapped reads that are on the other route too."""
-    population = read_cells(aln_g, aln_t).where("cell = 'sh_m'").select(*READ)
-    places = shared(with_five_prime(numbered(tied_best(aln_g).join(population, READ, "left_semi"))))
-    typed = locus_biotype(places, exons, width=width)
-    tied = F.col("is_secondary") & F.col("qualifies")
+    """sample, read_id and tie category (null for none) of multimapped reads that are on the other route too.
+
+    A shuffle by read tells populations, ties and places; the best-ranked exon type at each place is a grouping by place, and
+    the label one by read.
+    """
+    places = tagged_reads(aln_g, aln_t).where("route = 0 AND genome = 'multi' AND present").select(*READ, "place", F.col("key").alias("chrom"), "p5", "is_secondary")
+    types = exons.select("chrom", "g_start", "g_end", "gene_type").distinct()
+    hit = intervals.point_join(places, types, ["chrom"], "p5", ("g_start", "g_end"), width)
+    kind = F.struct(biotype_rank(F.col("gene_type")).alias("r"), "gene_type")
+    rows = stacked(hit.select(*READ, "place", "is_secondary", kind.alias("kind")), places.select(*READ, "place", "is_secondary"), missing=True)
+    typed = rows.repartition(*READ).groupBy(*READ, "place").agg(F.max("is_secondary").alias("is_secondary"), F.min("kind")["gene_type"].alias("biotype"))
+    # a secondary is only here if it ties with the primary
+    tied = F.col("is_secondary")
     flags = typed.groupBy(*READ).agg(
         F.min(F.when(~F.col("is_secondary"), F.col("biotype"))).alias("p"),
-        F.bool_or(tied & (F.col("biotype") == CODING)).alias("pc"),
-        F.bool_or(tied & (F.col("biotype") == PSEUDO)).alias("pp"),
+        F.bool_or(tied & F.coalesce(F.col("biotype") == CODING, F.lit(False))).alias("pc"),
+        F.bool_or(tied & F.coalesce(F.col("biotype") == PSEUDO, F.lit(False))).alias("pp"),
     )
     pc, pp = F.col("pc"), F.col("pp")
     label = (
@@ -114,60 +122,63 @@ def omitted_exons(exons: DataFrame, selected: DataFrame, width: int | None = Non
     return intervals.subtract(genes.drop("transcript_id"), own.drop("transcript_id"), ["gene_id", "chrom"], width=width)
 
 
-def representability(reads: DataFrame, exons: DataFrame, keys: list[str], width: int = intervals.BIN) -> DataFrame:
-    """keys with ``verdict`` for reads (keys, chrom, strand, transcript_id, blocks).
-
-    All blocks in exons of the transcript on its strand, and consecutive in 5'-3' order: representable.
-    """
-    ordered = exons.select(
-        "transcript_id", "chrom", "strand", "g_start", "g_end", F.row_number().over(Window.partitionBy("transcript_id").orderBy("g_start", "g_end")).alias("x")
+def tagged_exons(exons: DataFrame, selected: DataFrame) -> DataFrame:
+    """Distinct exons (gene_id, chrom, s, e, gene_type) with ``rank`` (selected coding, other coding, pseudogene, other), the gene's selected
+    transcript ``own``, and ``x`` and ``x_strand`` where the exon is that transcript's: its place and strand."""
+    own = exons.join(selected.select("gene_id", F.col("transcript_id").alias("own")), "gene_id", "left")
+    ranked = own.withColumn("_x", F.row_number().over(Window.partitionBy("transcript_id").orderBy("g_start", "g_end")))
+    is_own = F.col("transcript_id") == F.col("own")
+    distinct = ranked.groupBy("gene_id", "chrom", F.col("g_start").alias("s"), F.col("g_end").alias("e"), "gene_type").agg(
+        F.min("own").alias("own"), F.min(F.when(is_own, F.col("_x"))).alias("x"), F.min(F.when(is_own, F.col("strand"))).alias("x_strand")
     )
-    parts = reads.select(*keys, "chrom", "strand", "transcript_id", F.size("blocks").alias("n"), F.posexplode("blocks").alias("k", "b"))
-    spans = parts.select(*keys, "chrom", "strand", "transcript_id", "n", "k", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
-    met = intervals.overlap_join(spans, ordered, ["transcript_id", "chrom", "strand"], ("b_start", "b_end"), ("g_start", "g_end"), width)
-    held = met.where("g_start <= b_start AND b_end <= g_end").groupBy(*keys, "n", "k").agg(F.min("x").alias("x"))
-    # one step up in the genome is one step in the transcript on either strand
-    steps = held.groupBy(*keys, "n").agg(F.count("*").alias("held"), F.count_distinct(F.col("x") - F.col("k")).alias("steps")).where("held = n")
-    verdict = F.when(F.col("steps").isNull(), "nonselected_isoform_exon").when(F.col("steps") == 1, "representable_not_present_in_dedup_bam").otherwise("splice_junction_absent")
-    return reads.select(*keys).distinct().join(steps, keys, "left").select(*keys, verdict.alias("verdict"))
+    rank = F.when((F.col("gene_type") == CODING) & F.col("own").isNotNull(), 0).when(F.col("gene_type") == CODING, 1).when(F.col("gene_type").contains("pseudogene"), 2).otherwise(3)
+    return distinct.withColumn("rank", rank)
+
 
+def inside_blocks() -> Column:
+    """The blocks that [s, e) holds, as (k, x): the block's place and the exon's."""
+    all_ = F.transform("blocks", lambda b, k: F.struct(k.alias("k"), ((F.col("s") <= b["start"]) & (b["end"] <= F.col("e"))).alias("ok"), F.col("x").alias("x")))
+    return F.transform(F.filter(all_, lambda q: q["ok"]), lambda q: F.struct(q["k"].alias("k"), q["x"].alias("x")))
 
-def with_blocks(aln: DataFrame) -> DataFrame:
-    """Placements with ``blocks``; without a CIGAR the placement is one block."""
-    if "blocks" in aln.columns:
-        return aln
-    return aln.withColumn("blocks", F.array(F.struct(F.col("pos").alias("start"), F.col("epos").alias("end"))))
+
+def fits_transcript(fit: Column, n_blocks: Column) -> Column:
+    """Verdict from the blocks that a transcript's exons hold: each block's first exon, and one step up in the genome as one step in the transcript."""
+    steps = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.array_min(F.transform(F.filter(fit, lambda q: q["k"] == k), lambda q: q["x"])) - k)
+    return F.when(F.exists(steps, lambda v: v.isNull()), "nonselected_isoform_exon").when(F.size(F.array_distinct(steps)) == 1, "representable_not_present_in_dedup_bam").otherwise("splice_junction_absent")
 
 
 def reach_labels(reads: DataFrame, exons: DataFrame, selected: DataFrame, width: int = intervals.BIN) -> DataFrame:
     """sample, read_id, label (one of ``REACH``) of unique genome reads; and the overlap with omitted exons.
 
-    Genes at the read's span are taken in the order selected coding, other coding, pseudogene, other; ties by gene id.
+    Genes at the read's span are taken in the order selected coding, other coding, pseudogene, other; ties by gene id.  One interval
+    join against exons, gene bodies and omitted sequence together, and one grouping by read.
     """
     reads = with_blocks(reads)
-    spans = reads.select(*READ, "chrom", "pos", "epos")
-    typed = exons.select("chrom", "g_start", "g_end", "gene_id", "gene_type").join(selected.select("gene_id", F.col("transcript_id").alias("own")), "gene_id", "left")
-    rank = F.when((F.col("gene_type") == CODING) & F.col("own").isNotNull(), 0).when(F.col("gene_type") == CODING, 1).when(F.col("gene_type").contains("pseudogene"), 2).otherwise(3)
-    hit = intervals.overlap_join(spans, typed, ["chrom"], ("pos", "epos"), ("g_start", "g_end"), width)
-    best = hit.groupBy(*READ).agg(F.min(F.struct(rank.alias("rank"), "gene_id", "own")).alias("best")).select(*READ, "best.rank", "best.own")
-    rest = spans.join(best, READ, "left_anti")
-    body = intervals.merge(gene_bodies(exons), ["chrom"], "b_start", "b_end")
-    inside = intervals.overlap_join(rest, body, ["chrom"], ("pos", "epos"), ("b_start", "b_end"), width).select(*READ).distinct().withColumn("in_body", F.lit(True))
-    coding = reads.join(best.where("rank = 0").select(*READ, F.col("own").alias("transcript_id")), READ)
-    verdicts = representability(coding.select(*READ, "chrom", "strand", "transcript_id", "blocks"), exons, READ, width)
-    omitted = intervals.merge(omitted_exons(exons, selected).drop("gene_id"), ["chrom"])
-    block = reads.select(*READ, "chrom", F.explode("blocks").alias("b")).select(*READ, "chrom", F.col("b.start").alias("pos"), F.col("b.end").alias("epos"))
-    crossing = intervals.overlap_join(block, omitted, ["chrom"], ("pos", "epos"), ("start", "end"), width).select(*READ).distinct().withColumn("on_omitted", F.lit(True))
-    joined = spans.select(*READ).join(best, READ, "left").join(inside, READ, "left").join(verdicts, READ, "left").join(crossing, READ, "left")
+    bodies = intervals.merge(gene_bodies(exons), ["chrom"], "b_start", "b_end").select("chrom", F.col("b_start").alias("s"), F.col("b_end").alias("e"))
+    omitted = intervals.merge(omitted_exons(exons, selected).drop("gene_id"), ["chrom"]).select("chrom", F.col("start").alias("s"), F.col("end").alias("e"))
+    spans = stacked(tagged_exons(exons, selected).withColumn("role", F.lit("exon")), bodies.withColumn("role", F.lit("body")), omitted.withColumn("role", F.lit("omitted")), missing=True)
+    here = reads.select(*READ, "chrom", "strand", "pos", "epos", "blocks")
+    met = intervals.overlap_join(here, spans, ["chrom"], ("pos", "epos"), ("s", "e"), width)
+    is_ = lambda role: F.col("role") == role
+    own = F.when(is_("exon") & F.col("x").isNotNull() & (F.col("x_strand") == F.col("strand")), F.transform(inside_blocks(), lambda q: F.struct(F.col("own").alias("own"), q["k"].alias("k"), q["x"].alias("x"))))
+    facts = met.select(
+        *READ, F.when(is_("exon"), F.struct("rank", "gene_id", "own")).alias("best"), is_("body").alias("in_body"),
+        (is_("omitted") & F.exists("blocks", lambda b: (b["start"] < F.col("e")) & (F.col("s") < b["end"]))).alias("on_omitted"), own.alias("fit"), F.size("blocks").alias("n_blocks"),
+    )
+    whole = stacked(facts, reads.select(*READ), missing=True).groupBy(*READ).agg(
+        F.min("best").alias("best"), F.coalesce(F.bool_or("in_body"), F.lit(False)).alias("in_body"), F.coalesce(F.bool_or("on_omitted"), F.lit(False)).alias("on_omitted"),
+        F.flatten(F.collect_list("fit")).alias("fit"), F.max("n_blocks").alias("n_blocks"),
+    )
+    mine = F.filter("fit", lambda q: q["own"] == F.col("best.own"))
     label = (
-        F.when(F.col("rank") == 0, F.coalesce("verdict", F.lit("other_unclassified")))
-        .when(F.col("rank") == 1, "protein_coding_gene_omitted")
-        .when(F.col("rank") == 2, "pseudogene")
-        .when(F.col("rank") == 3, "non_protein_coding_gene")
+        F.when(F.col("best.rank") == 0, fits_transcript(mine, F.col("n_blocks")))
+        .when(F.col("best.rank") == 1, "protein_coding_gene_omitted")
+        .when(F.col("best.rank") == 2, "pseudogene")
+        .when(F.col("best.rank") == 3, "non_protein_coding_gene")
         .when(F.col("in_body"), "intronic")
         .otherwise("intergenic")
     )
-    return joined.select(*READ, label.alias("label"), F.coalesce("on_omitted", F.lit(False)).alias("on_omitted"))
+    return whole.select(*READ, label.alias("label"), "on_omitted")
 
 
 def genome_only_unique(aln_g: DataFrame, aln_t: DataFrame) -> DataFrame:
@@ -177,8 +188,9 @@ def genome_only_unique(aln_g: DataFrame, aln_t: DataFrame) -> DataFrame:
 
 
 def reach_rows(aln_g: DataFrame, aln_t: DataFrame, exons: DataFrame, selected: DataFrame, width: int = intervals.BIN) -> DataFrame:
-    cells = read_cells(aln_g, aln_t).where("genome = 'unique'").groupBy("sample").agg(F.count("*").alias("n_genome_unique"), F.count_if("present").alias("n_sh_u"), F.count_if(~F.col("present")).alias("n_go_u"))
-    labels = reach_labels(shared(genome_only_unique(aln_g, aln_t)), exons, selected, width)
+    unique = tagged_reads(aln_g, aln_t).where("route = 0 AND place = 1 AND genome = 'unique'").withColumnRenamed("key", "chrom")
+    cells = unique.groupBy("sample").agg(F.count("*").alias("n_genome_unique"), F.count_if("present").alias("n_sh_u"), F.count_if(~F.col("present")).alias("n_go_u"))
+    labels = reach_labels(unique.where("NOT present"), exons, selected, width)
     counted = labels.groupBy("sample").agg(*(F.count_if(F.col("label") == c).alias(f"n_{c}") for c in REACH), F.count_if("on_omitted").alias("n_omitted_exon_overlap"))
     joined = cells.join(counted, "sample", "left").fillna(0)
     return joined.select("*", *(share(F.col(f"n_{c}"), F.col("n_go_u")).alias(f"pct_{c}") for c in (*REACH, "omitted_exon_overlap")))

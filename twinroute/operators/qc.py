@@ -82,6 +82,11 @@ def psite_offsets(grid: DataFrame, default: int = 12, flank: int = 6, codons: in
     return found.select(*KEY, F.when(F.coalesce("top", F.lit(0)) == 0, default).otherwise(F.coalesce(-F.col("at"), F.lit(default))).cast("int").alias("offset"))
 
 
+def assigned_inside(points: DataFrame, position: str, total: Column) -> DataFrame:
+    """Points whose position lies on the CDS, [0, total)."""
+    return points.where((F.col(position) >= 0) & (F.col(position) < total))
+
+
 def frame_counts(points: DataFrame, position: str) -> DataFrame:
     """Counts and shares of the three frames of ``position`` (relative to the CDS) by library and length."""
     frame = F.pmod(F.col(position), F.lit(3))

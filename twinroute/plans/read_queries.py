@@ -153,8 +153,8 @@ f AS (SELECT sample, qlen, count(*) AS n, count(*) FILTER (WHERE (pos - 18) % 3
 SELECT *, 1e2 * n_frame0 / n AS pct_frame0, 1e2 * n_frame1 / n AS pct_frame1, 1e2 * n_frame2 / n AS pct_frame2 FROM f""",
 )
 def frame_counts(spark, d):
-    points = view(spark, d, "aln_t").withColumn("rel", F.col("pos") + 12 - 30).where("rel >= 0 AND rel < 60")
-    return qc.frame_counts(points, "rel")
+    points = view(spark, d, "aln_t").withColumn("rel", F.col("pos") + 12 - 30)
+    return qc.frame_counts(qc.assigned_inside(points, "rel", F.lit(60)), "rel")
 
 
 @query(
