@@ -262,7 +262,7 @@ def test_correlations_equal_dense_ranks(spark):
     positions = spark.createDataFrame([("a", 77), ("two", 2), ("flat", 5)], "key string, n_positions long")
     pts = spark.createDataFrame(data, "key string, g long, t long")
     hist = concordance.joint_histogram(pts, ["key"])
-    got = {r["key"]: r for r in concordance.correlations(hist.unionByName(concordance.zero_block(hist, ["key"], positions)), ["key"]).collect()}
+    got = {r["key"]: r for r in concordance.correlations(concordance.with_zero_block(hist, ["key"], positions), ["key"]).collect()}
     x, y = [g for k, g, _ in data if k == "a"] + [0] * 17, [t for k, _, t in data if k == "a"] + [0] * 17
     assert got["a"]["n"] == 77 and abs(got["a"]["spearman"] - pearson(ranks(x), ranks(y))) < 1e-12
     assert abs(got["a"]["pearson"] - pearson([math.log2(v + 1) for v in x], [math.log2(v + 1) for v in y])) < 1e-12

@@ -7,27 +7,31 @@ positions that are zero on both routes is one row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinroute.operators.unions import stacked
-
 
 def joint_histogram(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, g, t, w) of points (keys, g, t)."""
     return points.groupBy(*keys, "g", "t").agg(F.count("*").alias("w"))
 
 
-def zero_block(hist: DataFrame, keys: list[str], positions: DataFrame) -> DataFrame:
-    """The row of positions without any value of each key: what the histogram lacks of n_positions.
+def with_zero_block(hist: DataFrame, keys: list[str], positions: DataFrame) -> DataFrame:
+    """hist with a row (0, 0) for the positions of each key that have no value: what the histogram lacks of n_positions.
 
-    positions: n_positions by some of the keys, or one row for all.
+    positions: n_positions by some of the keys, or one row for all.  The first row of a key brings the block along, so the
+    histogram is read once.
     """
     on = [k for k in keys if k in positions.columns]
-    sums = hist.groupBy(*keys).agg(F.sum("w").alias("_n"))
-    joined = sums.join(positions, on) if on else sums.join(F.broadcast(positions))
-    zero = F.lit(0).cast("long")
-    return joined.select(*keys, zero.alias("g"), zero.alias("t"), (F.col("n_positions") - F.col("_n")).cast("long").alias("w")).where("w > 0")
+    key = Window.partitionBy(*keys)
+    summed = hist.withColumn("_n", F.sum("w").over(key)).withColumn("_k", F.row_number().over(key.orderBy("g", "t")))
+    joined = summed.join(positions, on) if on else summed.join(F.broadcast(positions))
+    part = lambda g, t, w: F.struct(g.cast("long").alias("g"), t.cast("long").alias("t"), w.cast("long").alias("w"))
+    lack = F.col("n_positions") - F.col("_n")
+    block = F.when((F.col("_k") == 1) & (lack > 0), part(F.lit(0), F.lit(0), lack))
+    return joined.select(*keys, F.explode(F.array_compact(F.array(part(F.col("g"), F.col("t"), F.col("w")), block))).alias("_r")).select(*keys, "_r.*")
 
 
 def _weighted_corr(x: Column, y: Column, w: Column) -> tuple[Column, ...]:
@@ -42,8 +46,8 @@ def _corr(name: str) -> Column:
     return F.when((n > 2) & (vx > 1e-9 * n * F.abs(sxx)) & (vy > 1e-9 * n * F.abs(syy)), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
-def correlations(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, spearman, pearson) of a joint histogram; Pearson is of log2(x + 1).
+def correlations(hist: DataFrame, keys: list[str], more: Sequence[Column] = ()) -> DataFrame:
+    """(keys, n, spearman, pearson) of a joint histogram, and ``more`` aggregates of its rows; Pearson is of log2(x + 1).
 
     Average ranks are windows over the histogram's own rows: the weight up to a value less half its ties.  One
     shuffle by key; rows of equal (g, t) may repeat.
@@ -62,8 +66,8 @@ def correlations(hist: DataFrame, keys: list[str]) -> DataFrame:
     sums = []
     for name, (x, y) in (("s", (F.col("_rg"), F.col("_rt"))), ("p", logs)):
         sums += [c.alias(f"{name}_{k}") for k, c in zip(("n", "x", "y", "xx", "yy", "xy"), _weighted_corr(x, y, w), strict=True)]
-    found = both.groupBy(*keys).agg(*sums)
-    return found.select(*keys, F.col("s_n").cast("long").alias("n"), _corr("s").alias("spearman"), _corr("p").alias("pearson"))
+    found = both.groupBy(*keys).agg(*sums, *more)
+    return found.select(*keys, F.col("s_n").cast("long").alias("n"), _corr("s").alias("spearman"), _corr("p").alias("pearson"), *found.columns[len(keys) + len(sums) :])
 
 
 POPULATIONS = {"inter": "g > 0 AND t > 0", "union": "g > 0 OR t > 0", "all": "true"}
@@ -74,17 +78,15 @@ def pooled(points: DataFrame, keys: list[str], positions: DataFrame) -> DataFram
 
     The populations are tags on the rows of one histogram, so each route is ranked in one pass.
     """
-    hist = joint_histogram(points, keys)
+    hist = with_zero_block(joint_histogram(points, keys), keys, positions)
     tags = F.explode(F.array_compact(F.array(*(F.when(F.expr(when), F.lit(name)) for name, when in POPULATIONS.items())))).alias("population")
-    tagged = stacked(hist, zero_block(hist, keys, positions)).select(*keys, "g", "t", "w", tags)
-    found = correlations(tagged, [*keys, "population"])
+    only = lambda when: F.coalesce(F.sum(F.when(F.expr(when), F.col("w"))), F.lit(0))
+    sides = {"n_bases_g_only": "g > 0 AND t = 0", "n_bases_t_only": "g = 0 AND t > 0"}
+    found = correlations(hist.select(*keys, "g", "t", "w", tags), [*keys, "population"], [only(when).alias(name) for name, when in sides.items()])
     of = lambda name, c: F.max(F.when(F.col("population") == name, F.col(c)))
-    wide = found.groupBy(*keys).agg(
-        *(F.coalesce(of(p, "n"), F.lit(0)).alias(f"n_bases_{p}") for p in POPULATIONS), *(of(p, c).alias(f"{c}_{p}") for p in POPULATIONS for c in ("spearman", "pearson"))
+    return found.groupBy(*keys).agg(
+        *(of("all", c).alias(c) for c in sides), *(F.coalesce(of(p, "n"), F.lit(0)).alias(f"n_bases_{p}") for p in POPULATIONS), *(of(p, c).alias(f"{c}_{p}") for p in POPULATIONS for c in ("spearman", "pearson"))
     )
-    only = lambda when: F.coalesce(F.sum(F.when(F.expr(when), F.col("w"))), F.lit(0))
-    sides = hist.groupBy(*keys).agg(only("g > 0 AND t = 0").alias("n_bases_g_only"), only("g = 0 AND t > 0").alias("n_bases_t_only"))
-    return sides.join(wide, keys)
 
 
 def paired_points(genome: DataFrame, txome: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinroute.functions import columns as c
-from twinroute.operators import alignments, checks, cluster, cohort, concordance, coords, counts, coverage, intervals, locus, qc
+from twinroute.operators import alignments, checks, cluster, cohort, concordance, coords, counts, coverage, locus, qc
 from twinroute.plans import position_queries as pq
 from twinroute.plans.position_queries import COUNT_SQL, ORDER_SQL, POINT_SQL, TX_SQL
 from twinroute.plans.read_queries import WIDTH, rounded
@@ -188,10 +188,10 @@ def highlights(spark, d):
     return cohort.highlights(counts.bh_adjusted(pq.tests(spark, d)), 0.6, 0.1).select("transcript_id", "highlight")
 
 
-@query("effect_ranks", cte("counts_long") + COUNT_SQL + " SELECT transcript_id, row_number() OVER (ORDER BY round(mean, 9), transcript_id) AS rank, round(mean, 7) + 0e0 AS mean FROM tt")
+@query("effect_ranks", cte("counts_long") + COUNT_SQL + " SELECT transcript_id, row_number() OVER (ORDER BY round(mean, 9), transcript_id) AS rank, round(mean, 9) + 0e0 AS mean FROM tt")
 def effect_ranks(spark, d):
     found = cohort.ranked_band(pq.tests(spark, d).withColumn("mean", F.round("mean", 9)))
-    return rounded(found.select("transcript_id", F.col("rank").cast("long").alias("rank"), "mean"), "mean", places=7)
+    return rounded(found.select("transcript_id", F.col("rank").cast("long").alias("rank"), "mean"), "mean")
 
 
 @query(

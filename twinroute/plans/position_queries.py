@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from twinroute.functions import columns as c
 from twinroute.operators import alignments, annotate, cluster, cohort, concordance, coords, counts, coverage, genes, intervals, locus
-from twinroute.operators.unions import stacked
 from twinroute.plans.read_queries import SELECTED_SQL, WIDTH, gene_counts5, inputs, rounded
 from twinroute.plans.views import cte, table, view
 
@@ -241,7 +240,7 @@ def transcript_concordance(spark, d):
     of_key = Window.partitionBy(*key)
     covered = pts.withColumn("_a", F.sum("g").over(of_key)).withColumn("_b", F.sum("t").over(of_key)).where("_a > 0 AND _b > 0")
     hist = concordance.joint_histogram(covered, key)
-    return rounded(concordance.correlations(stacked(hist, concordance.zero_block(hist, key, positions)), key), "spearman", "pearson", places=6)
+    return rounded(concordance.correlations(concordance.with_zero_block(hist, key, positions), key), "spearman", "pearson", places=6)
 
 
 @query(
