@@ -31,13 +31,24 @@ def _text(c: str):
 def entries(dump: DataFrame, segments: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, gene_id, transcript_id, n_union, counts) of a dump (by, gene_id, transcript_id, read_id, segment); counts has every segment.
 
-    A read that a gene has twice and a segment that is not one of the seven fail the query.
+    A read that a gene has twice and a segment that is not one of the seven fail the query.  A dump with ``n`` instead of read_id is
+    counted already.
     """
     keys = [*by, "gene_id", "transcript_id"]
+    if "read_id" not in dump.columns:
+        return _counted(require_columns(dump, [*keys, "segment", "n"], "dump"), _known("segment", segments), F.col("n"), keys, segments)
     once = require_columns(dump, [*keys, "read_id", "segment"], "dump").groupBy(*keys, "read_id").agg(F.count("*").alias("_k"), F.min("segment").alias("segment"))
-    known = F.when(F.col("_k") > 1, _failed("gene ", _text("gene_id"), ": a read is in the dump more than once", kind="string")).when(F.col("segment").isin(*segments), F.col("segment"))
-    checked = F.coalesce(known, _failed("gene ", _text("gene_id"), ": unknown segment ", _text("segment"), kind="string"))
-    counted = once.select(*keys, checked.alias("segment")).groupBy(*keys).agg(F.count("*").alias("n_union"), *(F.count_if(F.col("segment") == s).alias(s) for s in segments))
+    twice = F.when(F.col("_k") > 1, _failed("gene ", _text("gene_id"), ": a read is in the dump more than once", kind="string"))
+    return _counted(once, F.coalesce(twice, _known("segment", segments)), F.lit(1), keys, segments)
+
+
+def _known(c: str, segments: Sequence[str]):
+    return F.coalesce(F.when(F.col(c).isin(*segments), F.col(c)), _failed("gene ", _text("gene_id"), ": unknown segment ", _text(c), kind="string"))
+
+
+def _counted(dump: DataFrame, checked, n, keys: Sequence[str], segments: Sequence[str]) -> DataFrame:
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("segment") == s, F.col("_n"))), F.lit(0)).cast("long").alias(s)
+    counted = dump.select(*keys, checked.alias("segment"), n.alias("_n")).groupBy(*keys).agg(F.sum("_n").cast("long").alias("n_union"), *(of(s) for s in segments))
     return counted.select(*keys, "n_union", F.create_map(*(x for s in segments for x in (F.lit(s), F.col(s)))).alias("counts"))
 
 
