@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from twinroute.operators import genes
+from twinroute.operators import alignments, counts, coverage, genes, intervals
 from twinroute.plans import views
 
 
@@ -46,3 +47,25 @@ def test_classes_meet_each_kind_once(spark, deep):
     classes, members = genes.gene_classes(spans)
     assert members.count() == exons.select("gene_id").distinct().count()
     assert 2 * classes.count() == spans.count()
+
+
+def test_end_hits_are_two_rows_at_most(spark, deep):
+    g, _, exons = deep
+    points = alignments.with_five_prime(g.where("NOT is_secondary")).select("sample", "read_id", "chrom", "strand", "p5")
+    hits, ends = coverage.point_hits(points, exons, width=256), coverage.end_hits(points, exons, width=256)
+    assert ends.groupBy("sample", "read_id").count().agg(F.max("count")).first()[0] <= 2
+    same(coverage.first_hit(ends), coverage.first_hit(hits))
+    same(counts.count_totals(ends, points), counts.count_totals(hits, points))
+
+
+def test_best_overlap_and_totals_equal_the_pairs(spark, deep):
+    g, _, exons = deep
+    blocks = g.where("NOT is_secondary").select("sample", "read_id", "chrom", "strand", "pos", "epos")
+    # two blocks for some reads
+    blocks = blocks.unionByName(blocks.where("read_id % 3 = 0").withColumn("pos", F.col("epos") + 50).withColumn("epos", F.col("epos") + 60))
+    sums = coverage.overlap_sums(blocks, exons, 256)
+    top = sums.withColumn("top", F.max("n_overlap").over(Window.partitionBy("sample", "read_id"))).groupBy("sample", "read_id").agg(F.count("*").alias("n_transcripts"), F.count_if(F.col("n_overlap") == F.col("top")).alias("n_tied"))
+    same(coverage.best_overlap(blocks, exons, 256), coverage.max_overlap(sums).join(top, ["sample", "read_id"]))
+    met = intervals.overlap_join(blocks, exons, ["chrom", "strand"], ("pos", "epos"), ("g_start", "g_end"), 256)
+    size = intervals.overlap_length(F.col("pos"), F.col("epos"), F.col("g_start"), F.col("g_end"))
+    same(coverage.transcript_overlaps(blocks, exons, 512), met.groupBy("sample", "transcript_id").agg(F.count("*").alias("n_pairs"), F.sum(size).alias("n_bases")))

@@ -23,6 +23,21 @@ def point_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width
     return intervals.point_join(points, right, on, "p5", ("g_start", "g_end"), width)
 
 
+def end_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width: int = intervals.BIN) -> DataFrame:
+    """Of each point's hits the one that the tie rule takes and one on the greatest transcript, if that is another: two rows at most.
+
+    Enough for first hits and for whether there are several transcripts, and it does not grow with how many exons lie at a
+    point.  Equal exons meet each distinct point once; a read takes what its point has.
+    """
+    on = ["chrom", "strand"] if stranded else ["chrom"]
+    spans = exons.groupBy(*on, "g_start", "g_end").agg(F.min(F.struct("transcript_id", "gene_id")).alias("lo"), F.max(F.struct("transcript_id", "gene_id")).alias("hi"))
+    met = intervals.point_join(points.select(*on, "p5").distinct(), spans, on, "p5", ("g_start", "g_end"), width)
+    row = lambda c: F.struct(F.col(f"{c}.transcript_id").alias("transcript_id"), "g_start", F.col(f"{c}.gene_id").alias("gene_id"), "g_end")
+    at = met.groupBy(*on, "p5").agg(F.min(row("lo")).alias("_lo"), F.max(row("hi")).alias("_hi"))
+    ends = F.when(F.col("_lo.transcript_id") == F.col("_hi.transcript_id"), F.array("_lo")).otherwise(F.array("_lo", "_hi"))
+    return points.join(at.select(*on, "p5", ends.alias("_ends")), [*on, "p5"]).withColumn("_hit", F.explode("_ends")).select(*points.columns, "_hit.*")
+
+
 def first_hit(hits: DataFrame) -> DataFrame:
     """One hit per read by the tie rule."""
     names = [c for c in hits.columns if c not in (*READ, "transcript_id", "g_start")]
@@ -32,9 +47,9 @@ def first_hit(hits: DataFrame) -> DataFrame:
 
 def two_stage(points: DataFrame, first: DataFrame, second: DataFrame, width: int = intervals.BIN) -> DataFrame:
     """First hits on ``first`` (CDS exons); only reads without one try ``second`` (all exons).  ``stage`` says which."""
-    one = first_hit(point_hits(points, first, width=width)).withColumn("stage", F.lit(1))
+    one = first_hit(end_hits(points, first, width=width)).withColumn("stage", F.lit(1))
     rest = points.join(one.select(*READ), READ, "left_anti")
-    two = first_hit(point_hits(rest, second, width=width)).withColumn("stage", F.lit(2))
+    two = first_hit(end_hits(rest, second, width=width)).withColumn("stage", F.lit(2))
     return stacked(one, two)
 
 
@@ -52,18 +67,63 @@ def max_overlap(sums: DataFrame) -> DataFrame:
     return sums.groupBy(*READ).agg(best).select(*READ, (-F.col("b.least")).alias("transcript_id"), F.col("b.n_overlap").alias("n_overlap"))
 
 
-def exposure(hits: DataFrame, sums: DataFrame) -> DataFrame:
-    """How many reads the tie rules decide: point candidates and tied overlaps by sample."""
-    per = hits.groupBy(*READ).agg(F.count_distinct("transcript_id").alias("n")).groupBy("sample").agg(F.count("*").alias("n_point"), F.count_if(F.col("n") > 1).alias("n_point_ambiguous"))
-    top = sums.groupBy(*READ).agg(F.max("n_overlap").alias("top"))
-    tied = sums.join(top, READ).groupBy(*READ).agg(F.count("*").alias("n"), F.count_if(F.col("n_overlap") == F.col("top")).alias("k"))
-    over = tied.groupBy("sample").agg(F.count("*").alias("n_overlap"), F.count_if(F.col("n") > 1).alias("n_overlap_ambiguous"), F.count_if(F.col("k") > 1).alias("n_overlap_tied"))
+def best_overlap(blocks: DataFrame, exons: DataFrame, width: int = intervals.BIN) -> DataFrame:
+    """sample, read_id, transcript_id (most overlap, ties to the least id), n_overlap, n_transcripts at the read and n_tied of them at the top.
+
+    As ``overlap_sums`` and ``max_overlap``, but one read of each kind (equal blocks) meets one transcript of each chain (equal
+    exons), so the rows do not grow with how many of either are alike.  The blocks of a read and the exons of a transcript are few.
+    """
+    on = ["chrom", "strand"]
+    listed = lambda df, key, *span: df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*on, *span))).alias("_all"))
+    of_read = listed(blocks, READ, "pos", "epos")
+    # the list itself is the kind's name
+    kinds = of_read.select("_all").distinct().withColumn("_b", F.explode("_all")).select("_all", "_b.*")
+    chains = listed(exons, ["transcript_id"], "g_start", "g_end").groupBy("_all").agg(F.min("transcript_id").alias("transcript_id"), F.count("*").alias("_m"))
+    right = chains.select("transcript_id", "_m", F.explode("_all").alias("_x")).select("transcript_id", "_m", "_x.*")
+    hit = intervals.overlap_join(kinds, right, on, ("pos", "epos"), ("g_start", "g_end"), width)
+    size = intervals.overlap_length(F.col("pos"), F.col("epos"), F.col("g_start"), F.col("g_end"))
+    summed = hit.groupBy("_all", "transcript_id", "_m").agg(F.sum(size).alias("n_overlap"))
+    by_size = summed.groupBy("_all", "n_overlap").agg(F.min("transcript_id").alias("transcript_id"), F.sum("_m").alias("n_tied"))
+    top = by_size.groupBy("_all").agg(F.max(F.struct("n_overlap", "transcript_id", "n_tied")).alias("b"), F.sum("n_tied").alias("n_transcripts"))
+    return of_read.join(top, "_all").select(*READ, "b.transcript_id", "b.n_overlap", "n_transcripts", "b.n_tied")
+
+
+def exposure(hits: DataFrame, best: DataFrame) -> DataFrame:
+    """How many reads the tie rules decide: point candidates (``end_hits`` or all) and tied overlaps (``best_overlap``) by sample."""
+    per = hits.groupBy(*READ).agg((F.min("transcript_id") != F.max("transcript_id")).alias("many")).groupBy("sample").agg(F.count("*").alias("n_point"), F.count_if("many").alias("n_point_ambiguous"))
+    over = best.groupBy("sample").agg(F.count("*").alias("n_overlap"), F.count_if(F.col("n_transcripts") > 1).alias("n_overlap_ambiguous"), F.count_if(F.col("n_tied") > 1).alias("n_overlap_tied"))
     both = per.join(over, "sample", "full_outer").fillna(0)
     return both.withColumn("pct_point_ambiguous", F.when(F.col("n_point") > 0, F.lit(100.0) * F.col("n_point_ambiguous") / F.col("n_point"))).withColumn(
         "pct_overlap_tied", F.when(F.col("n_overlap") > 0, F.lit(100.0) * F.col("n_overlap_tied") / F.col("n_overlap"))
     )
 
 
+def transcript_overlaps(blocks: DataFrame, exons: DataFrame, width: int | None = intervals.SWEEP) -> DataFrame:
+    """(sample, transcript_id, n_pairs, n_bases): pairs of overlapping blocks and exons and their summed overlap, no pair formed.
+
+    Up to a position x of a (sample, chromosome, strand) so many blocks began and ended, and cover so many bases; an exon's pairs are
+    the blocks begun before its end less those ended by its start, its bases the difference of covered bases.  Ends of exons
+    are events without weight in the same sweep.
+    """
+    on, values = ["chrom", "strand"], ("_s", "_e", "_w")
+    keys = ["sample", *on]
+    sides = F.array(*(F.struct(F.col(c).cast("long").alias("pos"), F.lit(s).alias("_s"), F.lit(e).alias("_e"), (F.col(c) * (e - s)).cast("long").alias("_w")) for c, s, e in (("pos", 1, 0), ("epos", 0, 1))))
+    moved = blocks.where("pos < epos").select(*keys, F.explode(sides).alias("_v")).groupBy(*keys, "_v.pos").agg(*(F.sum(f"_v.{v}").alias(v) for v in values))
+    real = exons.where("g_start < g_end")
+    edges = real.select(*on, F.explode(F.array(F.col("g_start").cast("long"), F.col("g_end").cast("long"))).alias("pos")).distinct()
+    asked = blocks.select("sample").distinct().join(edges).select(*keys, "pos", *(F.lit(0).cast("long").alias(v) for v in values))
+    changes = stacked(moved, asked).groupBy(*keys, "pos").agg(*(F.sum(v).alias(v) for v in values))
+    ran = intervals.sweep(changes, keys, values, width).select(*keys, "pos", "_s", (F.col("_s") - F.col("_d__s")).alias("_before"), "_e", (F.col("_w") + F.col("pos") * (F.col("_s") - F.col("_e"))).alias("_c"))
+    spans = real.select(*on, F.col("g_start").cast("long").alias("g_start"), F.col("g_end").cast("long").alias("g_end")).distinct()
+    first = ran.select(*keys, F.col("pos").alias("g_start"), F.col("_e").alias("_ended"), F.col("_c").alias("_c0"))
+    last = ran.select(*keys, F.col("pos").alias("g_end"), F.col("_before").alias("_begun"), F.col("_c").alias("_c1"))
+    pairs = F.col("_begun") - F.col("_ended")
+    counted = spans.join(first, [*on, "g_start"]).join(last, [*keys, "g_end"]).select(*keys, "g_start", "g_end", pairs.alias("_n"), (F.col("_c1") - F.col("_c0")).alias("_b")).where("_n > 0")
+    own = real.groupBy(*on, F.col("g_start").cast("long").alias("g_start"), F.col("g_end").cast("long").alias("g_end"), "transcript_id").agg(F.count("*").alias("_k"))
+    met = own.join(counted, [*on, "g_start", "g_end"])
+    return met.groupBy("sample", "transcript_id").agg(F.sum(F.col("_n") * F.col("_k")).alias("n_pairs"), F.sum(F.col("_b") * F.col("_k")).alias("n_bases"))
+
+
 def to_transcript(hits: DataFrame, exons: DataFrame) -> DataFrame:
     """First hits with ``tpos``, the spliced position of p5."""
     known = exon_order(exons).select("transcript_id", "g_start", "g_end", F.col("strand").alias("x_strand"), "tx_start")

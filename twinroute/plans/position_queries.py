@@ -99,9 +99,7 @@ def orf_catalog(spark, d):
 @query("overlap_pairs", cte("aln_g", "exons") + " SELECT sample, transcript_id, count(*) AS n_pairs, CAST(sum(least(epos, g_end) - greatest(pos, g_start)) AS BIGINT) AS n_bases FROM aln_g a JOIN exons e ON a.chrom = e.chrom AND a.strand = e.strand AND pos < g_end AND g_start < epos GROUP BY 1, 2")
 def overlap_pairs(spark, d):
     aln, exons = inputs(spark, d, "aln_g", "exons")
-    met = intervals.overlap_join(aln, exons, ["chrom", "strand"], ("pos", "epos"), ("g_start", "g_end"), WIDTH)
-    size = intervals.overlap_length(F.col("pos"), F.col("epos"), F.col("g_start"), F.col("g_end"))
-    return met.groupBy("sample", "transcript_id").agg(F.count("*").alias("n_pairs"), F.sum(size).alias("n_bases"))
+    return coverage.transcript_overlaps(aln, exons)
 
 
 def points(spark, d):
@@ -110,7 +108,7 @@ def points(spark, d):
 
 
 def hits(spark, d):
-    return coverage.point_hits(points(spark, d), view(spark, d, "exons"), width=WIDTH)
+    return coverage.end_hits(points(spark, d), view(spark, d, "exons"), width=WIDTH)
 
 
 @query("point_first_hit", cte("aln_g", "exons") + POINT_SQL + " SELECT sample, read_id, transcript_id, g_start FROM fh")
@@ -118,14 +116,14 @@ def point_first_hit(spark, d):
     return coverage.first_hit(hits(spark, d)).select("sample", "read_id", "transcript_id", "g_start")
 
 
-def sums(spark, d):
+def best_overlaps(spark, d):
     aln = view(spark, d, "aln_g").where("NOT is_secondary").select("sample", "read_id", "chrom", "strand", "pos", "epos")
-    return coverage.overlap_sums(aln, view(spark, d, "exons"), WIDTH)
+    return coverage.best_overlap(aln, view(spark, d, "exons"), WIDTH)
 
 
 @query("max_overlap_assign", cte("aln_g", "exons") + POINT_SQL + " SELECT * FROM ov QUALIFY row_number() OVER (PARTITION BY sample, read_id ORDER BY n_overlap DESC, transcript_id) = 1")
 def max_overlap_assign(spark, d):
-    return coverage.max_overlap(sums(spark, d))
+    return best_overlaps(spark, d).select("sample", "read_id", "transcript_id", "n_overlap")
 
 
 @query(
@@ -159,7 +157,7 @@ o AS (SELECT sample, count(*) AS n_overlap, count(*) FILTER (WHERE n > 1) AS n_o
 SELECT *, 1e2 * n_point_ambiguous / n_point AS pct_point_ambiguous, 1e2 * n_overlap_tied / n_overlap AS pct_overlap_tied FROM p JOIN o USING (sample)""",
 )
 def assignment_exposure(spark, d):
-    return coverage.exposure(hits(spark, d), sums(spark, d))
+    return coverage.exposure(hits(spark, d), best_overlaps(spark, d))
 
 
 def txome_points(spark, d, offset=12, length=120):
