@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinroute.functions import columns as c
 from twinroute.operators import alignments, annotate, cluster, cohort, concordance, coords, counts, coverage, genes, intervals, locus
 from twinroute.plans.read_queries import SELECTED_SQL, WIDTH, gene_counts5, inputs, rounded
-from twinroute.plans.views import cte, table, view
+from twinroute.plans.views import cte, stored, table, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -382,7 +382,8 @@ def minmax_score(spark, d):
 def composition_clusters(spark, d):
     parts = [m.removeprefix("n_") for m in genes.METRICS]
     renamed = gene_counts5(spark, d).select("gene_id", "n_union", *(F.col(m).alias(m.removeprefix("n_")) for m in genes.METRICS))
-    labelled = cluster.grouped(cluster.composition(renamed, parts, "n_union", "gene_id"), parts, 4)
+    # fitting reads its points over and over: the partition is worked out once
+    labelled = cluster.grouped(stored(cluster.composition(renamed, parts, "n_union", "gene_id")), parts, 4)
     return labelled.select("gene_id", "cluster", *(F.round(f"f_{p}", 9).alias(f"f_{p}") for p in parts))
 
 

@@ -5,6 +5,7 @@ The same text runs in Spark SQL (tables in braces) and in the oracle engine (pla
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from twinroute.operators.unions import plain_unions
@@ -49,6 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the folder in spark.checkpoint.dir and read from there; without such a folder, kept on the executors' disks."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        return df.persist(StorageLevel.DISK_ONLY)
+    return df.checkpoint()
+
+
 def cte(*names: str) -> str:
     """The views as common table expressions of the oracle engine."""
     parts = [f"{n} AS MATERIALIZED ({VIEWS[n][1].format(**{t: t for t in VIEWS[n][0]})})" for n in names]
