@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from twinroute.operators import alignments, counts, coverage, genes, intervals
+from twinroute.operators import alignments, annotate, categories, counts, coverage, genes, intervals
 from twinroute.plans import views
 
 
@@ -44,7 +44,7 @@ def test_classes_meet_each_kind_once(spark, deep):
     """The interval join sees one gene of a class and one read of a kind."""
     _, _, exons = deep
     spans = genes.tagged_spans(exons, genes.selected_transcripts(exons)).where("route = 0")
-    classes, members = genes.gene_classes(spans)
+    classes, members = categories.one_of_each(spans)
     assert members.count() == exons.select("gene_id").distinct().count()
     assert 2 * classes.count() == spans.count()
 
@@ -69,3 +69,36 @@ def test_best_overlap_and_totals_equal_the_pairs(spark, deep):
     met = intervals.overlap_join(blocks, exons, ["chrom", "strand"], ("pos", "epos"), ("g_start", "g_end"), 256)
     size = intervals.overlap_length(F.col("pos"), F.col("epos"), F.col("g_start"), F.col("g_end"))
     same(coverage.transcript_overlaps(blocks, exons, 512), met.groupBy("sample", "transcript_id").agg(F.count("*").alias("n_pairs"), F.sum(size).alias("n_bases")))
+
+
+EXON = "gene_id long, transcript_id long, chrom string, g_start long, g_end long, strand string, gene_type string"
+
+
+def test_biotype_of_points_needs_no_place(spark):
+    exons = spark.createDataFrame([(k, k, "a", 10, 20, "+", "lncRNA" if k % 2 else "protein_coding") for k in range(6)] + [(9, 9, "a", 100, 110, "+", "lncRNA"), (9, 9, "a", 150, 160, "+", "lncRNA")], EXON)
+    places = spark.createDataFrame([("a", 12, 5), ("a", 12, 7), ("a", 120, 1), ("a", 99, 2), ("b", 12, 3), ("a", None, 4)], "chrom string, p5 long, n int")
+    got = {r["n"]: r["biotype"] for r in categories.locus_biotype(places, exons, width=16).collect()}
+    assert got == {5: "protein_coding", 7: "protein_coding", 1: "intronic", 2: "intergenic", 3: "intergenic", 4: "intergenic"}
+
+
+def test_overlap_class_of_a_repeated_id(spark):
+    """An id with two spans has the class of each span, not one for both."""
+    spans = spark.createDataFrame([(1, "a", 0, 10), (1, "a", 50, 60), (2, "a", 0, 10)], "id int, chrom string, start long, end long")
+    classes = spark.createDataFrame([("a", 0, 3, "x"), ("a", 0, 3, "x"), ("a", 2, 10, "y"), ("a", 50, 51, "z")], "chrom string, c_start long, c_end long, category string")
+    got = sorted((r["id"], r["start"], r["category"]) for r in annotate.largest_overlap(spans, classes, ["chrom"]).collect())
+    assert got == [(1, 0, "y"), (1, 50, "z"), (2, 0, "y")]
+
+
+def test_stored_is_not_worked_out_again(spark):
+    slow = spark.range(20).groupBy((F.col("id") % 3).alias("k")).agg(F.count("*").alias("n"))
+    kept = views.stored(slow)
+    plan = kept.where("k = 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count() == 3 and ("InMemoryRelation" in plan or "Aggregate" not in plan)
+
+
+def test_reach_of_kinds_equals_the_reads(spark):
+    exons = spark.createDataFrame([(g, 2 * g + k, "a", s, s + 40, "+", "protein_coding") for g in range(4) for k, s in ((0, 10), (0, 100), (1, 200))], EXON)
+    selected = genes.selected_transcripts(exons)
+    aln = spark.createDataFrame([("s", i, "a", p, p + 20, "+", 20, 0, 1, False) for i, p in enumerate([15, 15, 15, 205, 205, 60, 900])], "sample string, read_id long, chrom string, pos long, epos long, strand string, qlen int, score int, nh int, is_secondary boolean")
+    row = categories.reach_rows(aln, spark.createDataFrame([("s", 99, 0)], "sample string, read_id long, transcript_id long"), exons, selected, 64).first()
+    assert (row["n_go_u"], row["n_representable_not_present_in_dedup_bam"], row["n_nonselected_isoform_exon"], row["n_intronic"], row["n_intergenic"], row["n_omitted_exon_overlap"]) == (7, 3, 2, 1, 1, 2)
