@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from twinroute.operators import alignments, annotate, categories, counts, coverage, genes, intervals
+from twinroute.operators import alignments, annotate, categories, counts, coverage, genes, intervals, locus
 from twinroute.plans import views
 
 
@@ -102,3 +102,15 @@ def test_reach_of_kinds_equals_the_reads(spark):
     aln = spark.createDataFrame([("s", i, "a", p, p + 20, "+", 20, 0, 1, False) for i, p in enumerate([15, 15, 15, 205, 205, 60, 900])], "sample string, read_id long, chrom string, pos long, epos long, strand string, qlen int, score int, nh int, is_secondary boolean")
     row = categories.reach_rows(aln, spark.createDataFrame([("s", 99, 0)], "sample string, read_id long, transcript_id long"), exons, selected, 64).first()
     assert (row["n_go_u"], row["n_representable_not_present_in_dedup_bam"], row["n_nonselected_isoform_exon"], row["n_intronic"], row["n_intergenic"], row["n_omitted_exon_overlap"]) == (7, 3, 2, 1, 1, 2)
+
+
+def test_counted_artifacts_equal_the_sites(spark):
+    one = [(1, 10, "c", 0, 10, "+", "protein_coding"), (1, 10, "c", 20, 30, "+", "protein_coding"), (1, 11, "c", 8, 15, "+", "protein_coding")]
+    exons = spark.createDataFrame([(g + k, t + 10 * k, *rest) for k in range(3) for g, t, *rest in one], EXON)
+    placed = [(1, 5, 9, 1, False), (2, 5, 9, 1, False), (3, 22, 26, 2, False), (3, 24, 28, 2, True), (4, 17, 22, 1, False), (5, 5, 9, 1, False)]
+    g = spark.createDataFrame([("s", i, "c", p, e, "+", e - p, 0, nh, sec) for i, p, e, nh, sec in placed], "sample string, read_id long, chrom string, pos long, epos long, strand string, qlen int, score int, nh int, is_secondary boolean")
+    t = spark.createDataFrame([("s", 1, 10, 2), ("s", 3, 20, 9), ("s", 9, 10, 11), ("s", 8, 20, 40), ("r", 7, 30, 1)], "sample string, read_id long, transcript_id long, pos long")
+    selected = genes.selected_transcripts(exons)
+    flat = lambda df: sorted(str(r.asDict(recursive=True)) for r in df.select("gene_id", "sample", "exons", "layers", "tracks", "counts").collect())
+    want = flat(locus.locus_artifact(locus.locus_sites(g, t, exons, selected, 3, 16), exons, 16))
+    assert len(want) == 4 and flat(locus.counted_artifacts(g, t, exons, selected, 3, 16)) == want
