@@ -145,11 +145,12 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without those that a smaller id of their group stands for, all columns unchanged.
 
-    Groups join texts whose sets of word shingles have a similarity of 0.8 or more, by ``similar_sets``: fingerprints of
-    such texts are often more than two bits apart.  Of each group the rows of its least (id, set) stay; rows without an id stay.
+    Groups join texts whose sets of word shingles have a similarity of 0.8 or more.  Texts whose fingerprints the grid links
+    are the first candidates and are verified on their sets; fingerprints of similar texts are often more than two bits
+    apart, so ``similar_sets`` finds the links that are left.  Of each group the rows of its least (id, set) stay; rows without an id stay.
     An id that several texts carry is judged text by text, so no group goes without a row that stays.
     """
-    found = similar_sets.groups(docs, shingle)
+    found = similar_sets.groups(docs, shingle, fingerprint, links)
     per = found.groupBy("doc_id").agg(F.bool_and("first").alias("all_stay"), F.bool_or("first").alias("some_stay")).where("NOT all_stay")
     gone, _ = sent_if_small(per.select(F.col("doc_id").alias("_gone")))
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

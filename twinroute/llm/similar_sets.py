@@ -7,6 +7,9 @@ at most all of its own ones, so nobody goes wrongly).  Among the sets that are l
 every set stand in one order, the rarest first, and two similar sets share one of their first ``n - ceil(0.8 n) + 1``
 shingles in it (prefix filter), so only these are entered, and of these only the ones that another set holds.
 
+The first candidates may come by fingerprints (``near``): sets whose fingerprints are linked are verified and join before any
+shingle is held against another, so the rounds only look for what fingerprints have not found.
+
 Candidates are taken in rounds, so that large groups of near copies need about as many comparisons as they have
 members: in a round every set is held against one set of another group, one that heads most of its shingles (a member
 of the largest group that holds the shingle), and what is verified joins the groups; the later rounds take ``HEADS`` heads of a shingle, and those of all its shingles.  After ``ROUNDS`` come all pairs that are not connected yet.  A
@@ -19,7 +22,7 @@ Very long texts are sets like any other; repeated rows have equal sets; extra co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +60,8 @@ def set_key(items: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(items.astype("<u8").tobytes())).astype(np.int64))
 
 
-def shingled(docs: DataFrame, shingle: int, share: float = 1.0) -> DataFrame:
-    """doc_id, key, n and items (those in the given part of the hash range) of every row."""
+def shingled(docs: DataFrame, shingle: int, share: float = 1.0, fingerprint: Callable[[bytes, int], int] | None = None) -> DataFrame:
+    """doc_id, key, n and items (those in the given part of the hash range) of every row; with ``fingerprint`` also fp, that of the text."""
     top = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,12 +69,13 @@ def shingled(docs: DataFrame, shingle: int, share: float = 1.0) -> DataFrame:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), shingle)
                 some = [signed(x[mix(x) <= top]) for x in sets]
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(some, pa.list_(pa.int64()))],
-                    names=["doc_id", "key", "n", "items"],
-                )
+                found = {"doc_id": part.column("doc_id"), "key": pa.array([set_key(x) for x in sets], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int32()), "items": pa.array(some, pa.list_(pa.int64()))}
+                if fingerprint is not None:
+                    prints = (fingerprint(t.as_py() or b"", shingle) for t in part.column("text").cast(pa.binary()))
+                    found["fp"] = pa.array(np.array([*prints], dtype=np.uint64).view(np.int64))
+                yield pa.record_batch(found)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n int, items array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, n int, items array<long>" + (", fp long" if fingerprint is not None else ""))
 
 
 def prefix(n: Column) -> Column:
@@ -117,11 +121,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(UNDER * F.col("both") >= OVER * (F.size("items_a") + F.size("items_b") - F.col("both"))).select("a", "b")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(node, root) of the keys that similar pairs connect.  sets: key, n, items.  Only open shingles go on to the next round."""
+def pair(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def by_fingerprint(sets: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of the keys whose fingerprints are equal or linked by ``near``; the least key of a fingerprint stands for it."""
+    heads = materialise(sets.groupBy("fp").agg(F.min("key").alias("head")))
+    equal = sets.join(heads, "fp").where("key <> head").select(*pair(F.col("key"), F.col("head")))
+    one, other = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in ("a", "b"))
+    linked = near(heads.select("fp")).join(one, "a").join(other, "b").select(*pair(F.col("head_a"), F.col("head_b")))
+    return equal.union(linked).distinct()
+
+
+def links(sets: DataFrame, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of the keys that similar pairs connect.  sets: key, n, items, and fp where ``near`` links fingerprints.  Only open shingles go on to the next round."""
     rooted = materialise(entered(sets).withColumn("root", F.col("key")))
     found = roots = None
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    if near is not None:
+        found = materialise(verified(by_fingerprint(sets, near), sets))
+        roots = components(found)
     for k in range(ROUNDS + 1):
         if roots is not None:
             moved = materialise(rooted.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
@@ -154,10 +173,11 @@ def links(sets: DataFrame) -> DataFrame:
     return roots
 
 
-def groups(docs: DataFrame, shingle: int) -> DataFrame:
+def groups(docs: DataFrame, shingle: int, fingerprint: Callable[[bytes, int], int] | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, key (of the set), component_id (the smallest id reachable over similar pairs) and ``first`` of every row.
 
     ``first`` holds for the rows of the group's least (id, key), so an id that several texts carry is judged text by text; rows without an id are ``first``.
+    ``fingerprint`` of a text and links ``near`` fingerprints (fp) give the first candidates of the texts that may have a partner.
     """
     docs = text_and_id(docs)
     with scratch(docs.sparkSession):
@@ -167,8 +187,9 @@ def groups(docs: DataFrame, shingle: int) -> DataFrame:
         ids, _ = sent_if_small(some.select(F.col("least").alias("id")).distinct())
         texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
         # an id may stand for several texts
-        sets = materialise(shingled(texts, shingle).join(some.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "items"))
-        roots = links(sets)
+        own = shingled(texts, shingle, fingerprint=fingerprint).drop("doc_id")
+        sets = materialise(own.join(some.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+        roots = links(sets, near)
         classes = marked.groupBy("key").agg(F.min("doc_id").alias("least"))
         joined = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         least = joined.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct("least", "key"))).alias("head"))
