@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinroute.operators import alignments, annotate, categories, counts, coverage, genes, intervals, locus
-from twinroute.plans import views
+from twinroute.plans import position_queries, views
 
 
 def repeated(df, times, **shifts):
@@ -58,6 +58,27 @@ def test_end_hits_are_two_rows_at_most(spark, deep):
     same(counts.count_totals(ends, points), counts.count_totals(hits, points))
 
 
+def test_first_hits_read_the_points_once(spark, deep):
+    """First hits of one and of two stages equal those of all pairs, with one scan and one sort of the alignments."""
+    g, _, exons = deep
+    points = alignments.with_five_prime(g.where("NOT is_secondary")).select("sample", "read_id", "chrom", "strand", "p5")
+    # a second point for some reads, and exons that are empty or touch
+    points = points.unionByName(points.where("read_id % 3 = 0").withColumn("p5", F.col("p5") + 7)).unionByName(points.limit(3).withColumn("p5", F.lit(None).cast("long")))
+    exons = exons.unionByName(exons.limit(5).withColumn("g_end", F.col("g_start"))).unionByName(exons.limit(5).withColumn("g_start", F.col("g_end")).withColumn("g_end", F.col("g_end") + 40))
+    same(coverage.first_hits(points, exons, width=256), coverage.first_hit(coverage.point_hits(points, exons, width=256)))
+    coding = exons.where("gene_type = 'protein_coding'")
+    one = coverage.first_hit(coverage.point_hits(points, coding, width=256)).withColumn("stage", F.lit(1))
+    rest = points.join(one.select("sample", "read_id"), ["sample", "read_id"], "left_anti")
+    two = coverage.first_hit(coverage.point_hits(rest, exons, width=256)).withColumn("stage", F.lit(2))
+    same(coverage.two_stage(points, coding, exons, 256), one.unionByName(two))
+
+
+@pytest.mark.parametrize("name", ["point_first_hit", "two_stage_assign"])
+def test_primaries_are_told_in_one_scan_without_a_sort_of_it(spark, sf, name):
+    plan = position_queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_extendedprice#") and plan.split("Initial Plan")[-1].count("FileScan parquet [l_orderkey") == 1 and "WindowGroupLimit" not in plan
+
+
 def test_best_overlap_and_totals_equal_the_pairs(spark, deep):
     g, _, exons = deep
     blocks = g.where("NOT is_secondary").select("sample", "read_id", "chrom", "strand", "pos", "epos")

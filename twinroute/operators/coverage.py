@@ -15,6 +15,9 @@ from twinroute.operators.alignments import READ
 from twinroute.operators.coords import exon_order
 from twinroute.operators.unions import stacked
 
+#: Bin width in which points meet stretches of exons.
+POINT = 16
+
 
 def point_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width: int = intervals.BIN) -> DataFrame:
     """All exons at the reads' points (sample, read_id, chrom, strand, p5)."""
@@ -23,19 +26,41 @@ def point_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width
     return intervals.point_join(points, right, on, "p5", ("g_start", "g_end"), width)
 
 
+def _stretches(exons: DataFrame, on: Sequence[str], width: int) -> DataFrame:
+    """(on, _a, _b, _lo, _hi): exons cut at all their ends; of each stretch the hit that the tie rule takes and the one on the greatest transcript.
+
+    Made of the annotation alone; equal exons count once.
+    """
+    spans = exons.where("g_start < g_end").groupBy(*on, "g_start", "g_end").agg(F.min(F.struct("transcript_id", "gene_id")).alias("lo"), F.max(F.struct("transcript_id", "gene_id")).alias("hi"))
+    cuts = spans.select(*on, F.explode(F.array(F.col("g_start").cast("long"), F.col("g_end").cast("long"))).alias("pos")).distinct()
+    parts = intervals.sweep(cuts, on).select(*on, F.col("pos").alias("_a"), F.col("_next").alias("_b")).where("_b IS NOT NULL")
+    met = intervals.overlap_join(parts, spans, on, ("_a", "_b"), ("g_start", "g_end"), width)
+    row = lambda c: F.struct(F.col(f"{c}.transcript_id").alias("transcript_id"), "g_start", F.col(f"{c}.gene_id").alias("gene_id"), "g_end")
+    return met.groupBy(*on, "_a", "_b").agg(F.min(row("lo")).alias("_lo"), F.max(row("hi")).alias("_hi"))
+
+
+def _at_points(points: DataFrame, stretches: DataFrame, on: Sequence[str]) -> DataFrame:
+    """points in their stretch, at most one.  The points are read once and in narrow bins, where few stretches meet."""
+    return intervals.point_join(points, stretches, on, "p5", ("_a", "_b"), POINT)
+
+
 def end_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width: int = intervals.BIN) -> DataFrame:
     """Of each point's hits the one that the tie rule takes and one on the greatest transcript, if that is another: two rows at most.
 
     Enough for first hits and for whether there are several transcripts, and it does not grow with how many exons lie at a
-    point.  Equal exons meet each distinct point once; a read takes what its point has.
+    point.
     """
     on = ["chrom", "strand"] if stranded else ["chrom"]
-    spans = exons.groupBy(*on, "g_start", "g_end").agg(F.min(F.struct("transcript_id", "gene_id")).alias("lo"), F.max(F.struct("transcript_id", "gene_id")).alias("hi"))
-    met = intervals.point_join(points.select(*on, "p5").distinct(), spans, on, "p5", ("g_start", "g_end"), width)
-    row = lambda c: F.struct(F.col(f"{c}.transcript_id").alias("transcript_id"), "g_start", F.col(f"{c}.gene_id").alias("gene_id"), "g_end")
-    at = met.groupBy(*on, "p5").agg(F.min(row("lo")).alias("_lo"), F.max(row("hi")).alias("_hi"))
     ends = F.when(F.col("_lo.transcript_id") == F.col("_hi.transcript_id"), F.array("_lo")).otherwise(F.array("_lo", "_hi"))
-    return points.join(at.select(*on, "p5", ends.alias("_ends")), [*on, "p5"]).withColumn("_hit", F.explode("_ends")).select(*points.columns, "_hit.*")
+    at = _stretches(exons, on, width).select(*on, "_a", "_b", ends.alias("_ends"))
+    return _at_points(points, at, on).withColumn("_hit", F.explode("_ends")).select(*points.columns, "_hit.*")
+
+
+def first_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width: int = intervals.BIN) -> DataFrame:
+    """``first_hit`` of ``point_hits``, a row a read, from the stretch at the point."""
+    on = ["chrom", "strand"] if stranded else ["chrom"]
+    at = _stretches(exons, on, width).drop("_hi")
+    return first_hit(_at_points(points, at, on).select(*points.columns, "_lo.*"))
 
 
 def first_hit(hits: DataFrame) -> DataFrame:
@@ -47,10 +72,13 @@ def first_hit(hits: DataFrame) -> DataFrame:
 
 def two_stage(points: DataFrame, first: DataFrame, second: DataFrame, width: int = intervals.BIN) -> DataFrame:
     """First hits on ``first`` (CDS exons); only reads without one try ``second`` (all exons).  ``stage`` says which."""
-    one = first_hit(end_hits(points, first, width=width)).withColumn("stage", F.lit(1))
-    rest = points.join(one.select(*READ), READ, "left_anti")
-    two = first_hit(end_hits(rest, second, width=width)).withColumn("stage", F.lit(2))
-    return stacked(one, two)
+    on = ["chrom", "strand"]
+    at = lambda exons, n: _stretches(exons, on, width).drop("_hi").withColumn("stage", F.lit(n))
+    # a point is in one stretch of each stage; the lesser stage goes before all else
+    met = _at_points(points, stacked(at(first, 1), at(second, 2)), on).select(*points.columns, "_lo.*", "stage")
+    names = [c for c in met.columns if c not in (*READ, "stage", "transcript_id", "g_start")]
+    best = F.min(F.struct("stage", "transcript_id", "g_start", *names)).alias("best")
+    return met.groupBy(*READ).agg(best).select(*READ, "best.transcript_id", "best.g_start", *(f"best.{c}" for c in names), "best.stage")
 
 
 def overlap_sums(blocks: DataFrame, exons: DataFrame, width: int = intervals.BIN) -> DataFrame:
