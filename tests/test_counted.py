@@ -40,6 +40,25 @@ def test_partition_counts_equal_the_reads(spark, deep):
     same(genes.segment_table(counted), genes.segment_table(reads))
 
 
+def test_kinds_by_joined_lists_equal_those_of_all_placements(spark, deep):
+    g, t, _ = deep
+    # a read id in two samples, a read on one route twice, one without primary and one with blocks of its own
+    g = g.unionByName(g.where("read_id % 5 = 0").withColumn("sample", F.lit("z"))).where("is_secondary OR read_id % 7 <> 0")
+    t = t.unionByName(t.where("read_id % 3 = 0").withColumn("transcript_id", F.col("transcript_id") + 1)).unionByName(t.limit(5).withColumn("transcript_id", F.lit(None).cast("long")))
+    block = F.array(F.struct(F.col("pos").alias("start"), F.col("epos").alias("end")))
+    for aln in (g, g.withColumn("blocks", block)):
+        want = alignments.read_kinds(alignments.tagged_reads(aln, t))
+        same(alignments.counted_kinds(aln, t).drop("place"), want.drop("place"))
+
+
+def test_the_partition_moves_the_alignments_once(spark, sf):
+    """One shuffle of the rows of lineitem; those of orders go to them."""
+    g, t = views.view(spark, sf, "aln_g", by_read=True), views.view(spark, sf, "aln_t")
+    plan = alignments.counted_kinds(g, t)._jdf.queryExecution().executedPlan().toString()
+    # lineitem by order, orders by read, kinds
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 3
+
+
 def test_classes_meet_each_kind_once(spark, deep):
     """The interval join sees one gene of a class and one read of a kind."""
     _, _, exons = deep
