@@ -111,6 +111,8 @@ def may(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of keys whose sets are similar.  Only sets that a pair names are shuffled, where the names can be sent."""
     pairs = materialise(pairs)
+    if pairs.isEmpty():
+        return pairs
     # each side's keys are few, however many pairs a head has
     side = lambda c: pairs.select(F.col(c).alias("key")).distinct()
     named, small = sent_if_small(side("a").union(side("b")).distinct())
@@ -141,12 +143,15 @@ def links(sets: DataFrame, near: Callable[[DataFrame], DataFrame] | None = None)
     if near is not None:
         found = materialise(verified(by_fingerprint(sets, near), sets))
         roots = components(found)
+    grown = roots is not None
     for k in range(ROUNDS + 1):
-        if roots is not None:
+        if grown:
             moved = materialise(rooted.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
             # shingles that one group alone holds have no more pairs, and groups only grow
             open_ = moved.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("item")
             rooted = materialise(moved.join(open_, "item", "left_semi"))
+            if rooted.isEmpty():
+                break
         if k < ROUNDS:
             drawn = F.xxhash64("key", F.lit(k))
             head = F.min(F.struct(drawn.alias("h"), "key", "n", "pos", "root")).alias("head")
@@ -168,9 +173,12 @@ def links(sets: DataFrame, near: Callable[[DataFrame], DataFrame] | None = None)
             open_pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & may(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
             pairs = open_pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
         more = materialise(verified(pairs, sets))
-        found = more if found is None else found.union(more)
-        roots = components(found)
-    return roots
+        # without a new link groups and open shingles stay as they are
+        grown = not more.isEmpty()
+        if grown:
+            found = more if found is None else found.union(more)
+            roots = components(found)
+    return components(sets.select(F.col("key").alias("a"), F.col("key").alias("b"))) if roots is None else roots
 
 
 def groups(docs: DataFrame, shingle: int, fingerprint: Callable[[bytes, int], int] | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
