@@ -154,3 +154,23 @@ def test_counted_artifacts_equal_the_sites(spark):
     flat = lambda df: sorted(str(r.asDict(recursive=True)) for r in df.select("gene_id", "sample", "exons", "layers", "tracks", "counts").collect())
     want = flat(locus.locus_artifact(locus.locus_sites(g, t, exons, selected, 3, 16), exons, 16))
     assert len(want) == 4 and flat(locus.counted_artifacts(g, t, exons, selected, 3, 16)) == want
+
+
+def test_partner_lists_equal_pairs_and_meet_by_chain(spark, deep, monkeypatch):
+    exons = deep[2]
+    a, b = exons.alias("a"), exons.alias("b")
+    over = (F.col("a.chrom") == F.col("b.chrom")) & (F.col("a.strand") == F.col("b.strand")) & (F.col("a.g_start") < F.col("b.g_end")) & (F.col("b.g_start") < F.col("a.g_end"))
+    p = a.join(b, over & (F.col("a.transcript_id") != F.col("b.transcript_id"))).select("a.transcript_id", F.col("b.transcript_id").alias("partner"), (F.col("a.gene_id") == F.col("b.gene_id")).alias("same_gene")).distinct()
+    pairs = p.groupBy("transcript_id").agg(F.count("*").alias("n_partners"), F.array_join(F.array_sort(F.collect_list("partner")).cast("array<string>"), ";").alias("partners"), F.count_if(~F.col("same_gene")).alias("n_other_gene"))
+    met, join = [], intervals.overlap_join
+
+    def watched(*args):
+        met.append(join(*args))
+        return met[-1]
+
+    monkeypatch.setattr(intervals, "overlap_join", watched)
+    same(annotate.partner_lists(exons, width=256), pairs)
+    once = exons.where("transcript_id < 2000")
+    annotate.partner_lists(once, width=256)
+    # twice the annotation under other ids meets no more rows
+    assert met[0].count() == met[-1].count()
