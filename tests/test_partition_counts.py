@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twinroute.operators import genes, intervals
+from twinroute.operators import coverage, genes, intervals
 
 EXON = "gene_id long, transcript_id long, chrom string, g_start long, g_end long, strand string, gene_type string"
 PLACE = "sample string, read_id long, chrom string, pos long, epos long, strand string, qlen int, score int, nh int, is_secondary boolean"
@@ -66,3 +66,24 @@ def test_no_pair_of_read_and_gene_is_formed(spark, monkeypatch):
     counted = genes.partition_counts(g, t, exons, genes.selected_transcripts(exons), 64)
     assert sum(df.count() for df in met) < 300
     assert counted.agg(F.sum("n")).first()[0] == 40 * 300 + 0
+
+
+def test_short_blocks_meet_looks_not_transcripts(spark, monkeypatch):
+    """60 transcripts that differ far from the reads look alike near them; a long block still meets each."""
+    exons = spark.createDataFrame([(t, t, "a", s, e, "+", "lncRNA") for t in range(60) for s, e in ((0, 50), (400, 410 + t))], EXON)
+    kind = "sample string, read_id long, chrom string, strand string, pos long, epos long"
+    short = [("s", r, "a", "+", r, r + 30) for r in range(60)]
+    met, join = [], intervals.overlap_join
+
+    def watched(*args):
+        met.append(join(*args))
+        return met[-1]
+
+    monkeypatch.setattr(intervals, "overlap_join", watched)
+    for rows, pairs in ((short, 0), ([*short, ("s", 99, "a", "+", 30, 430)], 120)):
+        blocks = spark.createDataFrame(rows, kind)
+        got = coverage.best_overlap(blocks, exons, 64)
+        assert met[-1].count() == pairs
+        want = coverage.max_overlap(coverage.overlap_sums(blocks, exons, 64))
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+        assert {r["n_tied"] for r in got.where("read_id < 50").collect()} == {60}

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from twinroute.operators import intervals
 from twinroute.operators.alignments import READ
 from twinroute.operators.coords import exon_order
-from twinroute.operators.unions import stacked
+from twinroute.operators.unions import shared, stacked
 
 #: Bin width in which points meet stretches of exons.
 POINT = 16
+#: Longest block that meets exons as they look from the block's bin.
+NEAR = 64
 
 
 def point_hits(points: DataFrame, exons: DataFrame, stranded: bool = True, width: int = intervals.BIN) -> DataFrame:
@@ -100,22 +102,48 @@ def best_overlap(blocks: DataFrame, exons: DataFrame, width: int = intervals.BIN
 
     As ``overlap_sums`` and ``max_overlap``, but one read of each kind (equal blocks) meets one transcript of each chain (equal
     exons), so the rows do not grow with how many of either are alike.  The blocks of a read and the exons of a transcript are few.
+    A read of one short block meets transcripts by what they have near it (``_near_best``); reads of several blocks or a long one meet chains.
     """
     on = ["chrom", "strand"]
     listed = lambda df, key, *span: df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*on, *span))).alias("_all"))
     of_read = listed(blocks, READ, "pos", "epos")
     # the list itself is the kind's name
-    kinds = of_read.select("_all").distinct().withColumn("_b", F.explode("_all")).select("_all", "_b.*")
+    kinds = shared(of_read.groupBy("_all").agg(F.max(F.size("_all")).alias("_k")), "_k").withColumn("_b", F.explode("_all")).select("_all", "_k", "_b.*")
+    near = (F.col("_k") == 1) & F.coalesce(F.col("epos") - F.col("pos") <= NEAR, F.lit(False))
     chains = listed(exons, ["transcript_id"], "g_start", "g_end").groupBy("_all").agg(F.min("transcript_id").alias("transcript_id"), F.count("*").alias("_m"))
     right = chains.select("transcript_id", "_m", F.explode("_all").alias("_x")).select("transcript_id", "_m", "_x.*")
-    hit = intervals.overlap_join(kinds, right, on, ("pos", "epos"), ("g_start", "g_end"), width)
+    hit = intervals.overlap_join(kinds.where(~near).drop("_k"), right, on, ("pos", "epos"), ("g_start", "g_end"), width)
     size = intervals.overlap_length(F.col("pos"), F.col("epos"), F.col("g_start"), F.col("g_end"))
     summed = hit.groupBy("_all", "transcript_id", "_m").agg(F.sum(size).alias("n_overlap"))
-    by_size = summed.groupBy("_all", "n_overlap").agg(F.min("transcript_id").alias("transcript_id"), F.sum("_m").alias("n_tied"))
-    top = by_size.groupBy("_all").agg(F.max(F.struct("n_overlap", "transcript_id", "n_tied")).alias("b"), F.sum("n_tied").alias("n_transcripts"))
+    top = stacked(_top(summed, ["_all"]), _near_best(kinds.where(near).drop("_all", "_k"), chains))
     return of_read.join(top, "_all").select(*READ, "b.transcript_id", "b.n_overlap", "n_transcripts", "b.n_tied")
 
 
+def _top(summed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, b, n_transcripts): the transcript of most overlap, how many tie with it, and all of them."""
+    by_size = summed.groupBy(*keys, "n_overlap").agg(F.min("transcript_id").alias("transcript_id"), F.sum("_m").alias("n_tied"))
+    return by_size.groupBy(*keys).agg(F.max(F.struct("n_overlap", "transcript_id", "n_tied")).alias("b"), F.sum("n_tied").alias("n_transcripts"))
+
+
+def _near_best(blocks: DataFrame, chains: DataFrame) -> DataFrame:
+    """``_top`` of distinct blocks (chrom, strand, pos, epos) of up to ``NEAR`` bases, named by their list ``_all``.
+
+    From a bin of ``POINT`` bases such blocks see no further than ``POINT + NEAR - 1``.  Transcripts that look alike from there, with exons cut to that
+    window, are one; a block meets the looks of its bin, in which all its overlaps are told, so nothing is shuffled after they met.
+    """
+    x0, reach = F.col("_bin") * POINT, POINT + NEAR - 1
+    real = F.filter("_all", lambda x: x["g_start"] < x["g_end"])
+    bins = F.transform(real, lambda x: F.transform(F.sequence(F.floor((x["g_start"] - reach) / POINT) + 1, F.floor((x["g_end"] - 1) / POINT)), lambda b: F.struct(x["chrom"].alias("chrom"), x["strand"].alias("strand"), b.alias("_bin"))))
+    at = chains.select("transcript_id", "_m", real.alias("_all"), F.explode(F.array_distinct(F.flatten(bins))).alias("_w")).select("transcript_id", "_m", "_all", "_w.*")
+    seen = F.filter("_all", lambda x: (x["chrom"] == F.col("chrom")) & (x["strand"] == F.col("strand")) & (x["g_start"] < x0 + reach) & (x0 < x["g_end"]))
+    cut = F.transform(seen, lambda x: F.struct(F.greatest(x["g_start"].cast("long"), x0).alias("s"), F.least(x["g_end"].cast("long"), x0 + reach).alias("e")))
+    on = ["chrom", "strand", "_bin"]
+    looks = at.groupBy(*on, cut.alias("_look")).agg(F.min("transcript_id").alias("transcript_id"), F.sum("_m").alias("_m"))
+    over = F.aggregate("_look", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0), F.least(F.col("epos"), x["e"]) - F.greatest(F.col("pos"), x["s"])).cast("long"))
+    met = blocks.where("pos < epos").withColumn("_bin", F.floor(F.col("pos") / POINT)).join(looks, on).select(*on, "pos", "epos", "transcript_id", "_m", over.alias("n_overlap")).where("n_overlap > 0")
+    return _top(met, [*on, "pos", "epos"]).select(F.array(F.struct("chrom", "strand", "pos", "epos")).alias("_all"), "b", "n_transcripts")
+
+
 def exposure(hits: DataFrame, best: DataFrame) -> DataFrame:
     """How many reads the tie rules decide: point candidates (``end_hits`` or all) and tied overlaps (``best_overlap``) by sample."""
     per = hits.groupBy(*READ).agg((F.min("transcript_id") != F.max("transcript_id")).alias("many")).groupBy("sample").agg(F.count("*").alias("n_point"), F.count_if("many").alias("n_point_ambiguous"))
